@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linetally.functions.paths import base_name, extension_of
+from linetally.functions.paths import base_name_sql, extension_sql
 
 # Label by whole lower-cased file name.
 NAME_LABELS = {
@@ -102,41 +100,44 @@ def extension_map() -> dict[str, str]:
     return {ext: label for label, exts in EXTENSION_LABELS.items() for ext in exts.split()}
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.try_element_at(literal, key)
+def _lookup(table: dict[str, str], key: str) -> str:
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {key})"
 
 
-def shebang_language(content: Column) -> Column:
-    """Label named by the ``#!`` line in the first 64 bytes; null when there is none."""
-    head = F.substring(content.cast("binary"), 1, SHEBANG_BYTES).cast("string")
-    result = F
-    for word, label in SHEBANG_LABELS.items():
-        result = result.when(head.contains(word), F.lit(label))
-    return F.when(content.startswith("#!"), result)
+def shebang_sql(content: str) -> str:
+    head = f"cast(substring(cast({content} AS binary), 1, {SHEBANG_BYTES}) AS string)"
+    tests = " ".join(f"WHEN contains({head}, '{word}') THEN '{label}'" for word, label in SHEBANG_LABELS.items())
+    return f"CASE WHEN startswith({content}, '#!') THEN CASE {tests} END END"
 
 
-def language_of(path: Column, content: Column) -> Column:
+def language_sql(path: str, content: str) -> str:
     """Label by file name, else by extension, else by shebang, else ``Unknown``.
 
     An unlisted extension labels itself with its first letter in upper case. ``lua``
     files are labelled "Lua".
     """
-    extension = F.lower(extension_of(path))
-    own_label = F.concat(F.upper(F.substring(extension, 1, 1)), F.substring(extension, 2, 1 << 30))
-    return F.coalesce(
-        _lookup(NAME_LABELS, F.lower(base_name(path))),
-        _lookup(extension_map(), extension),
-        F.when(extension == "", F.lit(UNKNOWN)).otherwise(own_label),
-        shebang_language(content),
-        F.lit(UNKNOWN),
-    )
-
-
-def comment_style(path: Column) -> Column:
+    ext = f"lower({extension_sql(path)})"
+    own = f"CASE WHEN {ext} = '' THEN '{UNKNOWN}' ELSE upper(left({ext}, 1)) || substring({ext}, 2) END"
+    by_name = _lookup(NAME_LABELS, f"lower({base_name_sql(path)})")
+    return f"coalesce({by_name}, {_lookup(extension_map(), ext)}, {own}, {shebang_sql(content)}, '{UNKNOWN}')"
+
+
+def style_sql(path: str) -> str:
     """``c``, ``p``, ``h`` or ``n`` (no comments), by lower-cased extension."""
-    extension = F.lower(extension_of(path))
-    result = F
-    for style, extensions in STYLE_EXTENSIONS.items():
-        result = result.when(extension.isin(extensions.split()), F.lit(style))
-    return result.otherwise(F.lit("n"))
+    listed = {style: ", ".join(f"'{e}'" for e in exts.split()) for style, exts in STYLE_EXTENSIONS.items()}
+    tests = " ".join(f"WHEN lower({extension_sql(path)}) IN ({exts}) THEN '{style}'" for style, exts in listed.items())
+    return f"CASE {tests} ELSE 'n' END"
+
+
+def language_of(path: str = "path", content: str = "content") -> Column:
+    return F.expr(language_sql(path, content))
+
+
+def shebang_language(content: str = "content") -> Column:
+    """Label named by the ``#!`` line in the first 64 bytes; null when there is none."""
+    return F.expr(shebang_sql(content))
+
+
+def comment_style(path: str = "path") -> Column:
+    return F.expr(style_sql(path))

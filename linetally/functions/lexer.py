@@ -14,17 +14,15 @@ short derived texts:
 Rules worth knowing: a quote opens a string in every file type; strings and block
 comments run over line ends; ``-`` is a word character; a closing ``-->`` sticks to the
 word characters behind it; a line with nothing but ``\r`` inside a block comment is blank.
+
+Every function returns SQL expression text (arguments are SQL text as well): the whole
+scanner reaches the JVM in a few parses instead of thousands of calls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from linetally.functions.text import line_count, occurrences
-
 WORD = "A-Za-z0-9_-"
 
 # Code words that add one to the complexity.
@@ -34,7 +32,10 @@ NOTE_WORDS = ["todo", "hack", "fixme"]
 # Word prefixes that count as a secret.
 SECRET_PREFIXES = ["AKIA", "ghp_", "sk_live_", "xoxb-"]
 
-QUOTES = ['"', "'", "`"]
+
+def raw(pattern: str) -> str:
+    """A regular expression as a raw SQL literal (single quotes in hexadecimal)."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
 def _quoted(q: str) -> str:
@@ -43,7 +44,7 @@ def _quoted(q: str) -> str:
     return rf"{q}[^{q}\\]*+(?:\\\r*[\s\S][^{q}\\]*+)*+(?:{q}|\\?\z)"
 
 
-_STRINGS = "|".join(_quoted(q) for q in QUOTES)
+_STRINGS = "|".join(_quoted(q) for q in "\"'`")
 
 COMMENTS = {
     "c": r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)",
@@ -63,142 +64,129 @@ CHUNKS = {
     style: "|".join(part for part in (COMMENTS[style], _STRINGS, _CODE[style]) if part) for style in COMMENTS
 }
 
-
-def _by_style(style: Column, build: Callable[[str], Column]) -> Column:
-    """One branch per style, so that every pattern in the plan is a constant."""
-    result = F.when(style == "c", build("c")).when(style == "p", build("p")).when(style == "h", build("h"))
-    return result.otherwise(build("n"))
-
-
-def _starts(chunk: Column, *openers: str) -> Column:
-    test = chunk.startswith(openers[0])
-    for opener in openers[1:]:
-        test = test | chunk.startswith(opener)
-    return test
-
-
-def _is_comment(chunk: Column, style: str) -> Column:
-    openers = {"c": ("//", "/*"), "p": ("#", '"""', "'''"), "h": ("<!--",)}
-    return _starts(chunk, *openers[style]) if style in openers else F.lit(False)
+# Chunks that start like this are comments. Code never starts with a quote, ``#``, ``//``,
+# ``/*`` or ``<!--``, so the first characters tell the three kinds apart.
+_COMMENT_TEST = {
+    "c": "left({0}, 2) IN ('//', '/*')",
+    "p": "left({0}, 1) = '#' OR left({0}, 3) IN ('\"\"\"', repeat(chr(39), 3))",
+    "h": "left({0}, 4) = '<!--'",
+    "n": "false",
+}
+_STRING_TEST = "left({0}, 1) IN ('\"', chr(39), '`')"
 
 
-def _is_string(chunk: Column) -> Column:
-    return _starts(chunk, *QUOTES)
+def _by_style(style: str, build: Callable[[str], str]) -> str:
+    """One branch per style, so that every pattern in the plan is a constant."""
+    branches = " ".join(f"WHEN '{s}' THEN {build(s)}" for s in "cph")
+    return f"CASE {style} {branches} ELSE {build('n')} END"
 
 
-def _is_code(chunk: Column, style: str) -> Column:
-    return ~(_is_comment(chunk, style) | _is_string(chunk))
+def _is_comment(chunk: str, style: str) -> str:
+    return f"({_COMMENT_TEST[style].format(chunk)})"
 
 
-def _closed(chunk: Column) -> Column:
-    return chunk.contains("-->")
+def _is_string(chunk: str) -> str:
+    return f"({_STRING_TEST.format(chunk)})"
 
 
-def _html_note(chunk: Column) -> Column:
+def _html_note(chunk: str) -> str:
     """Text of an html comment as words see it: no opener, ``-->word`` cut to ``--``."""
-    inner = F.substring(chunk, 5, 1 << 30)
-    return F.when(_closed(inner), F.concat(F.substring_index(inner, "-->", 1), F.lit("--"))).otherwise(inner)
+    inner = f"substring({chunk}, 5)"
+    return f"CASE WHEN contains({inner}, '-->') THEN substring_index({inner}, '-->', 1) || '--' ELSE {inner} END"
 
 
-def chunks(content: Column, style: Column) -> Column:
+def chunks(content: str, style: str) -> str:
     """``ARRAY<STRING>`` of comments, strings and code runs, in file order."""
-    return _by_style(style, lambda s: F.regexp_extract_all(content, F.lit(CHUNKS[s]), F.lit(0)))
+    return _by_style(style, lambda s: f"regexp_extract_all({content}, {raw(CHUNKS[s])}, 0)")
 
 
-def skeleton(pieces: Column, style: Column) -> Column:
-    def shape(s: str) -> Callable[[Column], Column]:
-        def one(chunk: Column) -> Column:
-            noted = F.regexp_replace(chunk, r"[^\r\n]++", "c")
-            if s == "h":
-                glued = _closed(F.substring(chunk, 5, 1 << 30)) & ~chunk.endswith("-->")
-                noted = F.concat(noted, F.when(glued, F.lit("x")).otherwise(F.lit("")))
-            quoted = F.regexp_replace(chunk, r"[^\r\n]++", "x")
-            plain = F.regexp_replace(chunk, r"[^ \t\r\n][^\n]*+", "x")
-            result = F.when(_is_string(chunk) & ~_is_comment(chunk, s), quoted)
-            if s != "n":
-                result = result.when(_is_comment(chunk, s), noted)
-            return result.otherwise(plain)
+def skeleton(pieces: str, style: str) -> str:
+    """Comment text as ``c``, code and string text as ``x``, line ends kept."""
+    run = raw(r"[^\r\n]++")
+    noted, quoted = f"regexp_replace(t, {run}, 'c')", f"regexp_replace(t, {run}, 'x')"
+    plain = f"regexp_replace(t, {raw(r'[^ \t\r\n][^\n]*+')}, 'x')"
+    glued = "CASE WHEN contains(substring(t, 5), '-->') AND NOT endswith(t, '-->') THEN 'x' ELSE '' END"
 
-        return one
+    def shaped(s: str) -> str:
+        comment = f"{noted} || {glued}" if s == "h" else noted
+        one = f"CASE WHEN {_is_comment('t', s)} THEN {comment} WHEN {_is_string('t')} THEN {quoted} ELSE {plain} END"
+        return f"array_join(transform({pieces}, t -> {one}), '')"
 
-    return _by_style(style, lambda s: F.array_join(F.transform(pieces, shape(s)), ""))
+    return _by_style(style, shaped)
 
 
-def code_text(pieces: Column, style: Column) -> Column:
+def code_text(pieces: str, style: str) -> str:
     """Code chunks joined by a space, with one space in front."""
-    return F.concat(
-        F.lit(" "),
-        _by_style(style, lambda s: F.array_join(F.filter(pieces, lambda c: _is_code(c, s)), " ")),
-    )
 
+    def code(s: str) -> str:
+        return f"array_join(filter({pieces}, t -> NOT ({_is_comment('t', s)} OR {_is_string('t')})), ' ')"
+
+    return f"' ' || {_by_style(style, code)}"
 
-def note_text(pieces: Column, style: Column) -> Column:
+
+def note_text(pieces: str, style: str) -> str:
     """Comment chunks joined by a newline."""
 
-    def notes(s: str) -> Column:
+    def notes(s: str) -> str:
         if s == "n":
-            return F.lit("")
-        found = F.filter(pieces, lambda c: _is_comment(c, s))
-        return F.array_join(F.transform(found, _html_note) if s == "h" else found, "\n")
+            return "''"
+        found = f"filter({pieces}, t -> {_is_comment('t', s)})"
+        if s == "h":
+            found = f"transform({found}, t -> {_html_note('t')})"
+        return f"array_join({found}, '\n')"
 
     return _by_style(style, notes)
 
 
-def code_lines(skel: Column) -> Column:
-    return F.regexp_count(skel, F.lit(r"x[^\n]*+")).cast("bigint")
+def occurrences(text: str, sign: str) -> str:
+    """Count of a one-byte character without a regular expression."""
+    return f"(octet_length({text}) - octet_length(replace({text}, '{sign}', '')))"
+
+
+def line_count(content: str) -> str:
+    ended = f"{content} = '' OR endswith({content}, '\n')"
+    return f"cast({occurrences(content, chr(10))} + CASE WHEN {ended} THEN 0 ELSE 1 END AS bigint)"
+
+
+def _count(text: str, pattern: str, as_type: str = "bigint") -> str:
+    return f"cast(regexp_count({text}, {raw(pattern)}) AS {as_type})"
+
+
+def code_lines(skel: str) -> str:
+    return _count(skel, r"x[^\n]*+")
 
 
-def comment_lines(skel: Column) -> Column:
-    return F.regexp_count(skel, F.lit(r"(?md)^[^x\n]*c[^x\n]*$")).cast("bigint")
+def comment_lines(skel: str) -> str:
+    return _count(skel, r"(?md)^[^x\n]*c[^x\n]*$")
 
 
-def complexity(code: Column) -> Column:
+def complexity(code: str) -> str:
     """Branch words, ``?``, and every ``&`` or ``|`` followed by the same sign."""
-    words = F.regexp_count(code, F.lit(rf"[^{WORD}](?:{'|'.join(BRANCH_WORDS)})(?![{WORD}])"))
+    words = _count(code, rf"[^{WORD}](?:{'|'.join(BRANCH_WORDS)})(?![{WORD}])")
 
-    def doubled(sign: str, pattern: str) -> Column:
-        return F.when(code.contains(sign * 2), F.regexp_count(code, F.lit(pattern))).otherwise(F.lit(0))
+    def doubled(pair: str, pattern: str) -> str:
+        return f"CASE WHEN contains({code}, '{pair}') THEN {_count(code, pattern)} ELSE 0 END"
 
-    total = words + occurrences(code, "?") + doubled("&", "&(?=&)") + doubled("|", r"\|(?=\|)")
-    return total.cast("double")
+    total = f"{words} + {occurrences(code, '?')} + {doubled('&&', '&(?=&)')} + {doubled('||', '[|](?=[|])')}"
+    return f"cast({total} AS double)"
 
 
-def todo_count(notes: Column) -> Column:
+def todo_count(notes: str) -> str:
     words = "|".join(NOTE_WORDS)
-    pattern = rf"(?i)(?:{words})(?![{WORD}])(?<![{WORD}](?:{words}))"
-    return F.regexp_count(notes, F.lit(pattern)).cast("bigint")
+    return _count(notes, rf"(?i)(?:{words})(?![{WORD}])(?<![{WORD}](?:{words}))")
 
 
-def secret_count(content: Column, pieces: Column, style: Column) -> Column:
+def secret_count(content: str, pieces: str, style: str) -> str:
     """Words that start with a secret prefix, in code, strings and comments alike.
 
     Files without any prefix (nearly all) leave after four substring tests.
     """
     prefixes = "|".join(SECRET_PREFIXES)
-    pattern = F.lit(rf"(?:{prefixes})(?<![{WORD}](?:{prefixes}))")
-    html_words = F.array_join(
-        F.transform(
-            pieces,
-            lambda c: F.when(_is_comment(c, "h"), F.concat(F.lit(" "), _html_note(c))).otherwise(c),
-        ),
-        "",
+    pattern = rf"(?:{prefixes})(?<![{WORD}](?:{prefixes}))"
+    suspect = " OR ".join(f"contains({content}, '{p}')" for p in SECRET_PREFIXES)
+    html = f"transform({pieces}, t -> CASE WHEN {_is_comment('t', 'h')} THEN ' ' || {_html_note('t')} ELSE t END)"
+    html_words = f"array_join({html}, '')"
+    return (
+        f"CASE WHEN NOT ({suspect}) THEN 0L WHEN {style} = 'h' THEN {_count(html_words, pattern)} "
+        f"ELSE {_count(content, pattern)} END"
     )
-    suspect = content.contains(SECRET_PREFIXES[0])
-    for prefix in SECRET_PREFIXES[1:]:
-        suspect = suspect | content.contains(prefix)
-    counted = F.when(style == "h", F.regexp_count(html_words, pattern)).otherwise(F.regexp_count(content, pattern))
-    return F.when(suspect, counted).otherwise(F.lit(0)).cast("bigint")
-
-
-__all__ = [
-    "chunks",
-    "code_lines",
-    "code_text",
-    "comment_lines",
-    "complexity",
-    "line_count",
-    "note_text",
-    "secret_count",
-    "skeleton",
-    "todo_count",
-]

@@ -10,6 +10,15 @@ def normalise(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def base_name_sql(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
+
+
+def extension_sql(path: str) -> str:
+    name = base_name_sql(path)
+    return f"CASE WHEN locate('.', {name}, 2) > 0 THEN substring_index({name}, '.', -1) END"
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

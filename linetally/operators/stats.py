@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linetally.functions import lexer, scores
-from linetally.functions.language import comment_style, language_of
+from linetally.functions.language import language_sql, style_sql
 from linetally.functions.paths import parent_dir
-from linetally.functions.text import line_count
 from linetally.operators.rows import with_totals
 
 COUNTERS = ["lines", "blank_lines", "comment_lines", "code_lines", "complexity", "todo_count", "secrets_found"]
 
+_FACTS = ["path", "root", "size_bytes", "created_at", "modified_at"]
+
 SORT_KEYS = {
     "files": "files",
     "lines": "lines",
@@ -26,50 +27,45 @@ SORT_KEYS = {
 }
 
 
-def file_stats(files: DataFrame) -> DataFrame:
+def file_stats(files: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
     """One row of counters per file, in one pass over the content and without a shuffle.
 
     The chunk array and the texts derived from it are separate projections: each is used
-    several times above, so the optimizer keeps it computed once, and columns nobody
-    reads are pruned together with the work behind them. At scale, write the result as a
-    table once and run every view on that.
+    several times above, so the optimizer keeps it computed once. The finished counters
+    leave through a one-element generator, because a filter on them would otherwise be
+    pushed down to the content and repeat the whole scan inside the filter condition.
+    Name the ``counters`` you need to skip the work behind the others. At scale, write
+    the result as a table once and run every view on that.
     """
-    content, path = F.col("content"), F.col("path")
-    cut = files.withColumn("_style", comment_style(path)).withColumn("_chunks", lexer.chunks(content, F.col("_style")))
-    pieces, style = F.col("_chunks"), F.col("_style")
-    texts = cut.select(
+    styled = files.selectExpr(*_FACTS, "content", f"{style_sql('path')} AS _style")
+    cut = styled.selectExpr("*", f"{lexer.chunks('content', '_style')} AS _chunks")
+    texts = cut.selectExpr(
         "*",
-        lexer.skeleton(pieces, style).alias("_skeleton"),
-        lexer.code_text(pieces, style).alias("_code"),
-        lexer.note_text(pieces, style).alias("_notes"),
-        lexer.secret_count(content, pieces, style).alias("secrets_found"),
+        f"{lexer.skeleton('_chunks', '_style')} AS _skeleton",
+        f"{lexer.code_text('_chunks', '_style')} AS _code",
+        f"{lexer.note_text('_chunks', '_style')} AS _notes",
     )
-    counted = texts.select(
-        path,
-        "root",
-        language_of(path, content).alias("language"),
-        line_count(content).alias("lines"),
-        lexer.comment_lines(F.col("_skeleton")).alias("comment_lines"),
-        lexer.code_lines(F.col("_skeleton")).alias("code_lines"),
-        lexer.complexity(F.col("_code")).alias("complexity"),
-        lexer.todo_count(F.col("_notes")).alias("todo_count"),
-        "secrets_found",
-        "size_bytes",
-        "created_at",
-        "modified_at",
+    counted = texts.selectExpr(
+        "*",
+        f"{lexer.line_count('content')} AS lines",
+        f"{lexer.comment_lines('_skeleton')} AS comment_lines",
+        f"{lexer.code_lines('_skeleton')} AS code_lines",
     )
-    blank = F.col("lines") - F.col("comment_lines") - F.col("code_lines")
-    return counted.select(
+    expressions = {
+        "lines": "lines",
+        "blank_lines": "lines - comment_lines - code_lines",
+        "comment_lines": "comment_lines",
+        "code_lines": "code_lines",
+        "complexity": lexer.complexity("_code"),
+        "todo_count": lexer.todo_count("_notes"),
+        "secrets_found": lexer.secret_count("content", "_chunks", "_style"),
+    }
+    wanted = ", ".join(f"{expressions[c]} AS {c}" for c in COUNTERS if c in counters)
+    return counted.selectExpr(
         "path",
         "root",
-        "language",
-        "lines",
-        blank.alias("blank_lines"),
-        "comment_lines",
-        "code_lines",
-        "complexity",
-        "todo_count",
-        "secrets_found",
+        f"{language_sql('path', 'content')} AS language",
+        f"inline(array(struct({wanted})))",
         "size_bytes",
         "created_at",
         "modified_at",
@@ -78,8 +74,9 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 def language_sizes(files: DataFrame) -> DataFrame:
     """``path, root, language, lines`` only: no lexemes, for shares and rankings."""
-    path, content = F.col("path"), F.col("content")
-    return files.select("path", "root", language_of(path, content).alias("language"), line_count(content).alias("lines"))
+    return files.selectExpr(
+        "path", "root", f"{language_sql('path', 'content')} AS language", f"{lexer.line_count('content')} AS lines"
+    )
 
 
 def _sums(columns: Sequence[str], of: DataFrame) -> list[Column]:

@@ -42,12 +42,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.file_stats(B.all_files(spark, sf_dir))
+def _stats(spark: SparkSession, sf_dir: str, *counters: str) -> DataFrame:
+    return stats.file_stats(B.all_files(spark, sf_dir), counters or stats.COUNTERS)
 
 
-def _code_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.file_stats(B.code_files(spark, sf_dir))
+def _code_stats(spark: SparkSession, sf_dir: str, *counters: str) -> DataFrame:
+    return stats.file_stats(B.code_files(spark, sf_dir), counters or stats.COUNTERS)
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,27 +97,27 @@ def lang_json_report(spark, sf_dir):
 
 @query
 def lang_csv_report(spark, sf_dir):
-    return reports.lang_csv_rows(_stats(spark, sf_dir))
+    return reports.lang_csv_rows(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines"))
 
 
 @query
 def details_csv_report(spark, sf_dir):
-    return reports.details_csv_rows(_stats(spark, sf_dir), semicolons=True)
+    return reports.details_csv_rows(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines", "complexity"), semicolons=True)
 
 
 @query
 def dir_csv_report(spark, sf_dir):
-    return reports.dir_csv_rows(_stats(spark, sf_dir))
+    return reports.dir_csv_rows(_stats(spark, sf_dir, "lines", "code_lines", "comment_lines"))
 
 
 @query
 def findings(spark, sf_dir):
-    return rules.findings(_stats(spark, sf_dir))
+    return rules.findings(_stats(spark, sf_dir, "complexity", "secrets_found"))
 
 
 @query
 def sarif_results(spark, sf_dir):
-    documents = rules.sarif_documents(rules.findings(_stats(spark, sf_dir)), results_per_document=50)
+    documents = rules.sarif_documents(rules.findings(_stats(spark, sf_dir, "complexity", "secrets_found")), results_per_document=50)
     parsed = documents.select("root", F.from_json("document", SARIF_SCHEMA).alias("d"))
     rows = parsed.select("root", F.explode(F.col("d.runs")[0]["results"]).alias("r"))
     uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
@@ -151,7 +151,7 @@ def min_lines(spark, sf_dir):
 
 @query
 def failures_only(spark, sf_dir):
-    kept = filters.failures_only(_stats(spark, sf_dir), complexity_threshold=3.0, max_lines=100)
+    kept = filters.failures_only(_stats(spark, sf_dir, "lines", "complexity"), complexity_threshold=3.0, max_lines=100)
     return kept.select("root", "path", "lines", "complexity")
 
 
@@ -186,39 +186,38 @@ def drop_small_shares(spark, sf_dir):
 
 @query
 def language_labels(spark, sf_dir):
-    path, content = F.col("path"), F.col("content")
-    return B.sample_files(spark, sf_dir).select("path", language_of(path, content).alias("language"))
+    return B.sample_files(spark, sf_dir).select("path", language_of().alias("language"))
 
 
 @query
 def extensions(spark, sf_dir):
-    path = F.col("path")
-    return B.sample_files(spark, sf_dir).select("path", extension_of(path).alias("extension"), comment_style(path).alias("style"))
+    extension = extension_of(F.col("path")).alias("extension")
+    return B.sample_files(spark, sf_dir).select("path", extension, comment_style().alias("style"))
 
 
 @query
 def shebang_labels(spark, sf_dir):
-    return B.sample_files(spark, sf_dir).select("path", shebang_language(F.col("content")).alias("language"))
+    return B.sample_files(spark, sf_dir).select("path", shebang_language().alias("language"))
 
 
 @query
 def line_counts(spark, sf_dir):
-    return _stats(spark, sf_dir).select("root", "path", "lines", "blank_lines", "comment_lines", "code_lines")
+    return _stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines").select("root", "path", "lines", "blank_lines", "comment_lines", "code_lines")
 
 
 @query
 def complexity(spark, sf_dir):
-    return _stats(spark, sf_dir).select("root", "path", "complexity")
+    return _stats(spark, sf_dir, "complexity").select("root", "path", "complexity")
 
 
 @query
 def todo_count(spark, sf_dir):
-    return _stats(spark, sf_dir).select("root", "path", "todo_count")
+    return _stats(spark, sf_dir, "todo_count").select("root", "path", "todo_count")
 
 
 @query
 def secret_count(spark, sf_dir):
-    return _stats(spark, sf_dir).select("root", "path", "secrets_found")
+    return _stats(spark, sf_dir, "secrets_found").select("root", "path", "secrets_found")
 
 
 @query
@@ -255,7 +254,7 @@ def typehint_count(spark, sf_dir):
 
 @query
 def style_issues(spark, sf_dir):
-    return search.style_issues(B.all_files(spark, sf_dir))
+    return search.style_issues(B.all_files(spark, sf_dir)).na.fill(0, ["line_no"])
 
 
 @query
@@ -288,12 +287,12 @@ def age_buckets(spark, sf_dir):
 
 @query
 def complexity_bands(spark, sf_dir):
-    return views.complexity_bands(_stats(spark, sf_dir))
+    return views.complexity_bands(_stats(spark, sf_dir, "complexity"))
 
 
 @query
 def cost_estimate(spark, sf_dir):
-    total = stats.cost_estimate(_stats(spark, sf_dir))
+    total = stats.cost_estimate(_stats(spark, sf_dir, "code_lines"))
     return total.select("code_lines", *[F.round(c, 3).alias(c) for c in ("effort", "months", "people", "cost")])
 
 
@@ -335,7 +334,7 @@ def compare_corpora(spark, sf_dir):
 
 @query
 def hotspot_risk(spark, sf_dir):
-    return history.hotspot_risk(history.hotspots(B.changes(spark, sf_dir)), _code_stats(spark, sf_dir))
+    return history.hotspot_risk(history.hotspots(B.changes(spark, sf_dir)), _code_stats(spark, sf_dir, "complexity"))
 
 
 @query
@@ -352,7 +351,7 @@ def file_report(spark, sf_dir):
 
 @query
 def check_policy(spark, sf_dir):
-    return rules.check_policy(_stats(spark, sf_dir), B.policy(spark, POLICY_ROWS))
+    return rules.check_policy(_stats(spark, sf_dir, "lines", "complexity", "todo_count", "secrets_found"), B.policy(spark, POLICY_ROWS))
 
 
 # Aggregations
@@ -380,18 +379,18 @@ def lang_shares(spark, sf_dir):
 
 @query
 def dir_stats(spark, sf_dir):
-    return stats.dir_stats(_stats(spark, sf_dir))
+    return stats.dir_stats(_stats(spark, sf_dir, "lines", "code_lines", "comment_lines"))
 
 
 @query
 def health_score(spark, sf_dir):
-    scored = stats.health_score(_stats(spark, sf_dir), by=("root",))
+    scored = stats.health_score(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines", "complexity"), by=("root",))
     return scored.withColumn("suggestions", F.array_join("suggestions", "; ")).withColumn("score", F.round("score", 6))
 
 
 @query
 def project_health(spark, sf_dir):
-    scored = stats.health_score(_stats(spark, sf_dir))
+    scored = stats.health_score(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines", "complexity"))
     return scored.select(F.round("score", 6).alias("score"), "status", "sustainability")
 
 
@@ -415,7 +414,7 @@ def contributors(spark, sf_dir):
 @query
 def contributor_impact(spark, sf_dir):
     impact = history.contributor_impact(B.commits(spark, sf_dir), B.changes(spark, sf_dir), SKIP_AUTHOR)
-    return impact.withColumn("impact_pct", F.round("impact_pct", 9))
+    return impact.withColumn("impact_pct", F.round("impact_pct", 9)).na.fill(-1, ["files_changed"])
 
 
 @query
@@ -491,7 +490,7 @@ def top_files(spark, sf_dir):
 
 @query
 def top_complex_files(spark, sf_dir):
-    return views.top_complex_files(_stats(spark, sf_dir), 15)
+    return views.top_complex_files(_stats(spark, sf_dir, "complexity"), 15)
 
 
 @query
@@ -510,12 +509,12 @@ def top_languages(spark, sf_dir):
 @query
 def issues(spark, sf_dir):
     files = B.all_files(spark, sf_dir)
-    return rules.issues(stats.file_stats(files), analysis.naming_violations(files), complexity_threshold=3.0, max_lines=100)
+    return rules.issues(stats.file_stats(files, ["lines", "complexity"]), analysis.naming_violations(files), complexity_threshold=3.0, max_lines=100)
 
 
 @query
 def refactor_candidates(spark, sf_dir):
-    return views.refactor_candidates(_stats(spark, sf_dir), complexity_threshold=3.0, max_lines=100)
+    return views.refactor_candidates(_stats(spark, sf_dir, "lines", "complexity"), complexity_threshold=3.0, max_lines=100)
 
 
 @query
