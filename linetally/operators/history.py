@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linetally.functions import scores
 from linetally.functions.text import line_count
 from linetally.operators.rows import with_totals
+from linetally.operators.stats import file_stats
 
 UNKNOWN_AUTHOR = "Unknown"
 SKIPPED_AUTHOR = "cursor"
@@ -46,15 +47,16 @@ def recent_churn(
     return hotspots(changes.join(recent, "commit_id", "left_semi"), top)
 
 
-def hotspot_risk(hot: DataFrame, stats: DataFrame, bounded: bool = True) -> DataFrame:
+def hotspot_risk(hot: DataFrame, source: DataFrame, bounded: bool = True) -> DataFrame:
     """Hotspots with file complexity (0 if the file is unknown), score and risk level.
 
-    With ``bounded`` (``hot`` went through a limit) the few hot paths are broadcast as a
-    semi-join first, which lands below the projection of ``file_stats``: only hot files
-    are scanned for complexity.
+    ``source`` is a corpus or a stored ``file_stats`` table. With ``bounded`` (``hot``
+    went through a limit) the few hot paths are broadcast, and only hot files of a corpus
+    are scanned for their complexity.
     """
     keys = hot.select("path")
-    known = stats.select("path", "complexity").join(F.broadcast(keys) if bounded else keys, "path", "left_semi")
+    picked = source.join(F.broadcast(keys) if bounded else keys, "path", "left_semi")
+    known = picked if "complexity" in source.columns else file_stats(picked, ["complexity"])
     worst = known.groupBy("path").agg(F.max("complexity").alias("complexity"))
     scored = hot.join(worst, "path", "left").select(
         "path", "commits", F.coalesce("complexity", F.lit(0.0)).alias("complexity")

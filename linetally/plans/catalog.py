@@ -334,7 +334,7 @@ def compare_corpora(spark, sf_dir):
 
 @query
 def hotspot_risk(spark, sf_dir):
-    return history.hotspot_risk(history.hotspots(B.changes(spark, sf_dir)), _code_stats(spark, sf_dir, "complexity"))
+    return history.hotspot_risk(history.hotspots(B.changes(spark, sf_dir)), B.code_files(spark, sf_dir))
 
 
 @query
