@@ -13,7 +13,7 @@ from linetally.functions.paths import extension_of
 from linetally.functions.text import without_final_newline
 
 _WS = r"\p{IsWhite_Space}"
-_IDENT = "A-Za-z0-9_"
+_IDENT = r"\w"  # ASCII letters, digits and ``_``
 
 # Words that add one to the line-based complexity when a space stands on
 # both sides, and signs that add one anywhere.
@@ -24,8 +24,8 @@ FUNCTION_WORDS = ["def", "function", "fn"]
 # To-do words of the line-based measure.
 TODO_WORDS = ["todo", "fixme"]
 # Patterns for names, docstrings and type hints.
-FUNCTION_NAME = rf"(?:fn|def|function){_WS}+([a-zA-Z0-9_]+)"
-CLASS_NAME = rf"class{_WS}+([a-zA-Z0-9_]+)"
+FUNCTION_NAME = rf"(?:fn|def|function){_WS}+(\w+)"
+CLASS_NAME = rf"class{_WS}+(\w+)"
 DOCSTRING = rf'(?md)^[{_WS}&&[^\n]]*+(?:///|#|""")'
 TYPE_HINT = rf"(?::|->){_WS}*+[a-zA-Z_]"
 
@@ -128,7 +128,7 @@ def defined_names(path: Column, content: Column) -> Column:
 
 
 def identifiers(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(f"[{_IDENT}]+"), F.lit(0))
+    return F.regexp_extract_all(content, F.lit(r"\w+"), F.lit(0))
 
 
 def snake_case(name: Column) -> Column:

@@ -23,7 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-WORD = "A-Za-z0-9_-"
+# Word characters inside a class: ASCII letters, digits, ``_`` and ``-``. Java matches the
+# predefined class several times faster than the same ranges spelled out.
+WORD = r"\w-"
 
 # Code words that add one to the complexity.
 BRANCH_WORDS = ["if", "for", "while", "match", "catch", "case", "try", "except"]
@@ -162,7 +164,11 @@ def comment_lines(skel: str) -> str:
 
 def complexity(code: str) -> str:
     """Branch words, ``?``, and every ``&`` or ``|`` followed by the same sign."""
-    words = _count(code, rf"[^{WORD}](?:{'|'.join(BRANCH_WORDS)})(?![{WORD}])")
+    # A non-word character, the first letter, and only then the rest of each word: most
+    # positions fail at once. The last test turns away a leading ``-``.
+    firsts = "".join(dict.fromkeys(w[0] for w in BRANCH_WORDS))
+    rests = "|".join(f"(?<={w[0]}){w[1:]}" for w in BRANCH_WORDS)
+    words = _count(code, rf"\W[{firsts}](?:{rests})(?![{WORD}])(?<!-(?:{'|'.join(BRANCH_WORDS)}))")
 
     def doubled(pair: str, pattern: str) -> str:
         return f"CASE WHEN contains({code}, '{pair}') THEN {_count(code, pattern)} ELSE 0 END"

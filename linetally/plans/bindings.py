@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linetally.sources.corpus import as_corpus, union_roots
+from linetally.sources.corpus import as_corpus, spread, union_roots
 
 # One synthetic source file per part, in five languages.
 PART_PATH = (
@@ -63,11 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr(f"{PART_PATH} AS path", f"{PART_CONTENT} AS content")
-    return as_corpus(rows, "code")
+    return spread(as_corpus(rows, "code"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_corpus(table(spark, sf_dir, "pages").selectExpr(f"{PAGE_PATH} AS path", "html AS content"), "site")
+    rows = table(spark, sf_dir, "pages").selectExpr(f"{PAGE_PATH} AS path", "html AS content")
+    return spread(as_corpus(rows, "site"))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp_seconds(1700000000 + doc_id * 977) AS modified_at",
         "timestamp_seconds(1690000000 + doc_id) AS created_at",
     )
-    return as_corpus(rows, "prose")
+    return spread(as_corpus(rows, "prose"))
 
 
 def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,17 @@ def union_roots(corpora: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, corpora)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Spread a corpus that was read as fewer partitions than there are cores.
+
+    Scanning text costs far more than moving it, and a small table may sit in one row
+    group. A corpus with enough partitions (any large one) is returned as it is, without
+    a shuffle.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, "path")
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Files that are valid UTF-8: the ones text analysis looks at."""
     return files.filter("valid_utf8") if "valid_utf8" in files.columns else files
