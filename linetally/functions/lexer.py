@@ -74,7 +74,8 @@ _COMMENT_TEST = {
     "h": "left({0}, 4) = '<!--'",
     "n": "false",
 }
-_STRING_TEST = "left({0}, 1) IN ('\"', chr(39), '`')"
+_QUOTE_LITERALS = ["'\"'", "chr(39)", "'`'"]
+_STRING_TEST = f"left({{0}}, 1) IN ({', '.join(_QUOTE_LITERALS)})"
 
 
 def _by_style(style: str, build: Callable[[str], str]) -> str:
@@ -98,8 +99,19 @@ def _html_note(chunk: str) -> str:
 
 
 def chunks(content: str, style: str) -> str:
-    """``ARRAY<STRING>`` of comments, strings and code runs, in file order."""
-    return _by_style(style, lambda s: f"regexp_extract_all({content}, {raw(CHUNKS[s])}, 0)")
+    """``ARRAY<STRING>`` of comments, strings and code runs, in file order.
+
+    Text without a quote in a file type without comments is one chunk as it stands.
+    """
+
+    def cut(s: str) -> str:
+        pieces = f"regexp_extract_all({content}, {raw(CHUNKS[s])}, 0)"
+        if s != "n":
+            return pieces
+        quoted = " OR ".join(f"contains({content}, {q})" for q in _QUOTE_LITERALS)
+        return f"CASE WHEN {quoted} THEN {pieces} ELSE array({content}) END"
+
+    return _by_style(style, cut)
 
 
 def skeleton(pieces: str, style: str) -> str:

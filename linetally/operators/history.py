@@ -81,38 +81,44 @@ def contributors(commits: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataF
 def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFrame:
     """Commits, insertions, deletions, distinct files, score and share per author; total row.
 
-    Commits without changes still count. Commits and changes are aggregated apart, so no
-    row is expanded for a second distinct count. Files have no total (null).
+    Changes are first reduced to one row per author and path, which settles the distinct
+    files without expanding rows and spreads a dominant author over all tasks. Commits
+    join that stream as rows of their own, so commits without changes count too. The
+    score is linear in the sums, so the rollup's total row carries the total score, which
+    is also the greatest. Files have no total (null).
     """
     named = counted_authors(commits, skip)
-    committed = named.groupBy("author").agg(F.count("*").alias("commits"))
-    changed = (
+    touched = (
         changes.join(named.select("commit_id", "author"), "commit_id", "inner")
-        .groupBy("author")
-        .agg(
-            F.sum("insertions").alias("insertions"),
-            F.sum("deletions").alias("deletions"),
-            F.count_distinct("path").alias("files_changed"),
-        )
+        .groupBy("author", "path")
+        .agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
     )
-    zero = F.lit(0).cast("bigint")
-    merged = committed.join(changed, "author", "left").select(
-        "author",
-        "commits",
-        *[F.coalesce(c, zero).alias(c) for c in ("insertions", "deletions", "files_changed")],
+    counted = ["commits", "insertions", "deletions", "files_changed"]
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    facts = touched.select(
+        "author", zero.alias("commits"), "insertions", "deletions", one.alias("files_changed")
+    ).unionByName(
+        named.select("author", one.alias("commits"), *[zero.alias(c) for c in counted[1:]])
     )
-    score = scores.impact_score(*[F.col(c) for c in ("commits", "insertions", "deletions", "files_changed")])
-    shared = with_totals(merged.withColumn("score", score), (), {"_score": F.sum("score")})
-    rows = shared.withColumn("impact_pct", scores.percent(F.col("score"), F.col("_score"))).drop("_score")
-    total = rows.agg(
-        F.lit("Total").alias("author"),
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("commits", "insertions", "deletions")],
-        F.lit(None).cast("bigint").alias("files_changed"),
-        F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"),
-        F.lit(100.0).alias("impact_pct"),
-        F.lit(True).alias("is_total"),
+    per_author = facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted])
+    rolled = per_author.rollup("author").agg(
+        F.grouping("author").alias("_g"), *[F.coalesce(F.sum(c), zero).alias(c) for c in counted]
+    )
+    is_total = F.col("_g") == 1
+    scored = rolled.select(
+        F.when(is_total, F.lit("Total")).otherwise(F.col("author")).alias("author"),
+        *counted,
+        scores.impact_score(*[F.col(c) for c in counted]).alias("score"),
+        is_total.alias("is_total"),
+    )
+    shared = with_totals(scored, (), {"_whole": F.max("score")})
+    share = scores.percent(F.col("score"), F.col("_whole"))
+    return (
+        shared.withColumn("impact_pct", F.when(F.col("is_total"), F.lit(100.0)).otherwise(share))
+        .withColumn("files_changed", F.when(~F.col("is_total"), F.col("files_changed")))
+        .drop("_whole")
+        .orderBy("is_total", F.desc("score"), "author")
     )
-    return rows.withColumn("is_total", F.lit(False)).unionByName(total).orderBy("is_total", F.desc("score"), "author")
 
 
 def line_ownership(ownership: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFrame:

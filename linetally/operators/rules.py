@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linetally.operators.analysis import dead_code, file_analysis
-from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES, with_lines
+from linetally.functions import analysis as A
+from linetally.functions.text import line_count
+from linetally.operators.analysis import dead_code
+from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES
 from linetally.operators.rows import emit
 
 # Limits that apply where a policy leaves one out.
@@ -148,16 +150,21 @@ def quality_gate(
 ) -> DataFrame:
     """One row per root: which checks failed, and ``has_issues``.
 
-    Size, line-based complexity and naming come from one aggregate; unused functions are
-    judged within the root.
+    Size, line-based complexity and naming are judged in one pass over the files; unused
+    functions are judged within the root.
     """
-    sized = with_lines(files).groupBy("root").agg(F.bool_or(F.col("lines") > max_lines).alias("large_file"))
-    analysed = file_analysis(files).groupBy("root").agg(
-        F.bool_or(F.col("keyword_complexity") >= complexity_threshold).alias("high_complexity"),
-        F.bool_or(F.col("naming_violations") > 0).alias("naming_violation"),
+    content, path = F.col("content"), F.col("path")
+    readable = F.col("valid_utf8") if "valid_utf8" in files.columns else F.lit(True)
+    judged = files.select(
+        "root",
+        (line_count(content) > max_lines).alias("large_file"),
+        (readable & (A.keyword_complexity(A.spaced_lines(content)) >= complexity_threshold)).alias("high_complexity"),
+        (readable & (F.size(A.naming_violations(path, content)) > 0)).alias("naming_violation"),
     )
+    checks = ["large_file", "high_complexity", "naming_violation"]
+    per_root = judged.groupBy("root").agg(*[F.bool_or(c).alias(c) for c in checks])
     unused = dead_code(files, by=("root",)).select("root", F.lit(True).alias("dead_code")).distinct()
-    checks = ["large_file", "high_complexity", "naming_violation", "dead_code"]
-    joined = sized.join(analysed, "root", "left").join(unused, "root", "left")
+    checks.append("dead_code")
+    joined = per_root.join(unused, "root", "left")
     filled = joined.select("root", *[F.coalesce(c, F.lit(False)).alias(c) for c in checks])
     return filled.withColumn("has_issues", F.greatest(*checks))
