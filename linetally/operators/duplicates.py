@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linetally.functions.text import numbered_lines, utrim
-from linetally.operators.rows import explode_once, small_enough
+from linetally.operators.rows import explode_once, settle, small_enough
 from linetally.sources.corpus import readable
 
 BLOCK_LINES = 5
@@ -104,7 +104,7 @@ def duplicate_blocks(
     start line, reading only files that hold a reported first place.
     """
     keys = block_keys(files, across_roots) if keys is None else keys
-    first = duplicate_locations(keys, top, 1).select("scope", "occurrences", "root", "path", "line_no")
+    first = settle(duplicate_locations(keys, top, 1).select("scope", "occurrences", "root", "path", "line_no"))
     wanted = first.groupBy("root", "path").agg(F.collect_set("line_no").alias("starts"))
     if _few_scopes(_scoped(files, across_roots), top):
         wanted = F.broadcast(wanted)

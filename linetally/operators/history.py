@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linetally.functions import scores
 from linetally.functions.text import line_count
-from linetally.operators.rows import with_totals
+from linetally.operators.rows import settle, with_totals
 from linetally.operators.stats import file_stats
 
 UNKNOWN_AUTHOR = "Unknown"
@@ -85,7 +85,8 @@ def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None
     files without expanding rows and spreads a dominant author over all tasks. Commits
     join that stream as rows of their own, so commits without changes count too. The
     score is linear in the sums, so the rollup's total row carries the total score, which
-    is also the greatest. Files have no total (null).
+    is also the greatest. The rows per author are settled once, as shares read them twice.
+    Files have no total (null).
     """
     named = counted_authors(commits, skip)
     touched = (
@@ -100,7 +101,7 @@ def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None
     ).unionByName(
         named.select("author", one.alias("commits"), *[zero.alias(c) for c in counted[1:]])
     )
-    per_author = facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted])
+    per_author = settle(facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted]))
     rolled = per_author.rollup("author").agg(
         F.grouping("author").alias("_g"), *[F.coalesce(F.sum(c), zero).alias(c) for c in counted]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,23 @@ def with_totals(df: DataFrame, by: Sequence[str], totals: dict[str, Column]) ->
     return df.select("*", *[df.agg(agg).scalar().alias(name) for name, agg in totals.items()])
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a reduced frame once and cut its lineage, for results used several times.
+
+    Uses a reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``,
+    so losing an executor does not repeat the work. Only a local session without that
+    setting gets a folder of its own; on a cluster without one the frame stays lazy.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linetally-checkpoint-"))
+    return df.checkpoint()
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows; counts at most one row more."""
     return df.limit(max_rows + 1).count() <= max_rows
