@@ -59,7 +59,10 @@ def keyword_complexity(spaced: Column) -> Column:
     """Line-based complexity. A space already taken by a function word or by the keyword
     before cannot serve a second keyword."""
     signs = "|".join(s.replace("|", r"\|").replace("?", r"\?") for s in SIGNS)
-    pattern = rf"(?i) (?<!(?:{_any(FUNCTION_WORDS)}) )(?:{_any(KEYWORDS)}) |{signs}"
+    firsts = "".join(dict.fromkeys(w[0] for w in KEYWORDS))
+    rests = "|".join(f"(?<={w[0]}){w[1:]}" for w in KEYWORDS)
+    taken = rf"(?<!(?:{_any(FUNCTION_WORDS)}) (?:{_any(KEYWORDS)}) )"
+    pattern = rf"(?i) [{firsts}](?:{rests}) {taken}|{signs}"
     return F.regexp_count(spaced, F.lit(pattern)).cast("double")
 
 

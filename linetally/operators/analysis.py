@@ -12,21 +12,35 @@ from linetally.operators.rows import explode_once
 from linetally.sources.corpus import readable
 
 
-def file_analysis(files: DataFrame) -> DataFrame:
-    """Line-based measures of every valid UTF-8 file."""
+MEASURES = [
+    "keyword_complexity",
+    "functions_count",
+    "todo_words",
+    "docstrings_count",
+    "typehints_count",
+    "naming_violations",
+]
+
+
+def file_analysis(files: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Line-based measures of every valid UTF-8 file.
+
+    As in ``file_stats``, the measures leave through a one-element generator so that
+    filters on them do not repeat the work; name the ``measures`` you need.
+    """
     path, content, spaced = F.col("path"), F.col("content"), F.col("_spaced")
     padded = readable(files).select("root", "path", "content", A.spaced_lines(content).alias("_spaced"))
-    measured = padded.select(
-        "root",
-        "path",
-        A.keyword_complexity(spaced).alias("keyword_complexity"),
-        A.functions_count(path, content, spaced).alias("functions_count"),
-        A.todo_words(content).alias("todo_words"),
-        A.docstring_count(path, content).alias("docstrings_count"),
-        A.typehint_count(path, content).alias("typehints_count"),
-        A.naming_violations(path, content).alias("naming_details"),
-    )
-    return measured.withColumn("naming_violations", F.size("naming_details").cast("bigint"))
+    named = padded.select("*", A.naming_violations(path, content).alias("naming_details"))
+    expressions = {
+        "keyword_complexity": lambda: A.keyword_complexity(spaced),
+        "functions_count": lambda: A.functions_count(path, content, spaced),
+        "todo_words": lambda: A.todo_words(content),
+        "docstrings_count": lambda: A.docstring_count(path, content),
+        "typehints_count": lambda: A.typehint_count(path, content),
+        "naming_violations": lambda: F.size("naming_details").cast("bigint"),
+    }
+    wanted = [expressions[m]().alias(m) for m in MEASURES if m in measures]
+    return named.select("root", "path", F.inline(F.array(F.struct(*wanted))))
 
 
 def naming_violations(files: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def file_report(files: DataFrame, paths: Iterable[str] | None = None) -> DataFra
         wanted = [p.replace("\\", "/") for p in paths]
         files = files.filter(F.col("path").isin(wanted))
     basics = file_stats(files).withColumn("has_stats", F.lit(True))
-    analysis = file_analysis(files).drop("naming_details").withColumn("has_analysis", F.lit(True))
+    analysis = file_analysis(files).withColumn("has_analysis", F.lit(True))
     joined = basics.join(analysis, ["root", "path"], "full_outer")
     if paths is not None:
         asked = files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(wanted)], "path string")

@@ -42,7 +42,7 @@ def block_keys(files: DataFrame, across_roots: bool = False) -> DataFrame:
     """
     scoped = _scoped(readable(files), across_roots)
     kept = scoped.select("scope", "root", "path", _kept_lines(F.col("content")).alias("kept"))
-    hashed = kept.filter(F.size("kept") >= BLOCK_LINES).select(
+    hashed = kept.select(
         "scope",
         "root",
         "path",
@@ -64,7 +64,8 @@ def block_keys(files: DataFrame, across_roots: bool = False) -> DataFrame:
             F.xxhash64(*[r["b"] for r in rows]).alias("key_b"),
         )
 
-    starts = F.sequence(F.lit(0), F.size("h") - BLOCK_LINES)
+    enough = F.size("h") >= BLOCK_LINES  # a filter here would be evaluated on the lines again
+    starts = F.when(enough, F.sequence(F.lit(0), F.size("h") - BLOCK_LINES))
     blocks = hashed.select("scope", "root", "path", F.transform(starts, block).alias("blocks"))
     rows = explode_once(blocks, "blocks", "b")
     return rows.select("scope", "b.key_a", "b.key_b", "root", "path", "b.line_no")

@@ -107,7 +107,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", f"{PART_PATH} AS path")
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
         .join(paths, "l_partkey", "inner")
         .select(
             F.col("l_orderkey").cast("string").alias("commit_id"),

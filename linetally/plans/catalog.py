@@ -222,17 +222,17 @@ def secret_count(spark, sf_dir):
 
 @query
 def keyword_complexity(spark, sf_dir):
-    return analysis.file_analysis(B.all_files(spark, sf_dir)).select("root", "path", "keyword_complexity")
+    return analysis.file_analysis(B.all_files(spark, sf_dir), ["keyword_complexity"])
 
 
 @query
 def functions_count(spark, sf_dir):
-    return analysis.file_analysis(B.all_files(spark, sf_dir)).select("root", "path", "functions_count")
+    return analysis.file_analysis(B.all_files(spark, sf_dir), ["functions_count"])
 
 
 @query
 def todo_words(spark, sf_dir):
-    return analysis.file_analysis(B.all_files(spark, sf_dir)).select("root", "path", "todo_words")
+    return analysis.file_analysis(B.all_files(spark, sf_dir), ["todo_words"])
 
 
 @query
@@ -242,13 +242,13 @@ def naming_violations(spark, sf_dir):
 
 @query
 def docstring_count(spark, sf_dir):
-    counted = analysis.file_analysis(B.all_files(spark, sf_dir)).select("root", "path", "docstrings_count")
+    counted = analysis.file_analysis(B.all_files(spark, sf_dir), ["docstrings_count"])
     return counted.filter("docstrings_count > 0")
 
 
 @query
 def typehint_count(spark, sf_dir):
-    counted = analysis.file_analysis(B.all_files(spark, sf_dir)).select("root", "path", "typehints_count")
+    counted = analysis.file_analysis(B.all_files(spark, sf_dir), ["typehints_count"])
     return counted.filter("typehints_count > 0")
 
 
@@ -442,8 +442,8 @@ def duplicate_locations(spark, sf_dir):
 
 @query
 def analysis_totals(spark, sf_dir):
-    counted = analysis.file_analysis(B.all_files(spark, sf_dir))
-    return stats.totals(counted, ["docstrings_count", "typehints_count", "functions_count", "naming_violations"])
+    measures = ["docstrings_count", "typehints_count", "functions_count", "naming_violations"]
+    return stats.totals(analysis.file_analysis(B.all_files(spark, sf_dir), measures), measures)
 
 
 @query

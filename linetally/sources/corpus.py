@@ -72,15 +72,15 @@ def union_roots(corpora: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, corpora)
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Spread a corpus that was read as fewer partitions than there are cores.
+def spread(df: DataFrame, key: str = "path") -> DataFrame:
+    """Spread a table that was read as fewer partitions than there are cores.
 
     Scanning text costs far more than moving it, and a small table may sit in one row
-    group. A corpus with enough partitions (any large one) is returned as it is, without
+    group. A table with enough partitions (any large one) is returned as it is, without
     a shuffle.
     """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, "path")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def readable(files: DataFrame) -> DataFrame:

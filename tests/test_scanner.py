@@ -105,3 +105,26 @@ def test_filters_on_counters_do_not_repeat_the_scan(corpus):
     plan = stats.filter("complexity >= 1 AND todo_count = 0")._jdf.queryExecution().optimizedPlan().toString()
     conditions = [line for line in plan.splitlines() if "Filter" in line]
     assert conditions and not any("regexp" in line for line in conditions)
+
+
+def test_exploded_arrays_are_built_once(corpus):
+    from linetally.operators import analysis, duplicates, search
+
+    files = corpus({"a.rs": "if x\n"})
+    frames = {
+        "RLIKE": search.grep(files, "needle"),
+        "split(": duplicates.block_keys(files),
+        "class\\p": analysis.naming_violations(files),
+    }
+    for mark, frame in frames.items():
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        conditions = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+        assert mark in plan and conditions and not any(mark in line for line in conditions), mark
+
+
+def test_filters_on_measures_do_not_repeat_the_analysis(corpus):
+    from linetally.operators.analysis import file_analysis
+
+    plan = file_analysis(corpus({"a.rs": "if x\n"})).filter("keyword_complexity > 1")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp" in line for line in text.splitlines() if "Filter" in line)
