@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 COMPLEXITY_LIMIT, COMPLEXITY_WEIGHT, COMPLEXITY_CAP = 5.0, 2.0, 30.0
 COMMENT_LIMIT, COMMENT_WEIGHT, COMMENT_CAP = 0.1, 200.0, 20.0
 BLANK_LIMIT, BLANK_WEIGHT, BLANK_CAP = 0.05, 200.0, 10.0
+# Advice that goes with each penalty.
+COMPLEXITY_ADVICE = "Average complexity is high (%.1f). Consider refactoring complex functions."
+COMMENT_ADVICE = "Comment density is low (%.1f%%). Consider adding more documentation."
+BLANK_ADVICE = "Blank line density is low (%.1f%%). Consider adding blank lines to separate logical blocks."
 
 
 def age_bucket(moment: Column, as_of: Column) -> Column:

@@ -82,13 +82,20 @@ def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def duplicate_locations(keys: DataFrame, top: int | None = 10, locations: int | None = 5) -> DataFrame:
-    """Repeated blocks with their first ``locations`` places (``None``: all of them)."""
+    """Repeated blocks with their first ``locations`` places (``None``: all of them).
+
+    A few reported blocks are broadcast to the keys. Otherwise the places are cut to the
+    first ones before they meet the repeated keys, so that each task hands on at most that
+    many rows of a block found everywhere.
+    """
     hot = repeated_keys(keys, top)
-    placed = keys.join(F.broadcast(hot) if _few_scopes(keys, top) else hot, KEY, "inner")
-    if locations is None:
-        return placed
-    order = Window.partitionBy(*KEY).orderBy("path", "root", "line_no")
-    return placed.withColumn("location_no", F.row_number().over(order)).filter(F.col("location_no") <= locations)
+    few = _few_scopes(keys, top)
+    if few:
+        keys = keys.join(F.broadcast(hot), KEY, "inner")
+    if locations is not None:
+        order = Window.partitionBy(*KEY).orderBy("path", "root", "line_no")
+        keys = keys.withColumn("location_no", F.row_number().over(order)).filter(F.col("location_no") <= locations)
+    return keys if few else keys.join(hot, KEY, "inner")
 
 
 def _few_scopes(df: DataFrame, top: int | None) -> bool:

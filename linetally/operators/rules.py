@@ -9,7 +9,7 @@ from linetally.functions import analysis as A
 from linetally.functions.text import line_count
 from linetally.operators.analysis import dead_code
 from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES
-from linetally.operators.rows import emit
+from linetally.operators.rows import emit, small_enough
 
 # Limits that apply where a policy leaves one out.
 POLICY_DEFAULTS = {
@@ -102,10 +102,15 @@ def findings(stats: DataFrame) -> DataFrame:
 
 def sharded(df: DataFrame, by: str, salt: str, rows_per_shard: int) -> DataFrame:
     """Add ``shard``: groups of ``by`` split by a hash of ``salt`` so that each shard holds
-    about ``rows_per_shard`` rows. Small groups stay in shard 0."""
+    about ``rows_per_shard`` rows. Small groups stay in shard 0.
+
+    The rows are partitioned by group and shard. Without that, a join on ``by`` would keep
+    a whole group in one task for the aggregation that follows.
+    """
     sizes = df.groupBy(by).agg(F.ceil(F.count("*") / F.lit(rows_per_shard)).alias("_shards"))
-    spread = df.join(sizes, by, "inner")
-    return spread.withColumn("shard", F.pmod(F.xxhash64(salt), F.col("_shards"))).drop("_shards")
+    counted = df.join(F.broadcast(sizes) if small_enough(sizes, 100_000) else sizes, by, "inner")
+    shard = F.pmod(F.xxhash64(salt), F.col("_shards")).alias("shard")
+    return counted.select(*df.columns, shard).repartition(by, "shard")
 
 
 def sarif_documents(found: DataFrame, tool: str = "linetally", results_per_document: int = 10_000) -> DataFrame:

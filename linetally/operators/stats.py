@@ -168,9 +168,9 @@ def health_score(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     scored = rates.withColumn("score", F.greatest(F.lit(100.0) - over - bare - dense, F.lit(0.0)))
     advice = F.array_compact(
         F.array(
-            F.when(avg > scores.COMPLEXITY_LIMIT, F.lit("reduce complexity")),
-            F.when(comments < scores.COMMENT_LIMIT, F.lit("add comments")),
-            F.when(blanks < scores.BLANK_LIMIT, F.lit("add blank lines")),
+            F.when(avg > scores.COMPLEXITY_LIMIT, F.format_string(scores.COMPLEXITY_ADVICE, avg)),
+            F.when(comments < scores.COMMENT_LIMIT, F.format_string(scores.COMMENT_ADVICE, comments * 100.0)),
+            F.when(blanks < scores.BLANK_LIMIT, F.format_string(scores.BLANK_ADVICE, blanks * 100.0)),
         )
     )
     return scored.select(

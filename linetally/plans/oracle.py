@@ -218,8 +218,10 @@ HEALTH_RATES = """SELECT {0} count(*)::BIGINT AS files, sum(complexity) / count(
   sum(comment_lines)::DOUBLE / sum(lines)::DOUBLE AS comment_density, sum(blank_lines)::DOUBLE / sum(lines)::DOUBLE AS blank_density
   FROM stats {1}"""
 HEALTH = """SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair' ELSE 'Needs Improvement' END AS status,
-  concat_ws('; ', CASE WHEN avg_complexity > 5 THEN 'reduce complexity' END, CASE WHEN comment_density < 0.1 THEN 'add comments' END,
-    CASE WHEN blank_density < 0.05 THEN 'add blank lines' END) AS suggestions,
+  concat_ws('; ', CASE WHEN avg_complexity > 5 THEN printf('Average complexity is high (%.1f). Consider refactoring complex functions.', avg_complexity) END,
+    CASE WHEN comment_density < 0.1 THEN printf('Comment density is low (%.1f%%). Consider adding more documentation.', comment_density * 100) END,
+    CASE WHEN blank_density < 0.05 THEN printf('Blank line density is low (%.1f%%). Consider adding blank lines to separate logical blocks.', blank_density * 100) END)
+    AS suggestions,
   CASE WHEN avg_complexity < 3 THEN 'brightgreen' WHEN avg_complexity < 5 THEN 'yellow' ELSE 'red' END AS sustainability
 FROM (SELECT *, round(greatest(100.0::DOUBLE - CASE WHEN avg_complexity > 5 THEN least((avg_complexity - 5) * 2, 30) ELSE 0 END
   - CASE WHEN comment_density < 0.1 THEN least((0.1::DOUBLE - comment_density) * 200, 20) ELSE 0 END

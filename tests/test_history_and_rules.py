@@ -141,7 +141,11 @@ def test_summary_sort_keys_and_shares(corpus):
 def test_health_penalties(corpus):
     worst = stats.health_score(stats.file_stats(corpus({"a.rs": "if " * 100}))).first()
     assert worst["score"] == 40.0 and worst["status"] == "Needs Improvement" and worst["sustainability"] == "red"
-    assert worst["suggestions"] == ["reduce complexity", "add comments", "add blank lines"]
+    assert worst["suggestions"] == [
+        "Average complexity is high (100.0). Consider refactoring complex functions.",
+        "Comment density is low (0.0%). Consider adding more documentation.",
+        "Blank line density is low (0.0%). Consider adding blank lines to separate logical blocks.",
+    ]
 
 
 def test_rankings(corpus):
