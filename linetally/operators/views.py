@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linetally.functions import scores
-from linetally.functions.paths import extension_of
 from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES, with_lines
 
 
@@ -109,8 +108,3 @@ def refactor_candidates(
         F.array_join(advice, " ").alias("advice"),
     )
     return judged.filter((lines > max_lines) | (complexity >= complexity_threshold))
-
-
-def extension_listing(files: DataFrame) -> DataFrame:
-    """``path`` and its extension; null when there is none."""
-    return files.select("root", "path", extension_of(F.col("path")).alias("extension"))

@@ -6,7 +6,7 @@ comment and quote openers only, so the two check each other.
 
 from __future__ import annotations
 
-from linetally.functions.language import EXTENSION_LABELS, NAME_LABELS, STYLE_EXTENSIONS, extension_map
+from linetally.functions.language import NAME_LABELS, STYLE_EXTENSIONS, extension_map
 from linetally.functions.text import WHITE_SPACE
 from linetally.plans import bindings as B
 from linetally.plans.catalog import AS_OF_EPOCH, DOC_REGEXES, GREP_PATTERN, SKIP_AUTHOR
@@ -416,5 +416,3 @@ SELECT DISTINCT *, {NODE.format('parent')} AS parent_id,
 ORACLE["openapi_operations"] = (
     "SELECT root, '3.0.0' AS openapi, route, method, 'Auto-generated ' || route || ' route' AS summary FROM (" + ORACLE["api_routes"] + ")"
 )
-
-__all__ = ["ORACLE", "EXTENSION_LABELS"]

@@ -51,7 +51,9 @@ def read_corpus(spark: SparkSession, location: str, fmt: str = "parquet", root:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
     text = F.col("content").cast("string")
     base = location.split(":", 1)[-1].strip("/")
-    below = F.substring_index(F.regexp_replace(normalise(F.col("path")), "^[a-z0-9]+:/*", ""), base + "/", -1)
+    whole = F.regexp_replace(normalise(F.col("path")), "^[a-z0-9]+:/*", "")
+    start = F.locate(f"{base}/", whole) + F.lit(len(base) + 1)
+    below = F.substring(whole, start, F.length(whole))
     return raw.select(
         below.alias("path"),
         F.lit(root if root is not None else location).alias("root"),

@@ -29,6 +29,14 @@ def test_directory_corpus_decodes_and_marks_bad_bytes(spark, tmp_path):
     assert [r["path"] for r in readable(files).collect()] == ["src/a.rs"]
 
 
+def test_directory_names_that_repeat_below_the_root(spark, tmp_path):
+    inner = tmp_path / "data" / "x" / str(tmp_path).strip("/") / "data"
+    inner.mkdir(parents=True)
+    (inner / "a b.rs").write_text("x\n")
+    files = read_corpus(spark, str(tmp_path / "data"), "binaryFile")
+    assert [r["path"] for r in files.collect()] == [f"x/{str(tmp_path).strip('/')}/data/a b.rs"]
+
+
 def test_table_corpora_are_united_by_root(spark, tmp_path):
     for root in ("one", "two"):
         spark.createDataFrame([(f"{root}\\.hidden.rs", "x\n")], "path string, content string").write.parquet(str(tmp_path / root))
