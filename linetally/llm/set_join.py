@@ -97,7 +97,10 @@ def subsets_listed(n: int, boundary: int) -> int:
 
 
 def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
-    """Keys of all subsets that a small set could share with another small one."""
+    """Keys of all subsets that a small set could share with another small one.
+
+    Odd keys are for a pair of different sizes: they link sets of both, not two of one.
+    """
     n = len(own)
     part = mixed(own)
     whole = part.sum(dtype=np.uint64)
@@ -108,7 +111,8 @@ def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
         low, high = min(n, m), max(n, m)
         tag = np.uint64((low << 40) | (high << 20) | c)
         left_out = [sum((int(part[i]) for i in gone), 0) & (1 << 64) - 1 for gone in itertools.combinations(range(n), n - c)]
-        out.append(mixed((whole - np.array(left_out, dtype=np.uint64)) ^ mixed(np.array([tag]))))
+        key = mixed((whole - np.array(left_out, dtype=np.uint64)) ^ mixed(np.array([tag])))
+        out.append(key & ~np.uint64(1) | np.uint64(low != high))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -288,9 +292,10 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
     """Links between nodes that connect all that link: not every link is listed."""
     one_of = sets.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"))
 
-    # small sets: every subset's sets are tied to the smallest of them
-    listed = sets.where("size(subsets) > 0").select("node", F.explode("subsets").alias("key")).distinct()
-    heads = listed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "head")
+    # small sets: a subset's sets are tied to one of them; of an odd key, if both sizes are there
+    listed = sets.where("size(subsets) > 0").select("node", "n", F.explode("subsets").alias("key")).distinct()
+    heads = listed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
+    heads = heads.where("k > 1 and (key % 2 = 0 or least < most)").select("key", "head")
     small = written(listed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "small-links")
 
     # inverted lists with at least two sets
