@@ -31,49 +31,71 @@ NAME_LABELS = {
     "requirements.txt": "Python Requirements",
 }
 
-# Label by lower-cased extension, and the extensions that carry it.
+# Label by lower-cased extension.
 EXTENSION_LABELS = {
-    "Rust": "rs",
-    "Python": "py pyw",
-    "JavaScript": "js mjs cjs",
-    "TypeScript": "ts mts cts",
-    "JavaScript JSX": "jsx",
-    "TypeScript JSX": "tsx",
-    "C": "c",
-    "C Header": "h",
-    "C++": "cpp cxx cc",
-    "C++ Header": "hpp hxx hh",
-    "C#": "cs",
-    "Java": "java",
-    "Go": "go",
-    "Ruby": "rb",
-    "PHP": "php",
-    "Swift": "swift",
-    "Kotlin": "kt kts",
-    "Scala": "scala",
-    "HTML": "html htm",
-    "CSS": "css",
-    "SCSS": "scss",
-    "Sass": "sass",
-    "Less": "less",
-    "Markdown": "md markdown",
-    "JSON": "json",
-    "XML": "xml",
-    "YAML": "yaml yml",
-    "TOML": "toml",
-    "Shell": "sh bash zsh bat cmd ps1",
-    "SQL": "sql",
-    "Vue": "vue",
-    "Svelte": "svelte",
-    "Dart": "dart",
-    "R": "r",
-    "Lua": "lua",
-    "Perl": "pl pm t",
-    "Text": "txt",
-    "INI": "ini",
-    "Config": "cfg conf config",
-    "CSV": "csv",
-    "Dotenv": "env",
+    "rs": "Rust",
+    "py": "Python",
+    "pyw": "Python",
+    "js": "JavaScript",
+    "mjs": "JavaScript",
+    "cjs": "JavaScript",
+    "ts": "TypeScript",
+    "mts": "TypeScript",
+    "cts": "TypeScript",
+    "jsx": "JavaScript JSX",
+    "tsx": "TypeScript JSX",
+    "c": "C",
+    "h": "C Header",
+    "cpp": "C++",
+    "cxx": "C++",
+    "cc": "C++",
+    "hpp": "C++ Header",
+    "hxx": "C++ Header",
+    "hh": "C++ Header",
+    "cs": "C#",
+    "java": "Java",
+    "go": "Go",
+    "rb": "Ruby",
+    "php": "PHP",
+    "swift": "Swift",
+    "kt": "Kotlin",
+    "kts": "Kotlin",
+    "scala": "Scala",
+    "html": "HTML",
+    "htm": "HTML",
+    "css": "CSS",
+    "scss": "SCSS",
+    "sass": "Sass",
+    "less": "Less",
+    "md": "Markdown",
+    "markdown": "Markdown",
+    "json": "JSON",
+    "xml": "XML",
+    "yaml": "YAML",
+    "yml": "YAML",
+    "toml": "TOML",
+    "sh": "Shell",
+    "bash": "Shell",
+    "zsh": "Shell",
+    "bat": "Shell",
+    "cmd": "Shell",
+    "ps1": "Shell",
+    "sql": "SQL",
+    "vue": "Vue",
+    "svelte": "Svelte",
+    "dart": "Dart",
+    "r": "R",
+    "lua": "Lua",
+    "pl": "Perl",
+    "pm": "Perl",
+    "t": "Perl",
+    "txt": "Text",
+    "ini": "INI",
+    "cfg": "Config",
+    "conf": "Config",
+    "config": "Config",
+    "csv": "CSV",
+    "env": "Dotenv",
 }
 
 # Shebang words, tried in this order.
@@ -85,21 +107,17 @@ SHEBANG_LABELS = {
     "perl": "Perl",
 }
 
-# Lower-cased extensions per comment style.
+# Lower-cased extensions of each comment style.
 STYLE_EXTENSIONS = {
-    "c": "c cpp h hpp js ts jsx tsx java rs go cs swift kt php",
-    "p": "py sh rb pl yml yaml",
-    "h": "html xml vue svelte md",
+    "c": ["c", "cpp", "h", "hpp", "js", "ts", "jsx", "tsx", "java", "rs", "go", "cs", "swift", "kt", "php"],
+    "p": ["py", "sh", "rb", "pl", "yml", "yaml"],
+    "h": ["html", "xml", "vue", "svelte", "md"],
 }
 
 UNKNOWN = "Unknown"
 SHEBANG_BYTES = 64
 
 
-def extension_map() -> dict[str, str]:
-    return {ext: label for label, exts in EXTENSION_LABELS.items() for ext in exts.split()}
-
-
 def _lookup(table: dict[str, str], key: str) -> str:
     pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
     return f"try_element_at(map({pairs}), {key})"
@@ -120,12 +138,12 @@ def language_sql(path: str, content: str) -> str:
     ext = f"lower({extension_sql(path)})"
     own = f"CASE WHEN {ext} = '' THEN '{UNKNOWN}' ELSE upper(left({ext}, 1)) || substring({ext}, 2) END"
     by_name = _lookup(NAME_LABELS, f"lower({base_name_sql(path)})")
-    return f"coalesce({by_name}, {_lookup(extension_map(), ext)}, {own}, {shebang_sql(content)}, '{UNKNOWN}')"
+    return f"coalesce({by_name}, {_lookup(EXTENSION_LABELS, ext)}, {own}, {shebang_sql(content)}, '{UNKNOWN}')"
 
 
 def style_sql(path: str) -> str:
     """``c``, ``p``, ``h`` or ``n`` (no comments), by lower-cased extension."""
-    listed = {style: ", ".join(f"'{e}'" for e in exts.split()) for style, exts in STYLE_EXTENSIONS.items()}
+    listed = {style: ", ".join(f"'{e}'" for e in exts) for style, exts in STYLE_EXTENSIONS.items()}
     tests = " ".join(f"WHEN lower({extension_sql(path)}) IN ({exts}) THEN '{style}'" for style, exts in listed.items())
     return f"CASE {tests} ELSE 'n' END"
 

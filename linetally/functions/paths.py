@@ -24,9 +24,9 @@ def base_name(path: Column) -> Column:
 
 
 def parent_dir(path: Column) -> Column:
-    """Immediate parent directory, ``.`` for a bare file name."""
+    """Immediate parent directory, ``.`` for a bare file name, ``/`` right below the top."""
     cut = F.length(path) - F.length(base_name(path)) - 1
-    return F.when(cut <= 0, F.lit(".")).otherwise(F.substring(path, F.lit(1), cut))
+    return F.when(cut < 0, F.lit(".")).when(cut == 0, F.lit("/")).otherwise(F.substring(path, F.lit(1), cut))
 
 
 def extension_of(path: Column) -> Column:

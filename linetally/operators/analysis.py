@@ -22,14 +22,15 @@ MEASURES = [
 ]
 
 
-def file_analysis(files: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+def file_analysis(files: DataFrame, measures: Sequence[str] = MEASURES, keep: Sequence[str] = ()) -> DataFrame:
     """Line-based measures of every valid UTF-8 file.
 
     As in ``file_stats``, the measures leave through a one-element generator so that
-    filters on them do not repeat the work; name the ``measures`` you need.
+    filters on them do not repeat the work; name the ``measures`` you need. Columns named
+    in ``keep`` stay.
     """
     path, content, spaced = F.col("path"), F.col("content"), F.col("_spaced")
-    padded = readable(files).select("root", "path", "content", A.spaced_lines(content).alias("_spaced"))
+    padded = readable(files).select("root", "path", "content", *keep, A.spaced_lines(content).alias("_spaced"))
     named = padded.select("*", A.naming_violations(path, content).alias("naming_details"))
     expressions = {
         "keyword_complexity": lambda: A.keyword_complexity(spaced),
@@ -40,7 +41,7 @@ def file_analysis(files: DataFrame, measures: Sequence[str] = MEASURES) -> DataF
         "naming_violations": lambda: F.size("naming_details").cast("bigint"),
     }
     wanted = [expressions[m]().alias(m) for m in MEASURES if m in measures]
-    return named.select("root", "path", F.inline(F.array(F.struct(*wanted))))
+    return named.select("root", "path", *keep, F.inline(F.array(F.struct(*wanted))))
 
 
 def naming_violations(files: DataFrame) -> DataFrame:

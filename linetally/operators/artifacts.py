@@ -24,11 +24,26 @@ ROUTE = r"""@app\.(get|post|put|delete|patch)\(["']([^"']+)["']\)"""
 OPENAPI_VERSION = "3.0.0"
 
 
-def _npm_packages(document: str) -> int | None:
+#: Levels of nesting from which a JSON document is refused.
+MOST_LEVELS = 127
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
+def _npm_packages(document: str | None) -> int | None:
+    if document is None:
+        return None
     try:
-        lock = json.loads(document)
+        lock = json.loads(document, parse_constant=_refuse)  # NaN and Infinity are no JSON
     except (ValueError, RecursionError):
         return None
+    level = [lock]
+    for _ in range(MOST_LEVELS):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+    if any(isinstance(x, (dict, list)) for x in level):
+        return None
     if not isinstance(lock, dict):
         return 0
     if isinstance(lock.get("packages"), dict):
@@ -47,7 +62,8 @@ def _npm_packages(document: str) -> int | None:
 def npm_packages(documents: pd.Series) -> pd.Series:
     """Packages in npm lock files of any version; null for malformed JSON.
 
-    Old lock files nest to any depth, which no fixed expression covers.
+    Old lock files nest to any depth, which no fixed expression covers. NaN, Infinity and
+    documents of more than ``MOST_LEVELS`` levels are malformed.
     """
     return pd.Series([_npm_packages(d) for d in documents], dtype="Int64")
 
@@ -99,9 +115,12 @@ def api_routes(files: DataFrame) -> DataFrame:
     return rows.select("root", "p.route", F.lower("p.method").alias("method")).distinct()
 
 
-def openapi_documents(routes: DataFrame, routes_per_document: int = 10_000) -> DataFrame:
-    """OpenAPI skeletons: ``root, shard, document``. Roots with very many routes are spread
-    over several documents; all methods of a route stay together."""
+def openapi_documents(routes: DataFrame, documents: int = 1) -> DataFrame:
+    """OpenAPI skeletons: ``root, shard, document``.
+
+    Each root has up to ``documents`` of them, over which its routes are spread; all methods
+    of a route stay together. Titles, summaries and responses are fixed texts.
+    """
     answer = F.create_map(F.lit("200"), F.struct(F.lit("Successful response").alias("description")))
     operation = F.struct(
         F.format_string("Auto-generated %s route", "route").alias("summary"), answer.alias("responses")
@@ -116,7 +135,7 @@ def openapi_documents(routes: DataFrame, routes_per_document: int = 10_000) -> D
         )
     )
     grouped = (
-        sharded(per_route, "root", "route", routes_per_document)
+        sharded(per_route, "root", "route", documents)
         .groupBy("root", "shard")
         .agg(F.collect_list(F.struct("route", "methods")).alias("entries"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linetally.operators.analysis import file_analysis
+from linetally.operators.analysis import MEASURES, file_analysis
 from linetally.operators.stats import file_stats
 
 
@@ -51,16 +51,27 @@ def file_report(files: DataFrame, paths: Iterable[str] | None = None) -> DataFra
 
     The path filter reaches the scan before any text is looked at. ``has_stats`` and
     ``has_analysis`` tell which part is missing: a file that is not valid UTF-8 has no
-    analysis, a requested path that is not in the corpus has neither.
+    analysis, a requested path that is not in the corpus has neither. Both parts are
+    columns of one pass over the text.
     """
+    asked = None
     if paths is not None:
-        wanted = [p.replace("\\", "/") for p in paths]
-        files = files.filter(F.col("path").isin(wanted))
-    basics = file_stats(files).withColumn("has_stats", F.lit(True))
-    analysis = file_analysis(files).withColumn("has_analysis", F.lit(True))
-    joined = basics.join(analysis, ["root", "path"], "full_outer")
-    if paths is not None:
-        asked = files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(wanted)], "path string")
-        joined = asked.join(joined, "path", "left")
+        wanted = list(dict.fromkeys(p.replace("\\", "/") for p in paths))
+        asked = files.sparkSession.createDataFrame([(p,) for p in wanted], "path string")
+        files = files.join(F.broadcast(asked), "path", "left_semi")
+    valid = F.col("valid_utf8") if "valid_utf8" in files.columns else F.lit(True)
+    facts = file_stats(files.withColumn("_valid", valid), keep=("content", "_valid"))
+    facts = facts.withColumn("content", F.when(F.col("_valid"), F.col("content")))
+    kept = [c for c in facts.columns if c not in ("root", "path", "content")]
+    both = file_analysis(facts, keep=kept)
+    report = both.select(
+        *[c for c in both.columns if c not in (*MEASURES, "_valid")],
+        *[F.when(F.col("_valid"), F.col(c)).alias(c) for c in MEASURES],
+        F.lit(True).alias("has_stats"),
+        F.col("_valid").alias("has_analysis"),
+    )
+    if asked is None:
+        return report
+    joined = F.broadcast(asked).join(report, "path", "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_stats", "has_analysis")]
-    return joined.select(*[c for c in joined.columns if c not in ("has_stats", "has_analysis")], *flags)
+    return joined.select(*[c for c in report.columns if c not in ("has_stats", "has_analysis")], *flags)

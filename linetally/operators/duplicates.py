@@ -9,17 +9,16 @@ too, and the preview text is read from one file per reported block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linetally.functions.text import numbered_lines, utrim
-from linetally.operators.rows import explode_once, settle, small_enough
+from linetally.operators.rows import explode_once, first_rows, likely_listed, semi_join_filtered
 from linetally.sources.corpus import readable
 
 BLOCK_LINES = 5
 MIN_LINE_BYTES = 3
 KEY = ["scope", "key_a", "key_b"]
-MAX_BROADCAST_BLOCKS = 100_000
 
 
 def _scoped(files: DataFrame, across_roots: bool) -> DataFrame:
@@ -72,51 +71,38 @@ def block_keys(files: DataFrame, across_roots: bool = False) -> DataFrame:
 
 
 def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
-    """Keys seen more than once with their ``occurrences``; ``top`` keeps the most frequent
-    per scope (ties by key, an arbitrary but stable order)."""
-    counted = keys.groupBy(*KEY).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
+    """Keys seen more than once with ``occurrences`` and their ``first`` place, in one grouping.
+
+    ``top`` keeps the most frequent per scope and ranks them (ties by first place).
+    """
+    first = F.min(F.struct("path", "root", "line_no")).alias("first")
+    counted = keys.groupBy(*KEY).agg(F.count("*").alias("occurrences"), first).filter("occurrences > 1")
     if top is None:
         return counted
-    order = Window.partitionBy("scope").orderBy(F.desc("occurrences"), "key_a", "key_b")
-    return counted.withColumn("block_rank", F.row_number().over(order)).filter(F.col("block_rank") <= top)
+    return first_rows(counted, ["scope"], [F.desc("occurrences"), "first"], top, "block_rank", "key_a")
 
 
 def duplicate_locations(keys: DataFrame, top: int | None = 10, locations: int | None = 5) -> DataFrame:
     """Repeated blocks with their first ``locations`` places (``None``: all of them).
 
-    A few reported blocks are broadcast to the keys. Otherwise the places are cut to the
-    first ones before they meet the repeated keys, so that each task hands on at most that
-    many rows of a block found everywhere.
+    A filter of fixed size keeps places of other blocks, which are nearly all, from being
+    shuffled or sorted, and each task hands on the first places of a block only.
     """
     hot = repeated_keys(keys, top)
-    few = _few_scopes(keys, top)
-    if few:
-        keys = keys.join(F.broadcast(hot), KEY, "inner")
+    hot = hot.select(*[c for c in hot.columns if c != "first"])
+    places = likely_listed(keys, hot, KEY)
     if locations is not None:
-        order = Window.partitionBy(*KEY).orderBy("path", "root", "line_no")
-        keys = keys.withColumn("location_no", F.row_number().over(order)).filter(F.col("location_no") <= locations)
-    return keys if few else keys.join(hot, KEY, "inner")
-
+        places = first_rows(places, KEY, ["path", "root", "line_no"], locations, "location_no", "path")
+    return places.join(hot, KEY, "inner")
 
-def _few_scopes(df: DataFrame, top: int | None) -> bool:
-    """Whether ``top`` blocks per scope are few enough to broadcast (reads one column)."""
-    return top is not None and small_enough(df.select("scope").distinct(), MAX_BROADCAST_BLOCKS // max(top, 1))
 
+def _previews(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``root, path, line_no, preview`` of blocks that begin at the wanted ``root, path, line_no``.
 
-def duplicate_blocks(
-    files: DataFrame, top: int | None = 10, across_roots: bool = False, keys: DataFrame | None = None
-) -> DataFrame:
-    """Repeated blocks: ``scope, occurrences, root, path, line_no, preview`` of the first place.
-
-    ``keys`` takes a stored ``block_keys`` table. The preview joins on the file and the
-    start line, reading only files that hold a reported first place.
+    Text of files that hold none is neither cut nor moved.
     """
-    keys = block_keys(files, across_roots) if keys is None else keys
-    first = settle(duplicate_locations(keys, top, 1).select("scope", "occurrences", "root", "path", "line_no"))
-    wanted = first.groupBy("root", "path").agg(F.collect_set("line_no").alias("starts"))
-    if _few_scopes(_scoped(files, across_roots), top):
-        wanted = F.broadcast(wanted)
-    shown = readable(files).join(wanted, ["root", "path"], "inner")
+    starts = wanted.groupBy("root", "path").agg(F.collect_set("line_no").alias("starts"))
+    shown = semi_join_filtered(readable(files), starts, ["root", "path"]).join(starts, ["root", "path"], "inner")
     kept = shown.select("root", "path", "starts", _kept_lines(F.col("content")).alias("kept"))
 
     def preview(i: Column) -> Column:
@@ -128,7 +114,33 @@ def duplicate_blocks(
         lambda i: F.array_contains(F.col("starts"), F.get("kept", i)["line_no"]),
     )
     previews = explode_once(kept.select("root", "path", F.transform(picked, preview).alias("p")), "p", "p1")
-    text = previews.select("root", "path", "p1.line_no", "p1.preview")
-    return first.join(text, ["root", "path", "line_no"], "inner").select(
+    return previews.select("root", "path", "p1.line_no", "p1.preview")
+
+
+def duplicate_blocks(
+    files: DataFrame, top: int | None = 10, across_roots: bool = False, keys: DataFrame | None = None
+) -> DataFrame:
+    """Repeated blocks: ``scope, occurrences, root, path, line_no, preview`` of the first place.
+
+    ``keys`` takes a stored ``block_keys`` table. The preview is cut from the file that
+    holds the first place.
+    """
+    keys = block_keys(files, across_roots) if keys is None else keys
+    first = repeated_keys(keys, top).select("scope", "occurrences", "first.root", "first.path", "first.line_no")
+    return first.join(_previews(files, first), ["root", "path", "line_no"], "inner").select(
         "scope", "occurrences", "root", "path", "line_no", "preview"
     )
+
+
+def duplicate_report(files: DataFrame, top: int = 10, locations: int = 5, across_roots: bool = False) -> DataFrame:
+    """The ``top`` repeated blocks of each scope with their text and first places.
+
+    ``scope, block_rank, occurrences, location_no, root, path, line_no, preview``
+    """
+    keys = block_keys(files, across_roots)
+    hot = repeated_keys(keys, top)
+    first = hot.select(*KEY, "block_rank", "first.root", "first.path", "first.line_no")
+    text = first.join(_previews(files, first), ["root", "path", "line_no"], "inner").select(*KEY, "preview")
+    return duplicate_locations(keys, top, locations).join(text, KEY, "inner").select(
+        "scope", "block_rank", "occurrences", "location_no", "root", "path", "line_no", "preview"
+    )

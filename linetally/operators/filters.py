@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linetally.functions.paths import components, extension_of, normalise
 from linetally.functions.text import line_count
-from linetally.operators.rows import semi_join_checked
+from linetally.operators.rows import semi_join_filtered
 
 LARGE_FILE_LINES = 300
 COMPLEXITY_THRESHOLD = 10.0
@@ -47,7 +47,7 @@ def is_pattern(df: DataFrame, pattern: str) -> bool:
 def filter_path_regex(df: DataFrame, patterns: Iterable[str]) -> DataFrame:
     """Keep a path that any valid pattern matches; invalid patterns are ignored, and
     without a valid one nothing is filtered."""
-    valid = [p for p in (f"(?U){p}" for p in patterns) if is_pattern(df, p)]
+    valid = [p for p in (f"(?Ud){p}" for p in patterns) if is_pattern(df, p)]
     if not valid:
         return df
     path = normalise(F.col("path"))
@@ -76,7 +76,7 @@ def failures_only(
 
 def uncommitted(df: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """Keep files listed in ``changed_paths(root, path)``, compared on the root-relative path."""
-    return semi_join_checked(df, changed_paths, ["root", "path"])
+    return semi_join_filtered(df, changed_paths, ["root", "path"])
 
 
 def drop_small_shares(shares: DataFrame, percent: float = 0.1) -> DataFrame:

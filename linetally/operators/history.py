@@ -9,12 +9,12 @@ aggregating before each shuffle: distinct counts are first reduced per pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linetally.functions import scores
 from linetally.functions.text import line_count
-from linetally.operators.rows import settle, with_totals
+from linetally.operators.rows import first_rows, with_totals
 from linetally.operators.stats import file_stats
 
 UNKNOWN_AUTHOR = "Unknown"
@@ -47,18 +47,18 @@ def recent_churn(
     return hotspots(changes.join(recent, "commit_id", "left_semi"), top)
 
 
-def hotspot_risk(hot: DataFrame, source: DataFrame, bounded: bool = True) -> DataFrame:
-    """Hotspots with file complexity (0 if the file is unknown), score and risk level.
+def hotspot_risk(hot: DataFrame, source: DataFrame, top: int = 15) -> DataFrame:
+    """The ``top`` hotspots with file complexity (0 if the file is unknown), score and risk level.
 
-    ``source`` is a corpus or a stored ``file_stats`` table. With ``bounded`` (``hot``
-    went through a limit) the few hot paths are broadcast, and only hot files of a corpus
-    are scanned for their complexity.
+    ``hot`` has ``path, commits``; ``source`` is a corpus or a stored ``file_stats`` table.
+    The limit is taken here, so what is broadcast has ``top`` rows whatever is passed, and
+    only hot files of a corpus are scanned.
     """
-    keys = hot.select("path")
-    picked = source.join(F.broadcast(keys) if bounded else keys, "path", "left_semi")
-    known = picked if "complexity" in source.columns else file_stats(picked, ["complexity"])
+    hot = hot.select("path", "commits").orderBy(F.desc("commits"), "path").limit(top)
+    picked = source.join(F.broadcast(hot), "path", "inner")
+    known = picked if "complexity" in source.columns else file_stats(picked.select(*source.columns), ["complexity"])
     worst = known.groupBy("path").agg(F.max("complexity").alias("complexity"))
-    scored = hot.join(worst, "path", "left").select(
+    scored = hot.join(F.broadcast(worst), "path", "left").select(
         "path", "commits", F.coalesce("complexity", F.lit(0.0)).alias("complexity")
     )
     score = F.col("commits") * F.col("complexity")
@@ -85,8 +85,8 @@ def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None
     files without expanding rows and spreads a dominant author over all tasks. Commits
     join that stream as rows of their own, so commits without changes count too. The
     score is linear in the sums, so the rollup's total row carries the total score, which
-    is also the greatest. The rows per author are settled once, as shares read them twice.
-    Files have no total (null).
+    is also the greatest; shares read it as a scalar, whose plan shares the shuffles of the
+    rows themselves. Files have no total (null).
     """
     named = counted_authors(commits, skip)
     touched = (
@@ -101,7 +101,7 @@ def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None
     ).unionByName(
         named.select("author", one.alias("commits"), *[zero.alias(c) for c in counted[1:]])
     )
-    per_author = settle(facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted]))
+    per_author = facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted])
     rolled = per_author.rollup("author").agg(
         F.grouping("author").alias("_g"), *[F.coalesce(F.sum(c), zero).alias(c) for c in counted]
     )
@@ -155,8 +155,7 @@ def line_trend(snapshots: DataFrame, limit: int = 5) -> DataFrame:
     Counting happens before the shuffle, so file text stays where it was read.
     """
     sized = snapshots.select("path", "ts", "commit_id", line_count(F.col("content")).alias("lines"))
-    order = Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("commit_id"))
-    ranked = sized.withColumn("recency", F.row_number().over(order)).filter(F.col("recency") <= limit)
+    ranked = first_rows(sized, ["path"], [F.desc("ts"), F.desc("commit_id")], limit, "recency", "commit_id")
     return ranked.select("path", "recency", "ts", "commit_id", "lines")
 
 

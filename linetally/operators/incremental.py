@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from linetally.operators.rows import semi_join_checked
+from linetally.operators.rows import semi_join_filtered
 from linetally.operators.stats import file_stats
 
 FILE_KEY = ["root", "path", "modified_at"]
@@ -14,13 +14,12 @@ def incremental_scan(listing: DataFrame, previous: DataFrame) -> DataFrame:
     """Statistics of exactly the listed files, rescanning only new and changed ones.
 
     A previous row is reused when its path is listed with the same ``modified_at``. Which
-    files changed is decided on the keys alone; content is read only for those, and it is
-    not shuffled while the list of changed files is short enough to broadcast. A file
-    without a modification time is always rescanned.
+    files changed is decided on the keys alone; content is read only for those, and only
+    their content is shuffled. A file without a modification time is always rescanned.
     """
     listed = listing.select(*FILE_KEY)
     known = previous.select(*FILE_KEY)
     reused = previous.join(listed, FILE_KEY, "left_semi")
     fresh = listed.join(known, FILE_KEY, "left_anti").select("root", "path")
-    scanned = file_stats(semi_join_checked(listing, fresh, ["root", "path"]))
+    scanned = file_stats(semi_join_filtered(listing, fresh, ["root", "path"]))
     return reused.select(*scanned.columns).unionByName(scanned)

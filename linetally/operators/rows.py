@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,38 +39,47 @@ def with_totals(df: DataFrame, by: Sequence[str], totals: dict[str, Column]) ->
     if by:
         sums = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in totals.items()])
         return df.join(sums, list(by), "inner")
-    return df.select("*", *[df.agg(agg).scalar().alias(name) for name, agg in totals.items()])
+    whole = df.agg(F.struct(*[agg.alias(name) for name, agg in totals.items()]).alias("whole")).scalar()
+    return df.select("*", *[whole.getField(name).alias(name) for name in totals])
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a reduced frame once and cut its lineage, for results used several times.
+#: Bits of the filter that a semi join sends ahead; 2^24 bits are at most 2^18 rows of a few bytes.
+FILTER_BITS = 24
 
-    Uses a reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``,
-    so losing an executor does not repeat the work. Only a local session without that
-    setting gets a folder of its own; on a cluster without one the frame stays lazy.
+
+def likely_listed(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of ``big`` whose key is in ``keys``, and by chance a few more; nothing is moved.
+
+    The hashes of the keys are folded into a bit array of fixed size, whatever the number
+    of keys, and that array is broadcast.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linetally-checkpoint-"))
-    return df.checkpoint()
+    wanted = keys.select(*on).distinct()
+    bit = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
+    place, flag = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(_bit % 64 AS int))")
+    words = wanted.select(place.alias("_place"), bit.alias("_bit")).select("_place", flag.alias("_flag"))
+    words = words.groupBy("_place").agg(F.bit_or("_flag").alias("_flags"))
+    near = big.withColumn("_bit", bit).withColumn("_place", F.shiftright("_bit", 6)).join(F.broadcast(words), "_place", "inner")
+    return near.filter(F.col("_flags").bitwiseAND(flag) != 0).select(*big.columns)
+
+
+def semi_join_filtered(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``big LEFT SEMI keys`` that moves only rows of ``big`` whose key is very likely listed."""
+    return likely_listed(big, keys, on).join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; counts at most one row more."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Spark limits ranks on the map side up to this rank.
+MAP_SIDE_RANK = 1000
+_SALTS = 64
 
 
-def semi_join_checked(big: DataFrame, keys: DataFrame, on: Sequence[str], max_rows: int = 200_000) -> DataFrame:
-    """``big LEFT SEMI keys`` without shuffling ``big`` when the key list is small.
+def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], limit: int, rank: str, salt: str) -> DataFrame:
+    """The first ``limit`` rows of each group, numbered in ``rank``.
 
-    The key list is counted first (keys only, no content). Up to ``max_rows`` rows it is
-    broadcast; beyond that the join shuffles like any other.
+    Ranks that Spark does not limit before the shuffle are taken twice: of a group's parts,
+    dealt out by a hash of ``salt``, and of the rows that are left. No task sorts a whole group.
     """
-    distinct = keys.select(*on).distinct()
-    if small_enough(distinct, max_rows):
-        distinct = F.broadcast(distinct)
-    return big.join(distinct, list(on), "left_semi")
+    if limit > MAP_SIDE_RANK:
+        part = F.pmod(F.xxhash64(salt), F.lit(_SALTS))
+        near = Window.partitionBy(*by, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn(rank, F.row_number().over(near)).filter(F.col(rank) <= limit).drop("_part", rank)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= limit)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from linetally.functions import analysis as A
 from linetally.functions.text import line_count
-from linetally.operators.analysis import dead_code
 from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES
-from linetally.operators.rows import emit, small_enough
+from linetally.operators.rows import emit, explode_once
 
 # Limits that apply where a policy leaves one out.
 POLICY_DEFAULTS = {
@@ -24,6 +23,7 @@ FINDING_RULES = [
     ("CS-001", "error", "SecretScanning", "Potential hardcoded secret"),
     ("CS-002", "warning", "HighComplexity", "High Cyclomatic Complexity"),
 ]
+# The complexity that is a finding, and where the document format is described.
 FINDING_COMPLEXITY = 15.0
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -32,11 +32,15 @@ SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Sc
 def check_policy(stats: DataFrame, policy: DataFrame) -> DataFrame:
     """``root, path, rule, actual, allowed``: one row per violation; no rows means passed.
 
-    ``policy`` holds one row per root. A file is judged by the rules of its own root, and
-    a root without rules passes.
+    ``policy`` holds one row per root; a second one for a root is an error. A file is
+    judged by the rules of its own root, and a root without rules passes. The rules are
+    what is broadcast, so statistics are not dealt out by root.
     """
-    rules = policy.select("root", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in POLICY_DEFAULTS.items()])
-    judged = stats.join(rules, "root", "inner")
+    rules = policy.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in POLICY_DEFAULTS])
+    twice = F.raise_error(F.format_string("two policies for root '%s'", "root"))
+    once = F.when(F.col("_rows") == 1, F.col("root")).otherwise(twice.cast("string")).alias("root")
+    rules = rules.select(once, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in POLICY_DEFAULTS.items()])
+    judged = stats.join(F.broadcast(rules), "root", "inner")
 
     def rule(name: str, actual: str, allowed: Column) -> Column:
         return F.struct(
@@ -58,7 +62,10 @@ def issues(
     complexity_threshold: float = COMPLEXITY_THRESHOLD,
     max_lines: int = LARGE_FILE_LINES,
 ) -> DataFrame:
-    """``root, path, issue_type, description``: large files, complex files, naming violations."""
+    """``root, path, issue_type, description``: large files, complex files, naming violations.
+
+    Issue types and descriptions are fixed texts.
+    """
     size = F.format_string(f"File has %d lines (threshold: {max_lines})", "lines")
     tangle = F.format_string(f"Complexity is %.1f (threshold: {complexity_threshold:.1f})", "complexity")
     measured = emit(
@@ -82,7 +89,10 @@ def issues(
 
 
 def findings(stats: DataFrame) -> DataFrame:
-    """``root, path, rule_id, level, message``: secrets (error) and high complexity (warning)."""
+    """``root, path, rule_id, level, message``: secrets (error) and high complexity (warning).
+
+    The messages are fixed texts.
+    """
 
     def found(rule: int, message: Column) -> Column:
         rule_id, level, _, _ = FINDING_RULES[rule]
@@ -100,24 +110,17 @@ def findings(stats: DataFrame) -> DataFrame:
     )
 
 
-def sharded(df: DataFrame, by: str, salt: str, rows_per_shard: int) -> DataFrame:
-    """Add ``shard``: groups of ``by`` split by a hash of ``salt`` so that each shard holds
-    about ``rows_per_shard`` rows. Small groups stay in shard 0.
+def sharded(df: DataFrame, by: str, salt: str, shards: int) -> DataFrame:
+    """Add ``shard``, a hash of ``salt`` below ``shards``, and deal rows out by group and shard."""
+    return df.withColumn("shard", F.pmod(F.xxhash64(salt), F.lit(shards))).repartition(by, "shard")
 
-    The rows are partitioned by group and shard. Without that, a join on ``by`` would keep
-    a whole group in one task for the aggregation that follows.
-    """
-    sizes = df.groupBy(by).agg(F.ceil(F.count("*") / F.lit(rows_per_shard)).alias("_shards"))
-    counted = df.join(F.broadcast(sizes) if small_enough(sizes, 100_000) else sizes, by, "inner")
-    shard = F.pmod(F.xxhash64(salt), F.col("_shards")).alias("shard")
-    return counted.select(*df.columns, shard).repartition(by, "shard")
 
-
-def sarif_documents(found: DataFrame, tool: str = "linetally", results_per_document: int = 10_000) -> DataFrame:
+def sarif_documents(found: DataFrame, tool: str = "linetally", documents: int = 1) -> DataFrame:
     """SARIF 2.1.0 documents: ``root, shard, document``.
 
-    One document per root while its findings fit; larger roots are spread over several
-    documents, so that no single row or task holds the findings of a whole corpus.
+    Each root has up to ``documents`` of them, over which its findings are spread by path.
+    The number is the caller's: one document for an ordinary root, more where the findings
+    of a root are too many for one row. It does not depend on the data.
     """
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
@@ -139,7 +142,7 @@ def sarif_documents(found: DataFrame, tool: str = "linetally", results_per_docum
         ]
     )
     grouped = (
-        sharded(found, "root", "path", results_per_document)
+        sharded(found, "root", "path", documents)
         .groupBy("root", "shard")
         .agg(F.array_sort(F.collect_list(result)).alias("results"))
     )
@@ -155,21 +158,36 @@ def quality_gate(
 ) -> DataFrame:
     """One row per root: which checks failed, and ``has_issues``.
 
-    Size, line-based complexity and naming are judged in one pass over the files; unused
-    functions are judged within the root.
+    The text is read once: every file gives one row of its own checks and one for each
+    name that may be an unused function; partial counts are taken before the shuffle.
     """
     content, path = F.col("content"), F.col("path")
     readable = F.col("valid_utf8") if "valid_utf8" in files.columns else F.lit(True)
-    judged = files.select(
-        "root",
+    own = F.struct(
         (line_count(content) > max_lines).alias("large_file"),
         (readable & (A.keyword_complexity(A.spaced_lines(content)) >= complexity_threshold)).alias("high_complexity"),
         (readable & (F.size(A.naming_violations(path, content)) > 0)).alias("naming_violation"),
     )
     checks = ["large_file", "high_complexity", "naming_violation"]
-    per_root = judged.groupBy("root").agg(*[F.bool_or(c).alias(c) for c in checks])
-    unused = dead_code(files, by=("root",)).select("root", F.lit(True).alias("dead_code")).distinct()
-    checks.append("dead_code")
-    joined = per_root.join(unused, "root", "left")
-    filled = joined.select("root", *[F.coalesce(c, F.lit(False)).alias(c) for c in checks])
-    return filled.withColumn("has_issues", F.greatest(*checks))
+    def mark(definition: bool):
+        nothing = [F.lit(False).alias(c) for c in checks]
+        return lambda w: F.struct(w.alias("name"), F.lit(definition).alias("definition"), *nothing)
+
+    def names(of: Column) -> Column:
+        return F.when(readable, of).otherwise(F.array().cast("array<string>"))
+
+    itself = F.struct(F.lit(None).cast("string").alias("name"), F.lit(False).alias("definition"), *[own[c].alias(c) for c in checks])
+    marks = F.concat(
+        F.array(itself),
+        F.transform(names(A.identifiers(content)), mark(False)),
+        F.transform(names(A.defined_names(path, content)), mark(True)),
+    )
+    rows = explode_once(files.select("root", marks.alias("marks")), "marks", "mark").select("root", "mark.*")
+    per_name = rows.groupBy("root", "name").agg(
+        F.sum(F.when(F.col("definition"), 0).otherwise(1)).alias("uses"),
+        F.max("definition").alias("defined"),
+        *[F.bool_or(c).alias(c) for c in checks],
+    )
+    unused = F.col("name").isNotNull() & F.col("defined") & (F.col("uses") == 1)
+    judged = per_name.groupBy("root").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in checks], F.bool_or(unused).alias("dead_code"))
+    return judged.withColumn("has_issues", F.greatest(*checks, "dead_code"))

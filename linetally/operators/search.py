@@ -18,7 +18,7 @@ def grep(files: DataFrame, pattern: str) -> DataFrame:
     Lines that do not match never leave the row of their file. Undecodable bytes were
     replaced when the corpus was read.
     """
-    test = f"(?U){pattern}"
+    test = f"(?Ud){pattern}"  # of all line ends only \\n is one
     hits = F.filter(numbered_lines(F.col("content")), lambda x: x["line"].rlike(test))
     found = explode_once(files.select("root", "path", hits.alias("hits")), "hits", "hit")
     return found.select("root", "path", "hit.line_no", utrim(F.col("hit.line")).alias("line"))

@@ -27,7 +27,7 @@ SORT_KEYS = {
 }
 
 
-def file_stats(files: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+def file_stats(files: DataFrame, counters: Sequence[str] = COUNTERS, keep: Sequence[str] = ()) -> DataFrame:
     """One row of counters per file, in one pass over the content and without a shuffle.
 
     The chunk array and the texts derived from it are separate projections: each is used
@@ -35,9 +35,10 @@ def file_stats(files: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFram
     leave through a one-element generator, because a filter on them would otherwise be
     pushed down to the content and repeat the whole scan inside the filter condition.
     Name the ``counters`` you need to skip the work behind the others. At scale, write
-    the result as a table once and run every view on that.
+    the result as a table once and run every view on that. Columns named in ``keep`` stay.
     """
-    styled = files.selectExpr(*_FACTS, "content", f"{style_sql('path')} AS _style")
+    others = [c for c in keep if c != "content"]
+    styled = files.selectExpr(*_FACTS, "content", *others, f"{style_sql('path')} AS _style")
     cut = styled.selectExpr("*", f"{lexer.chunks('content', '_style')} AS _chunks")
     texts = cut.selectExpr(
         "*",
@@ -69,6 +70,7 @@ def file_stats(files: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFram
         "size_bytes",
         "created_at",
         "modified_at",
+        *keep,
     )
 
 

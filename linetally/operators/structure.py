@@ -55,17 +55,23 @@ def structure_edges(files: DataFrame) -> DataFrame:
 
 
 def tree_listing(files: DataFrame) -> DataFrame:
-    """``root, path, name, depth, kind``: every directory and file, in tree order."""
+    """``root, path, name, depth, kind``: every directory and file, in tree order.
+
+    Only directories repeat, so only they are made distinct; files go straight to the sort.
+    A file listed twice has two rows.
+    """
     parts = files.select("root", components(F.col("path")).alias("parts"))
+    depth = F.size("parts")
 
-    def entry(n: Column) -> Column:
+    def entry(n: Column, kind: str) -> Column:
         return F.struct(
             _prefix(F.col("parts"), n).alias("path"),
             F.get("parts", n - 1).alias("name"),
             n.cast("bigint").alias("depth"),
-            F.when(n == F.size("parts"), F.lit("file")).otherwise(F.lit("directory")).alias("kind"),
+            F.lit(kind).alias("kind"),
         )
 
-    entries = F.transform(F.sequence(F.lit(1), F.size("parts")), entry)
-    rows = explode_once(parts.select("root", entries.alias("entries")), "entries", "e").select("root", "e.*")
-    return rows.distinct().orderBy("root", components(F.col("path")))
+    levels = F.when(depth > 1, F.transform(F.sequence(F.lit(1), depth - 1), lambda n: entry(n, "directory")))
+    folders = explode_once(parts.select("root", levels.alias("levels")), "levels", "e").select("root", "e.*").distinct()
+    leaves = parts.select("root", entry(depth, "file").alias("e")).select("root", "e.*")
+    return folders.unionByName(leaves).orderBy("root", components(F.col("path")))

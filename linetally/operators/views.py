@@ -12,9 +12,15 @@ from linetally.operators.filters import COMPLEXITY_THRESHOLD, LARGE_FILE_LINES,
 
 
 def top_files(df: DataFrame, n: int) -> DataFrame:
-    """The ``n`` longest files. Given a corpus, only newlines are counted for the ranking,
-    so the full statistics can be taken of the winners alone."""
-    return with_lines(df).orderBy(F.desc("lines"), "path", "root").limit(n)
+    """The ``n`` longest files, with ``lines``; in no order if a corpus is given.
+
+    Statistics are ranked as they are. Of a corpus only newlines are counted for the
+    ranking, which carries no text: the ``n`` winning names are broadcast back to it.
+    """
+    if "content" not in df.columns:
+        return with_lines(df).orderBy(F.desc("lines"), "path", "root").limit(n)
+    longest = with_lines(df).select("root", "path", "lines").orderBy(F.desc("lines"), "path", "root").limit(n)
+    return df.join(F.broadcast(longest.distinct()), ["root", "path"], "inner").select(*df.columns, "lines")
 
 
 def details(stats: DataFrame, as_of: Column) -> DataFrame:
@@ -77,7 +83,7 @@ def top_languages(sizes: DataFrame, n: int = 5) -> DataFrame:
 def refactor_candidates(
     stats: DataFrame, complexity_threshold: float = COMPLEXITY_THRESHOLD, max_lines: int = LARGE_FILE_LINES
 ) -> DataFrame:
-    """Files that are too long or too complex, with reasons and advice."""
+    """Files that are too long or too complex, with reasons and advice (fixed texts)."""
     lines, complexity = F.col("lines"), F.col("complexity")
     long, tangled = lines > max_lines, complexity >= complexity_threshold
     reasons = F.array_compact(F.array(F.when(long, F.lit("High lines")), F.when(tangled, F.lit("High complexity"))))

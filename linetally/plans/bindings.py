@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linetally.sources.corpus import as_corpus, spread, union_roots
+from linetally.sources.corpus import as_corpus, union_roots
 
 # One synthetic source file per part, in five languages.
 PART_PATH = (
@@ -54,13 +54,24 @@ ARTIFACT_CONTENT = f"""CASE {ARTIFACT_KIND}
 LOG_RECORD = """o_orderkey || chr(31) || CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'dev ' || o_custkey END || chr(31) ||
   (1000000000 + o_orderkey * 60) || chr(10) || chr(10) ||
   (o_custkey % 40) || chr(9) || (o_orderkey % 7) || chr(9) || 'src/m' || (o_orderkey % 100) || '.rs' || chr(10) ||
-  '-' || chr(9) || '-' || chr(9) || 'img/logo' || (o_orderkey % 9) || '.png' || chr(10)"""
+  '-' || chr(9) || '-' || chr(9) || 'img/logo' || (o_orderkey % 9) || '.png' || chr(10) ||
+  '3' || chr(9) || '1' || chr(9) || '"docs/caf' || chr(92) || '303' || chr(92) || '251 ' || chr(92) || '"' || (o_orderkey % 5) || chr(92) || '".md"' || chr(10)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "path") -> DataFrame:
+    """Deal out a supplied table that sits in fewer row groups than there are cores.
+
+    Only for these bindings: the small test tables come as single row groups. Corpora that
+    users read are never reshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr(f"{PART_PATH} AS path", f"{PART_CONTENT} AS content")
     return spread(as_corpus(rows, "code"))

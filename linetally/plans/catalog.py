@@ -21,10 +21,12 @@ from linetally.operators.incremental import incremental_scan
 from linetally.plans import bindings as B
 from linetally.sinks import reports
 from linetally.sources.changelog import parse_changes, parse_commits
+from linetally.sources.corpus import as_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
+RETURN_PATTERN = r"[a-z]\..\S*|\.$"
 GREP_PATTERN = r"(?i)\b(the|les|der)\b.*\d"
 DOC_REGEXES = [r"^src1\d/", "[", r"/fr/.*7\.txt$"]
 SKIP_AUTHOR = "#00000001"
@@ -117,7 +119,7 @@ def findings(spark, sf_dir):
 
 @query
 def sarif_results(spark, sf_dir):
-    documents = rules.sarif_documents(rules.findings(_stats(spark, sf_dir, "complexity", "secrets_found")), results_per_document=50)
+    documents = rules.sarif_documents(rules.findings(_stats(spark, sf_dir, "complexity", "secrets_found")), documents=8)
     parsed = documents.select("root", F.from_json("document", SARIF_SCHEMA).alias("d"))
     rows = parsed.select("root", F.explode(F.col("d.runs")[0]["results"]).alias("r"))
     uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
@@ -314,7 +316,7 @@ def api_routes(spark, sf_dir):
 
 @query
 def openapi_operations(spark, sf_dir):
-    documents = artifacts.openapi_documents(artifacts.api_routes(B.artifact_files(spark, sf_dir)), routes_per_document=16)
+    documents = artifacts.openapi_documents(artifacts.api_routes(B.artifact_files(spark, sf_dir)), documents=4)
     parsed = documents.select("root", F.from_json("document", OPENAPI_SCHEMA).alias("d"))
     by_route = parsed.select("root", "d.openapi", F.explode("d.paths").alias("route", "methods"))
     rows = by_route.select("root", "openapi", "route", F.explode("methods").alias("method", "op"))
@@ -345,8 +347,7 @@ def dead_code(spark, sf_dir):
 @query
 def file_report(spark, sf_dir):
     files = B.all_files(spark, sf_dir)
-    report = compare.file_report(files).drop("created_at", "modified_at")
-    return report.filter(F.col("root") != "prose")
+    return compare.file_report(files).drop("created_at", "modified_at")
 
 
 @query
@@ -440,6 +441,27 @@ def duplicate_locations(spark, sf_dir):
     return found.select("root", "occurrences", "location_no", "path", "line_no")
 
 
+@query
+def duplicate_report(spark, sf_dir):
+    return duplicates.duplicate_report(B.all_files(spark, sf_dir)).drop("scope")
+
+
+@query
+def binary_corpus(spark, sf_dir):
+    # Every fifth page ends in a byte that no UTF-8 text holds.
+    pages = B.table(spark, sf_dir, "pages").selectExpr(
+        f"{B.PAGE_PATH} AS path", "concat(cast(html AS binary), CASE WHEN page_id % 5 = 0 THEN X'FF' ELSE X'' END) AS content"
+    )
+    return as_corpus(pages, "site").select("root", "path", "content", "size_bytes", "valid_utf8")
+
+
+@query
+def grep_carriage_returns(spark, sf_dir):
+    # Only \n ends a line: $ must not match before \r, and a dot must match it.
+    files = B.page_files(spark, sf_dir).withColumn("content", F.replace("content", F.lit("."), F.lit(".\r")))
+    return search.grep(files, RETURN_PATTERN).select("root", "path", "line_no")
+
+
 @query
 def analysis_totals(spark, sf_dir):
     measures = ["docstrings_count", "typehints_count", "functions_count", "naming_violations"]
@@ -483,9 +505,8 @@ def file_extremes(spark, sf_dir):
 @query
 def top_files(spark, sf_dir):
     # Rank by newlines alone, then take full statistics of the twenty winners.
-    longest = views.top_files(B.all_files(spark, sf_dir), 20)
-    rows = views.details(stats.file_stats(longest), F.timestamp_seconds(F.lit(AS_OF_EPOCH)))
-    return rows
+    longest = views.top_files(B.all_files(spark, sf_dir), 20).drop("lines")
+    return views.details(stats.file_stats(longest), F.timestamp_seconds(F.lit(AS_OF_EPOCH)))
 
 
 @query

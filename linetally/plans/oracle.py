@@ -6,10 +6,10 @@ comment and quote openers only, so the two check each other.
 
 from __future__ import annotations
 
-from linetally.functions.language import NAME_LABELS, STYLE_EXTENSIONS, extension_map
+from linetally.functions.language import EXTENSION_LABELS, NAME_LABELS, STYLE_EXTENSIONS
 from linetally.functions.text import WHITE_SPACE
 from linetally.plans import bindings as B
-from linetally.plans.catalog import AS_OF_EPOCH, DOC_REGEXES, GREP_PATTERN, SKIP_AUTHOR
+from linetally.plans.catalog import AS_OF_EPOCH, DOC_REGEXES, GREP_PATTERN, RETURN_PATTERN, SKIP_AUTHOR
 
 NL = "chr(10)"
 BASE = "regexp_extract(path, '[^/]*$')"
@@ -37,6 +37,7 @@ PAGES = f"SELECT 'site' AS root, {B.PAGE_PATH} AS path, html AS content FROM pag
 DOCS = f"SELECT 'prose' AS root, {B.DOC_PATH} AS path, text AS content FROM documents"
 APPS = f"SELECT 'apps' AS root, {B.ARTIFACT_PATH} AS path, {B.ARTIFACT_CONTENT} AS content FROM part"
 SAMPLES = f"SELECT 'samples' AS root, {B.SAMPLE_PATH} AS path, {B.SAMPLE_CONTENT} AS content FROM part"
+RETURNS = f"SELECT root, path, replace(content, '.', '.' || chr(13)) AS content FROM ({PAGES})"
 ALL = f"{CODE} UNION ALL {PAGES} UNION ALL {DOCS}"
 
 LINES = (
@@ -52,9 +53,9 @@ SHEBANG = (
     "WHEN contains(left(content, 64), 'ruby') THEN 'Ruby' WHEN contains(left(content, 64), 'perl') THEN 'Perl' END END"
 )
 OWN = f"CASE WHEN {EXT} = '' THEN 'Unknown' ELSE upper(left(lower({EXT}), 1)) || substr(lower({EXT}), 2) END"
-LANGUAGE = f"coalesce({case(f'lower({BASE})', NAME_LABELS)}, {case(f'lower({EXT})', extension_map())}, {OWN}, {SHEBANG}, 'Unknown')"
+LANGUAGE = f"coalesce({case(f'lower({BASE})', NAME_LABELS)}, {case(f'lower({EXT})', EXTENSION_LABELS)}, {OWN}, {SHEBANG}, 'Unknown')"
 STYLE = (
-    "CASE " + " ".join(f"WHEN lower({EXT}) IN {in_list(v.split())} THEN '{k}'" for k, v in STYLE_EXTENSIONS.items()) + " ELSE 'n' END"
+    "CASE " + " ".join(f"WHEN lower({EXT}) IN {in_list(v)} THEN '{k}'" for k, v in STYLE_EXTENSIONS.items()) + " ELSE 'n' END"
 )
 
 # Scanner
@@ -245,7 +246,8 @@ ORACLE: dict[str, str] = {
     "make_timestamp((1000000000 + o_orderkey * 60) * 1000000) AS ts FROM orders",
     "change_log_changes": "SELECT o_orderkey::VARCHAR AS commit_id, 'src/m' || (o_orderkey % 100) || '.rs' AS path, (o_custkey % 40)::BIGINT AS insertions, "
     "(o_orderkey % 7)::BIGINT AS deletions FROM orders UNION ALL "
-    "SELECT o_orderkey::VARCHAR, 'img/logo' || (o_orderkey % 9) || '.png', 0::BIGINT, 0::BIGINT FROM orders",
+    "SELECT o_orderkey::VARCHAR, 'img/logo' || (o_orderkey % 9) || '.png', 0::BIGINT, 0::BIGINT FROM orders UNION ALL "
+    "SELECT o_orderkey::VARCHAR, 'docs/café \"' || (o_orderkey % 5) || '\".md', 3::BIGINT, 1::BIGINT FROM orders",
     "incremental": scanned(DOCS, ", numbered AS (SELECT *, regexp_extract(path, '([0-9]+)[.]txt$', 1)::BIGINT AS n FROM stats)")
     + "SELECT root, path, language, lines, code_lines, size_bytes, "
     "CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN -1::BIGINT ELSE secrets_found END AS secrets_found FROM numbered",
@@ -321,7 +323,7 @@ SELECT *, files_2 - files_1 AS files_diff, lines_2 - lines_1 AS lines_diff FROM
   (SELECT path, count(DISTINCT commit_id)::BIGINT AS commits FROM changes GROUP BY path ORDER BY 2 DESC, 1 LIMIT 15) h LEFT JOIN stats s ON s.path = h.path)""",
     "dead_code": DEAD,
     "file_report": scanned(
-        f"{CODE} UNION ALL {PAGES}",
+        ALL,
         f", analysis AS ({ANALYSIS}), bad AS (SELECT root, path, count(*)::BIGINT AS n FROM ({violations(ALL)}) GROUP BY 1, 2)",
     )
     + """SELECT s.root, s.path, language, lines, blank_lines, comment_lines, code_lines, complexity, todo_count, secrets_found, size_bytes,
@@ -372,6 +374,15 @@ SELECT path, author, lines, false AS is_total FROM o UNION ALL SELECT path, 'Tot
     "duplicate_locations": blocks(DOCS)
     + """SELECT root, occurrences, location_no, path, line_no FROM (SELECT *, count(*) OVER (PARTITION BY block)::BIGINT AS occurrences,
   row_number() OVER (PARTITION BY block ORDER BY path, line_no)::INTEGER AS location_no FROM blocks) WHERE occurrences > 1 AND location_no <= 5""",
+    "duplicate_report": blocks(ALL)
+    + f"""SELECT root, block_rank, occurrences, location_no, path, line_no, array_to_string(block, {NL}) AS preview FROM (
+  SELECT *, row_number() OVER (PARTITION BY root, block ORDER BY path, line_no)::INTEGER AS location_no FROM blocks) JOIN (
+  SELECT root, block, occurrences, row_number() OVER (PARTITION BY root ORDER BY occurrences DESC, path, line_no)::INTEGER AS block_rank FROM (
+    SELECT root, block, count(*)::BIGINT AS occurrences, arg_min(path, (path, line_no)) AS path, arg_min(line_no, (path, line_no)) AS line_no
+    FROM blocks GROUP BY root, block HAVING count(*) > 1)) USING (root, block) WHERE block_rank <= 10 AND location_no <= 5""",
+    "binary_corpus": f"""SELECT 'site' AS root, {B.PAGE_PATH} AS path, html || CASE WHEN page_id % 5 = 0 THEN chr(65533) ELSE '' END AS content,
+  strlen(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS size_bytes, page_id % 5 <> 0 AS valid_utf8 FROM pages""",
+    "grep_carriage_returns": f"SELECT root, path, line_no::BIGINT AS line_no FROM ({NUMBERED.replace(ALL, RETURNS)}) WHERE regexp_matches(line, {quote(RETURN_PATTERN)})",
     "analysis_totals": f"SELECT sum(docstrings_count)::BIGINT AS docstrings_count, sum(typehints_count)::BIGINT AS typehints_count, "
     f"sum(functions_count)::BIGINT AS functions_count, (SELECT count(*) FROM ({violations(ALL)}))::BIGINT AS naming_violations FROM ({ANALYSIS})",
     "style_totals": f"SELECT root, issue, count(*)::BIGINT AS issues FROM ({STYLE_ISSUES}) GROUP BY root, issue",

@@ -3,15 +3,17 @@ r"""Change history from exported logs.
 The expected export separates commits with the record separator (0x1E) and the header
 fields with the unit separator (0x1F), followed by numstat lines:
 
-    git log --no-renames --numstat --format='%x1e%H%x1f%an%x1f%ct'
+    git log --no-renames --diff-merges=first-parent --numstat --format='%x1e%H%x1f%an%x1f%ct'
+
+A merge is compared with its first parent. Names that git quotes (bytes beyond ASCII,
+quotes, tabs, backslashes) are unquoted; a backslash in a name stays one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linetally.functions.paths import normalise
 from linetally.functions.text import lines, utrim
 from linetally.operators.rows import explode_once
 
@@ -44,6 +46,26 @@ def parse_commits(records: DataFrame) -> DataFrame:
     return _headed(records).select("commit_id", "author", "ts")
 
 
+# Letters that git writes after a backslash, and the bytes they stand for.
+_LETTERS = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+
+
+def unquoted(name: Column) -> Column:
+    """A path as git's quoting (``core.quotePath``) means it; names without quotes as they are."""
+    inner = F.substring(name, F.lit(2), F.length(name) - 2)
+    pieces = F.regexp_extract_all(inner, F.lit(r'(\\[0-7]{3}|\\.|[^\\]+)'), F.lit(1))
+    letters = F.create_map(*[F.lit(x) for k, v in _LETTERS.items() for x in (k, f"{v:02X}")])
+
+    def as_hex(piece: Column) -> Column:
+        number = F.conv(F.substring(piece, 2, 3), 8, 16)
+        letter = F.substring(piece, 2, 1)
+        escaped = F.when(letter.rlike("[0-7]"), F.lpad(number, 2, "0")).otherwise(F.coalesce(F.try_element_at(letters, letter), F.hex(letter)))
+        return F.when(piece.startswith("\\"), escaped).otherwise(F.hex(piece))
+
+    text = F.decode(F.unhex(F.array_join(F.transform(pieces, as_hex), "")), "UTF-8")
+    return F.when(name.startswith('"') & name.endswith('"') & (F.length(name) > 1), text).otherwise(name)
+
+
 def parse_changes(records: DataFrame) -> DataFrame:
     """``changes(commit_id, path, insertions, deletions)``; binary files (``-``) count 0."""
     numstat = F.filter(
@@ -57,7 +79,7 @@ def parse_changes(records: DataFrame) -> DataFrame:
 
     return changed.select(
         "commit_id",
-        normalise(F.col("part")[2]).alias("path"),
+        unquoted(F.col("part")[2]).alias("path"),
         count(0).alias("insertions"),
         count(1).alias("deletions"),
     )

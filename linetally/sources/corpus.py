@@ -6,10 +6,14 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from linetally.functions.paths import normalise
 
@@ -19,10 +23,13 @@ COLUMNS = ["path", "root", "content", "size_bytes", "created_at", "modified_at",
 def as_corpus(df: DataFrame, root: str | None = None) -> DataFrame:
     """Give any frame with ``path`` and ``content`` the full corpus schema.
 
-    ``root`` names the corpus when the frame has no ``root`` column of its own.
+    ``root`` names the corpus when the frame has no ``root`` column of its own. Binary
+    content is decoded; files that are not UTF-8 get replacement characters and
+    ``valid_utf8 = false``, and their size is that of the bytes.
     """
     have = set(df.columns)
-    content = F.col("content")
+    binary = isinstance(df.schema["content"].dataType, BinaryType)
+    text = F.col("content").cast("string")
 
     def given(name: str, default):
         return (F.col(name) if name in have else default).alias(name)
@@ -30,39 +37,79 @@ def as_corpus(df: DataFrame, root: str | None = None) -> DataFrame:
     return df.select(
         normalise(F.col("path")).alias("path"),
         given("root", F.lit(root if root is not None else ".")),
-        content,
-        given("size_bytes", F.octet_length(content).cast("bigint")),
+        (F.make_valid_utf8(text) if binary else F.col("content")).alias("content"),
+        given("size_bytes", F.octet_length("content").cast("bigint")),
         given("created_at", F.lit(None).cast("timestamp")),
         given("modified_at", F.lit(None).cast("timestamp")),
-        given("valid_utf8", F.lit(True)),
+        F.is_valid_utf8(text).alias("valid_utf8") if binary else given("valid_utf8", F.lit(True)),
     )
 
 
 def read_corpus(spark: SparkSession, location: str, fmt: str = "parquet", root: str | None = None) -> DataFrame:
     """Read a corpus table, or with ``fmt="binaryFile"`` a directory tree of files.
 
-    A table is the primary form: it prunes columns, pushes path filters into the scan
-    and keeps hidden files. The directory form skips dot-files (a property of Spark's
-    file listing) and decodes bytes that are not UTF-8 with replacement characters,
-    marking those files with ``valid_utf8 = false``.
+    A table is the primary form: it prunes columns and pushes path filters into the scan.
+    A directory is listed and read by tasks, with every file in it, those whose names begin
+    with a dot or an underscore included (Spark's own file listing leaves them out).
     """
     if fmt != "binaryFile":
         return as_corpus(spark.read.format(fmt).load(location), root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
-    text = F.col("content").cast("string")
-    base = location.split(":", 1)[-1].strip("/")
-    whole = F.regexp_replace(normalise(F.col("path")), "^[a-z0-9]+:/*", "")
-    start = F.locate(f"{base}/", whole) + F.lit(len(base) + 1)
-    below = F.substring(whole, start, F.length(whole))
-    return raw.select(
-        below.alias("path"),
-        F.lit(root if root is not None else location).alias("root"),
-        F.make_valid_utf8(text).alias("content"),
-        F.col("length").cast("bigint").alias("size_bytes"),
-        F.lit(None).cast("timestamp").alias("created_at"),
-        F.col("modificationTime").alias("modified_at"),
-        F.is_valid_utf8(text).alias("valid_utf8"),
-    )
+    return as_corpus(read_directory(spark, location), root if root is not None else location)
+
+
+_FOUND = "path string, size_bytes bigint, modified_at timestamp"
+
+
+def read_directory(spark: SparkSession, location: str) -> DataFrame:
+    """``path, content, size_bytes, modified_at`` of all files below a directory; paths begin there.
+
+    The driver lists the top of the tree only; its folders are listed in parallel, and the
+    files are dealt out by path before they are opened. Works on file systems that Arrow
+    opens (local, HDFS, S3, GCS); a location it can't open is an error. Links to folders
+    are followed as folders.
+    """
+    uri = location if "://" in location or location.startswith("file:") else os.path.abspath(location)
+    store, base = _opened(uri)
+    top = store.get_file_info(fs.FileSelector(base))
+    seeds = [(x.path, x.type == fs.FileType.Directory) for x in top] or [(base, True)]
+
+    def listed(batches):
+        store, base = _opened(uri)
+        for batch in batches:
+            for path, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                infos = store.get_file_info(fs.FileSelector(path, recursive=True)) if folder else [store.get_file_info(path)]
+                files = [x for x in infos if x.type == fs.FileType.File]
+                for i in range(0, len(files), _LISTED):
+                    part = files[i : i + _LISTED]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([x.path[len(base) :].lstrip("/") for x in part], pa.string()),
+                            pa.array([x.size for x in part], pa.int64()),
+                            pa.array([x.mtime for x in part], pa.timestamp("us", tz="UTC")),
+                        ],
+                        names=["path", "size_bytes", "modified_at"],
+                    )
+
+    def opened(batches):
+        store, base = _opened(uri)
+        for batch in batches:
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                with store.open_input_stream(f"{base}/{path}") as file:
+                    content = file.read()
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([content], pa.binary()), row.column(1), row.column(2)], names=["path", "content", "size_bytes", "modified_at"])
+
+    places = spark.createDataFrame(seeds, "path string, folder boolean").repartition("path")
+    files = places.mapInArrow(listed, _FOUND).repartition("path")
+    return files.mapInArrow(opened, "path string, content binary, size_bytes bigint, modified_at timestamp")
+
+
+_LISTED = 10_000
+
+
+def _opened(uri: str):
+    store, base = fs.FileSystem.from_uri(uri)
+    return store, base.rstrip("/")
 
 
 def read_many(spark: SparkSession, locations: dict[str, str], fmt: str = "parquet") -> DataFrame:
@@ -74,17 +121,6 @@ def union_roots(corpora: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, corpora)
 
 
-def spread(df: DataFrame, key: str = "path") -> DataFrame:
-    """Spread a table that was read as fewer partitions than there are cores.
-
-    Scanning text costs far more than moving it, and a small table may sit in one row
-    group. A table with enough partitions (any large one) is returned as it is, without
-    a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def readable(files: DataFrame) -> DataFrame:
     """Files that are valid UTF-8: the ones text analysis looks at."""
     return files.filter("valid_utf8") if "valid_utf8" in files.columns else files

@@ -32,11 +32,15 @@ def test_dependency_counts(corpus):
 
 
 def test_deeply_nested_lock_file(corpus):
-    deep = "{}"
-    for _ in range(200):
-        deep = '{"dependencies": {"a": %s}}' % deep
-    found = artifacts.dependency_counts(corpus({"d/package-lock.json": deep})).collect()
-    assert [r["dependencies"] for r in found] == [200]
+    def nested(levels):
+        deep = "{}"
+        for _ in range(levels):
+            deep = '{"dependencies": {"a": %s}}' % deep
+        return deep
+
+    files = corpus({"d/package-lock.json": nested(60), "e/package-lock.json": nested(200)})
+    found = {r["path"]: r["dependencies"] for r in artifacts.dependency_counts(files).collect()}
+    assert found == {"d/package-lock.json": 60}  # a document of over 127 levels is refused
 
 
 def test_coverage_rates(corpus):

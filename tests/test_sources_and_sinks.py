@@ -131,7 +131,7 @@ def test_sarif_documents_are_valid_and_split(corpus):
     driver = document["runs"][0]["tool"]["driver"]
     assert driver["name"] == "check" and [r["id"] for r in driver["rules"]] == ["CS-001", "CS-002"]
     assert len(document["runs"][0]["results"]) == 120
-    split = [json.loads(r["document"]) for r in rules.sarif_documents(found, results_per_document=25).collect()]
+    split = [json.loads(r["document"]) for r in rules.sarif_documents(found, documents=5).collect()]
     uris = [
         x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for d in split for x in d["runs"][0]["results"]
     ]

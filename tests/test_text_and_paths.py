@@ -104,10 +104,12 @@ def test_uncommitted_compares_root_and_path(spark, corpus):
     assert [(r["root"], r["path"]) for r in filters.uncommitted(files, changed).collect()] == [("r1", "a.rs")]
 
 
-def test_semi_join_beyond_the_broadcast_bound_keeps_the_rows(spark):
-    from linetally.operators.rows import semi_join_checked
-
-    big, keys = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 3).withColumnRenamed("id", "k")
-    small, large = (semi_join_checked(big, keys, ["k"], max_rows=n) for n in (1000, 10))
-    assert sorted(small.collect()) == sorted(large.collect())
-    assert small.count() == 334
+def test_filtered_semi_join_keeps_the_listed_rows_and_moves_no_others(spark):
+    from linetally.operators.rows import semi_join_filtered
+
+    big = spark.range(1000).selectExpr("id AS k", "repeat('x', 10) AS content")
+    keys = spark.range(0, 1000, 3).selectExpr("id AS k").union(spark.createDataFrame([(None,)], "k long"))
+    kept = semi_join_filtered(big, keys, ["k"])
+    assert kept.columns == ["k", "content"]
+    assert sorted(r["k"] for r in kept.collect()) == list(range(0, 1000, 3))
+    assert semi_join_filtered(big, keys.limit(0), ["k"]).count() == 0
