@@ -6,6 +6,9 @@ both sides start from the same input rows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,25 @@ LOG_RECORD = """o_orderkey || chr(31) || CASE WHEN o_custkey % 10 = 0 THEN '' EL
   '3' || chr(9) || '1' || chr(9) || '"docs/caf' || chr(92) || '303' || chr(92) || '251 ' || chr(92) || '"' || (o_orderkey % 5) || chr(92) || '".md"' || chr(10)"""
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def stored(spark: SparkSession, name: str) -> str:
+    """A new location for a table that a query writes and reads back.
+
+    It lies in the folder that the session names in ``spark.checkpoint.dir``. Only a local
+    session that names none gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="run-"))
+        shared = _OWN_FOLDER[0]
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

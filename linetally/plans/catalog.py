@@ -20,7 +20,8 @@ from linetally.operators import analysis, artifacts, compare, duplicates, filter
 from linetally.operators.incremental import incremental_scan
 from linetally.plans import bindings as B
 from linetally.sinks import reports
-from linetally.sources.changelog import parse_changes, parse_commits
+from linetally.sources import corpus
+from linetally.sources.changelog import RECORD, parse_changes, parse_commits, read_log_records
 from linetally.sources.corpus import as_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ SARIF_SCHEMA = (
     "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
     "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>"
 )
+DETAILS_SCHEMA = "Path string, Extension string, Lines bigint, Code bigint, Comments bigint, Blanks bigint, Complexity string"
 OPENAPI_SCHEMA = "openapi string, paths map<string,map<string,struct<summary:string>>>"
 
 
@@ -61,23 +63,35 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_corpus(spark, sf_dir):
-    return B.code_files(spark, sf_dir).select("root", "path", "content", "size_bytes", "valid_utf8")
+    where = B.stored(spark, "corpus")
+    B.code_files(spark, sf_dir).select("path", "content").write.parquet(where)
+    return corpus.read_corpus(spark, where, root="code").select("root", "path", "content", "size_bytes", "valid_utf8")
 
 
 @query
 def read_many(spark, sf_dir):
-    files = B.all_files(spark, sf_dir)
+    places = {}
+    for root, files in (("code", B.code_files), ("site", B.page_files), ("prose", B.doc_files)):
+        places[root] = B.stored(spark, root)
+        files(spark, sf_dir).select("path", "content").write.parquet(places[root])
+    files = corpus.read_many(spark, places)
     return files.groupBy("root").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = B.stored(spark, "log")
+    B.log_records(spark, sf_dir).write.option("lineSep", RECORD).text(where)
+    return read_log_records(spark, where)
+
+
 @query
 def change_log_commits(spark, sf_dir):
-    return parse_commits(B.log_records(spark, sf_dir))
+    return parse_commits(_log(spark, sf_dir))
 
 
 @query
 def change_log_changes(spark, sf_dir):
-    return parse_changes(B.log_records(spark, sf_dir))
+    return parse_changes(_log(spark, sf_dir))
 
 
 @query
@@ -104,7 +118,9 @@ def lang_csv_report(spark, sf_dir):
 
 @query
 def details_csv_report(spark, sf_dir):
-    return reports.details_csv_rows(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines", "complexity"), semicolons=True)
+    where = B.stored(spark, "details")
+    reports.write_details_csv(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines", "complexity"), where, semicolons=True)
+    return spark.read.option("header", True).schema(DETAILS_SCHEMA).csv(where)
 
 
 @query
