@@ -17,6 +17,7 @@ BLANK_ADVICE = "Blank line density is low (%.1f%%). Consider adding blank lines
 
 def age_bucket(moment: Column, as_of: Column) -> Column:
     """``42s ago`` … ``7d ago``; ``-`` when unknown or later than ``as_of``."""
+    # Units and their bounds.
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp(moment)
 
     def ago(divisor: int, unit: str) -> Column:
@@ -32,16 +33,19 @@ def age_bucket(moment: Column, as_of: Column) -> Column:
 
 
 def complexity_band(complexity: Column) -> Column:
+    # Bands and their marks.
     return (
         F.when(complexity < 2, F.lit(".")).when(complexity < 5, F.lit("o")).when(complexity < 10, F.lit("O")).otherwise(F.lit("@"))
     )
 
 
 def sustainability_band(average: Column) -> Column:
+    # Bands and their colours.
     return F.when(average < 3, F.lit("brightgreen")).when(average < 5, F.lit("yellow")).otherwise(F.lit("red"))
 
 
 def risk_level(score: Column) -> Column:
+    # Bounds of the levels.
     return F.when(score > 50, F.lit("High")).when(score > 20, F.lit("Medium")).otherwise(F.lit("Low"))
 
 
@@ -68,6 +72,7 @@ def health_penalties(avg_complexity: Column, comment_density: Column, blank_dens
 
 
 def health_status(score: Column) -> Column:
+    # Grades and their bounds.
     return (
         F.when(score >= 90, F.lit("Excellent"))
         .when(score >= 75, F.lit("Good"))
@@ -78,6 +83,7 @@ def health_status(score: Column) -> Column:
 
 def cocomo(code_lines: Column, monthly_cost: float = 8000.0) -> dict[str, Column]:
     """Basic cost model: effort, schedule, people and cost; null without code."""
+    # The coefficients of the model.
     effort = F.lit(3.2) * F.pow(code_lines.cast("double") / 1000.0, F.lit(1.05))
     months = F.lit(2.5) * F.pow(effort, F.lit(0.38))
     some = code_lines > 0
@@ -91,4 +97,5 @@ def cocomo(code_lines: Column, monthly_cost: float = 8000.0) -> dict[str, Column
 
 def impact_score(commits: Column, insertions: Column, deletions: Column, files: Column) -> Column:
     """Heuristic: a commit weighs 20, an insertion 1, a deletion 0.5, a file touched 5."""
+    # The weights.
     return (commits * 20.0 + insertions * 1.0 + deletions * 0.5 + files * 5.0).cast("double")

@@ -14,6 +14,7 @@ from linetally.functions.paths import components, extension_of, normalise
 from linetally.functions.text import line_count
 from linetally.operators.rows import semi_join_filtered
 
+# When a file is long or tangled.
 LARGE_FILE_LINES = 300
 COMPLEXITY_THRESHOLD = 10.0
 

@@ -84,6 +84,7 @@ def refactor_candidates(
     stats: DataFrame, complexity_threshold: float = COMPLEXITY_THRESHOLD, max_lines: int = LARGE_FILE_LINES
 ) -> DataFrame:
     """Files that are too long or too complex, with reasons and advice (fixed texts)."""
+    # The reasons and the advice.
     lines, complexity = F.col("lines"), F.col("complexity")
     long, tangled = lines > max_lines, complexity >= complexity_threshold
     reasons = F.array_compact(F.array(F.when(long, F.lit("High lines")), F.when(tangled, F.lit("High complexity"))))

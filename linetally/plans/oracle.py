@@ -47,6 +47,7 @@ LINES = (
 BODY = "regexp_replace(content, '\\r?\\n\\z', '')"
 LINE_LIST = f"(CASE WHEN content = '' THEN [] ELSE string_split_regex({BODY}, '\\r?\\n') END)"
 
+# Shebang words and labels.
 SHEBANG = (
     "CASE WHEN content LIKE '#!%' THEN CASE WHEN contains(left(content, 64), 'python') THEN 'Python' "
     "WHEN contains(left(content, 64), 'node') THEN 'JavaScript' WHEN contains(left(content, 64), 'sh') THEN 'Shell' "
@@ -155,6 +156,7 @@ TODO_WORDS = f"len(list_filter(regexp_extract_all(content, '[A-Za-z0-9_]+'), lam
 RS_PY = f"coalesce({EXT} IN ('rs', 'py'), false)"
 DOCSTRINGS = f"(CASE WHEN {RS_PY} THEN len(regexp_extract_all(content, '(?m)^\\s*(///|#|\"\"\")')) ELSE 0 END)::BIGINT"
 TYPEHINTS = f"(CASE WHEN {RS_PY} THEN len(regexp_extract_all(content, '(?m)(:\\s*[a-zA-Z_]|->\\s*[a-zA-Z_])')) ELSE 0 END)::BIGINT"
+# Patterns of names and definitions.
 FUNC_NAMES = r"regexp_extract_all(content, '(?:fn|def|function)\s+([a-zA-Z0-9_]+)', 1)"
 CLASS_NAMES = r"regexp_extract_all(content, 'class\s+([a-zA-Z0-9_]+)', 1)"
 
@@ -210,11 +212,13 @@ AGE = (
 MODIFIED = AGE.format(f"({AS_OF_EPOCH} - (1700000000 + doc_id * 977))")
 CREATED = AGE.format(f"({AS_OF_EPOCH} - (1690000000 + doc_id))")
 
+# Ids, levels and messages of findings.
 FINDINGS = """SELECT root, path, 'CS-001' AS rule_id, 'error' AS level,
   'Found ' || secrets_found || ' potential secret(s) (e.g. API keys) in this file.' AS message FROM stats WHERE secrets_found > 0
 UNION ALL SELECT root, path, 'CS-002', 'warning', 'High cyclomatic complexity (' || printf('%.1f', complexity) || '). Consider refactoring.'
   FROM stats WHERE complexity > 15"""
 
+# Limits, weights, grades and advice.
 HEALTH_RATES = """SELECT {0} count(*)::BIGINT AS files, sum(complexity) / count(*) AS avg_complexity,
   sum(comment_lines)::DOUBLE / sum(lines)::DOUBLE AS comment_density, sum(blank_lines)::DOUBLE / sum(lines)::DOUBLE AS blank_density
   FROM stats {1}"""
