@@ -12,10 +12,12 @@ Two sets link when ``100 * common >= 85 * union``, so a pair of sizes (a, b) nee
   links with, and a pair must meet there a number of times that follows from both sizes.
 * The boundary between the two is where their estimated costs, over the sizes of all
   sets, are least.
-* Lists are walked twice. First every set is compared with the head of its lists that it
-  meets most often; that joins near copies, however many, with one comparison each. Then
-  only pairs whose sets are not yet connected are counted, and those that meet often
-  enough are compared. Sets are compared whole.
+* List entries that can't belong to a link are dropped: rare elements come first, and a set
+  with too many that no other set lists is out of reach of every other.
+* Lists are walked several times. First every set is compared with that head of its lists
+  which it meets most often; this joins near copies, however many, with one comparison
+  each. Last, only pairs whose sets are not connected yet are counted, and those that meet
+  often enough are compared. Sets are compared whole.
 
 Set elements are 64-bit hashes of shingles; nodes are 64-bit hashes of sets. Two of a
 billion sets share one with a chance of 3 %, two shingles of one text of a million words
@@ -43,6 +45,8 @@ MOST_SMALL = 16
 ENTRY_COST = 4.0
 #: Frequent shingles whose order is known, at most (16 bytes each in every task).
 FREQUENT = 1 << 20
+#: Rounds in which list entries are dropped, walks along heads, and heads of a list in each.
+PRUNINGS, WALKS, HEADS = 2, 2, 3
 _CHUNK = 1 << 21
 _CHUNK_LEAST = 3
 #: Bits of the filters that spare texts a shuffle: fixed, so they may be broadcast.
@@ -268,6 +272,8 @@ def connected(links: DataFrame) -> DataFrame:
     constant share of the links.
     """
     links = written(links.where("a <> b").select("a", "b").distinct(), "links")
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = None
     while True:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -298,35 +304,71 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
     heads = heads.where("k > 1 and (key % 2 = 0 or least < most)").select("key", "head")
     small = written(listed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "small-links")
 
-    # inverted lists with at least two sets
-    entries = sets.where("size(listed) > 0").select("node", "n", F.explode("listed").alias("key"))
-    heads = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("key", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    lists = written(entries.join(heads, "key").distinct(), "lists")
-
-    # first walk: the head that a set meets most often
+    lists = _pruned_lists(sets)
+
+    # first walks: of the heads of its lists, the one that a set meets most often
+    found = small
+    for walk in range(WALKS):
+        labels = connected(found)
+        apart = _apart(lists, labels, walk)
+        order = [F.xxhash64("node", F.lit(walk * HEADS + i)) for i in range(HEADS)]
+        heads = apart.groupBy("key").agg(*[F.min_by(F.struct("node", "n", "before", "after", "label"), o).alias(f"head{i}") for i, o in enumerate(order)])
+        heads = heads.select("key", F.explode(F.array_distinct(F.array(*[f"head{i}" for i in range(HEADS)]))).alias("h"))
+        met = apart.join(heads.select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "before", "after", "label")]), "key")
+        met = met.where(f"label <> h_label and {_may_link('', 'h_')}").groupBy("node", "n", "h_node", "h_n").agg(F.count(F.lit(1)).alias("k"))
+        best = met.where(f"k >= {_meetings('n', 'h_n')}").groupBy("node").agg(F.max(F.struct("k", "h_node")).alias("best"))
+        pairs = written(best.select(F.col("best.h_node").alias("a"), F.col("node").alias("b")), "head-pairs")
+        found = written(found.union(_compared(docs, pairs, one_of, id_col, text_col)), "head-links")
+
+    # last walk: every pair of sets that is not connected yet
+    apart = _apart(lists, connected(found), WALKS)
+    left, right = (apart.select("key", *[F.col(c).alias(side + c) for c in ("node", "n", "before", "after", "label")]) for side in ("a_", "b_"))
+    met = left.join(right, "key").where(f"a_label <> b_label and a_node < b_node and {_may_link('a_', 'b_')}")
+    met = met.groupBy("a_node", "a_n", "b_node", "b_n").agg(F.count(F.lit(1)).alias("k"))
+    pairs = written(met.where(f"k >= {_meetings('a_n', 'b_n')}").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "last-pairs")
+    return found.union(_compared(docs, pairs, one_of, id_col, text_col))
+
+
+def _meetings(a: str, b: str) -> str:
+    """In SQL: how often two sets of these sizes meet in lists at least, if they link."""
     length = "least({0}, {0} - ceil(17 * {0} / 20) + 1 + floor({0} / 50))"
-    need = "ceil(17 * ({0} + {1}) / 37)"
-
-    def meets(a: str, b: str) -> str:
-        c = need.format(a, b)
-        return f"least({length.format(a)} - {a} + {c}, {length.format(b)} - {b} + {c})"
-
-    fits = "100 * least({0}, {1}) >= 85 * greatest({0}, {1})"
-    met = lists.where(f"node <> head and {fits.format('n', 'head_n')}").groupBy("node", "n", "head", "head_n").agg(F.count(F.lit(1)).alias("k"))
-    best = met.where(f"k >= {meets('n', 'head_n')}").groupBy("node").agg(F.max(F.struct("k", F.col("head").alias("head"))).alias("best"))
-    pairs = written(best.select(F.col("best.head").alias("a"), F.col("node").alias("b")), "first-pairs")
-    first = written(small.union(_compared(docs, pairs, one_of, id_col, text_col)), "first-links")
-
-    # second walk: only sets that are not connected yet
-    labels = connected(first)
-    known = lists.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    known = written(known, "labelled-lists")
-    mixed_keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    apart = written(known.join(mixed_keys, "key"), "lists-apart")
-    left, right = apart.toDF("key", "a", "na", "la"), apart.toDF("key", "b", "nb", "lb")
-    met = left.join(right, "key").where(f"la <> lb and a < b and {fits.format('na', 'nb')}").groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("k"))
-    pairs = written(met.where(f"k >= {meets('na', 'nb')}").select("a", "b"), "second-pairs")
-    return first.union(_compared(docs, pairs, one_of, id_col, text_col))
+    need = f"ceil(17 * ({a} + {b}) / 37)"
+    return f"least({length.format(a)} - {a} + {need}, {length.format(b)} - {b} + {need})"
+
+
+def _may_link(a: str, b: str) -> str:
+    """In SQL: whether two sets that meet at an element can share enough.
+
+    Of the elements before it in order only those can be common that are in lists of
+    several sets, of those after it any. So every meeting of two sets that link passes.
+    """
+    share = f"least({a}before, {b}before) + 1 + least({a}after, {b}after)"
+    return f"37 * ({share}) >= 17 * ({a}n + {b}n)"
+
+
+def _pruned_lists(sets: DataFrame) -> DataFrame:
+    """``(key, node, n, before, after)``: entries of inverted lists at which sets may link.
+
+    ``before``: elements of the set ahead of this one that are in lists of several sets (an
+    element in no other set's list can't be shared with a set that has a later one in its
+    lists); ``after``: all its elements behind this one. Entries whose set could not share
+    0.85 of its elements at all are left out, and lists of one entry with them.
+    """
+    entries = sets.where("size(listed) > 0").select("node", "n", F.posexplode("listed").alias("at", "key"))
+    for _ in range(PRUNINGS):
+        shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+        several = entries.join(shared, "key").select("key", "node", "n", "at").distinct()
+        order = W.partitionBy("node").orderBy("at")
+        placed = several.withColumn("before", F.row_number().over(order) - 1).withColumn("after", F.col("n") - F.col("at") - 1)
+        entries = written(placed.where("20 * (before + 1 + after) >= 17 * n"), "lists")
+    return entries.select("key", "node", "n", "before", "after")
+
+
+def _apart(lists: DataFrame, labels: DataFrame, walk: int) -> DataFrame:
+    """Entries of lists that hold sets of several components, with the components' labels."""
+    known = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"labelled-lists-{walk}")
+    several = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(known.join(several, "key"), f"lists-apart-{walk}")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
