@@ -311,7 +311,9 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
     for walk in range(WALKS):
         labels = connected(found)
         apart = _apart(lists, labels, walk)
-        order = [F.xxhash64("node", F.lit(walk * HEADS + i)) for i in range(HEADS)]
+        # heads: sets with the fewest elements of their own, of which a group's others are variants; and one by chance
+        own = F.expr("n - 1 - after - before")
+        order = [F.struct(own if i + 1 < HEADS else F.lit(0), F.xxhash64("node", F.lit(walk * HEADS + i))) for i in range(HEADS)]
         heads = apart.groupBy("key").agg(*[F.min_by(F.struct("node", "n", "before", "after", "label"), o).alias(f"head{i}") for i, o in enumerate(order)])
         heads = heads.select("key", F.explode(F.array_distinct(F.array(*[f"head{i}" for i in range(HEADS)]))).alias("h"))
         met = apart.join(heads.select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "before", "after", "label")]), "key")
