@@ -325,9 +325,14 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
     # last walk: every pair of sets that is not connected yet
     apart = _apart(lists, connected(found), WALKS)
     left, right = (apart.select("key", *[F.col(c).alias(side + c) for c in ("node", "n", "before", "after", "label")]) for side in ("a_", "b_"))
-    met = left.join(right, "key").where(f"a_label <> b_label and a_node < b_node and {_may_link('a_', 'b_')}")
-    met = met.groupBy("a_node", "a_n", "b_node", "b_n").agg(F.count(F.lit(1)).alias("k"))
-    pairs = written(met.where(f"k >= {_meetings('a_n', 'b_n')}").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "last-pairs")
+    # two sets that meet k times have k - 1 meetings before the last, which alone tells them
+    times = _meetings("a_n", "b_n")
+    met = left.join(right, "key").where(f"a_label <> b_label and a_node < b_node and least(a_before, b_before) + 1 >= {times} and {_may_link('a_', 'b_')}")
+    met = written(met.select("a_node", "a_n", "b_node", "b_n").distinct(), "late-meetings")
+    keys = apart.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    both = met.join(keys.toDF("a_node", "a_keys"), "a_node").join(keys.toDF("b_node", "b_keys"), "b_node")
+    pairs = both.where(f"size(array_intersect(a_keys, b_keys)) >= {times}")
+    pairs = written(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "last-pairs")
     return found.union(_compared(docs, pairs, one_of, id_col, text_col))
 
 
