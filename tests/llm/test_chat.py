@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from linetally.llm import chat
 
-NASTY = st.text(alphabet=list("\\#</turn>: \nasé") + ["### ", "</turn>\n", "\\\\"], max_size=60)
+NASTY = st.lists(st.sampled_from([*"\\#</turn>: \nasé", "### ", "</turn>\n", "\\\\"]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
