@@ -118,7 +118,7 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
     # the scan: one small row for each block; files are scanned side by side
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     stop = F.col("first_token") + F.col("n")
-    scan = found.select("file", "block", F.size("ends").cast("long").alias("k"), F.element_at("ends", -1).alias("last"), stop.alias("stop"))
+    scan = found.select("file", "block", F.size("ends").cast("long").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("last"), stop.alias("stop"))
     scan = scan.select(
         "file",
         F.col("block"),
@@ -128,7 +128,7 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
         "stop",
     )
     joined = found.drop("n", "first_token").join(scan, ["file", "block"])
-    rest = F.when(F.col("is_last") & (F.coalesce(F.element_at("ends", -1), F.col("last_before")) + 1 < F.col("stop")), F.array("stop")).otherwise(F.array().cast("array<bigint>"))
+    rest = F.when(F.col("is_last") & (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("last_before")) + 1 < F.col("stop")), F.array("stop")).otherwise(F.array().cast("array<bigint>"))
     places = F.concat(F.array("last_before"), "ends", rest)
     counts = F.transform(F.slice(places, F.lit(2), F.size(places) - 1), lambda x, i: F.struct((F.col("docs_before") + i).alias("doc_no"), (x - F.get(places, i) - 1).alias("n_tokens")))
     return joined.select("file", F.inline(counts))
