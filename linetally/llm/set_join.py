@@ -205,17 +205,18 @@ def _sets(docs: DataFrame, boundary: int, key: np.ndarray, n: np.ndarray, id_col
         for batch in batches:
             for texts, _, _ in slices(batch):
                 size, node, check, listed, subsets = [], [], [], [], []
-                for own in shingle_sets(texts):
+                for x, own in zip(texts.ids.to_pylist(), shingle_sets(texts), strict=True):
                     a, b = set_keys(own)
                     size.append(len(own))
                     node.append(a)
                     check.append(b)
-                    new = len(own) > 0 and a not in seen
+                    new = len(own) > 0 and x is not None and a not in seen
                     listed.append(order.first(own, list_length(len(own))).view(np.int64) if new and len(own) >= least else none)
                     subsets.append(np.unique(subset_keys(own, boundary)).view(np.int64) if new and len(own) <= boundary else none)
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    seen.add(a)
+                    if new:
+                        seen.add(a)
                 longs = pa.list_(pa.int64())
                 yield table([texts.ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(listed, longs), pa.array(subsets, longs)], names)
 
@@ -382,7 +383,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(id, n_shingles, component_id)`` of every row: the smallest id that links reach from its set.
 
     Rows with equal sets share a component, whatever their ids. A null or empty text has an
-    empty set and its own id. Rows without id take part; their own id reaches nothing.
+    empty set and its own id. A row without id has the component of rows with an equal set,
+    if there are any, and links nothing.
     """
     sizes, key, n = _profile(docs, id_col, text_col)
     sets = _sets(docs, choose_boundary(sizes), key, n, id_col, text_col)
