@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import ALNUM, LEAD, LOWER, NOT_SPACE, Texts, quoted, row_sums, slices, table, window_hashes, window_starts, word_hashes, words
+from linetally.llm.batches import ALNUM, LEAD, LOWER, NOT_SPACE, Texts, bound_batches, quoted, row_sums, slices, table, window_hashes, window_starts, word_hashes, words
 from linetally.llm.store import written
 
 #: Common words of a language.
@@ -77,7 +77,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     Counted over all documents: tasks hand on sums, and of words only the commonest of each
     language reach the driver. Rows without a language have none.
     """
-    source = docs.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").cast("binary").alias("data")).where("lang is not null and data is not null")
+    source = bound_batches(docs).select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").cast("binary").alias("data")).where("lang is not null and data is not null")
 
     def run(batches):
         counts: dict[tuple[str, int], list] = {}
@@ -116,7 +116,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     counted = source.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     is_sum = (F.length("word") == 1) & (F.hex("word") >= "80") & (F.hex("word") < "C0")
     order = W.partitionBy("lang", "is_sum").orderBy(F.desc("n"), "word")
-    ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where(F.col("is_sum") | (F.col("rank") <= common)).drop("rank"), "references")
+    ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= max(common, CLASSES + 1)) & (F.col("is_sum") | (F.col("rank") <= common))).drop("rank"), "references")
     langs = ranked.where(F.col("is_sum") & (F.hex("word") == f"{0x80 + CLASSES:X}")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
     out: dict[str, tuple[np.ndarray, dict[bytes, int]]] = {}
     for row in ranked.join(F.broadcast(langs), "lang").collect():
@@ -235,7 +235,7 @@ def judge(
     A null text has no words; without any reference every distance is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    source = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
+    source = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
     def run(batches):
