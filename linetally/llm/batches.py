@@ -1,7 +1,8 @@
 """Texts in tasks: Arrow batches as byte buffers, words found and hashed with numpy.
 
-A batch is handled in slices of at most ``SLICE_BYTES`` of text (or one row, if that
-alone is longer), so a task's memory is bounded by the longest text, not by the batch.
+Spark hands over batches of a few MB (``bound_batches``), and a batch is handled in slices
+of at most ``SLICE_BYTES`` of text (or one row, if that alone is longer), so a task's
+memory is bounded by the longest text, not by the number of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
@@ -40,8 +42,15 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Let the session make Arrow batches of at most ``BATCH_BYTES`` (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads; no other column, whatever its name, gets in the way."""
+    bound_batches(df)
     return df.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
 
 

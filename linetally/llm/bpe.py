@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from linetally.llm.batches import NOT_SPACE, Texts, id_and_bytes, slices, table, word_hashes, words
 
 #: Encoded stretches of text that a task remembers before it starts afresh.
-REMEMBERED_STRETCHES = 400_000
+REMEMBERED_STRETCHES = 250_000
 #: Words of at most so many bytes are encoded together.
 SHORT_WORD = 40
 _NONE = np.int32(2**31 - 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linetally.llm.batches import LEAD, mixed, quoted, slices, table
+from linetally.llm.batches import LEAD, bound_batches, mixed, quoted, slices, table
 from linetally.llm.store import written
 
 LEAST_CHARS = 20
@@ -126,7 +126,7 @@ def repeated_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: i
 
     A key counts once for an id; rows without an id count for none.
     """
-    source = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data")).where("id is not null and data is not null")
+    source = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data")).where("id is not null and data is not null")
 
     def run(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linetally.llm.batches import LOWER, NOT_SPACE, Texts, id_and_bytes, mixed, slices, table, word_hashes, words
+from linetally.llm.batches import LOWER, NOT_SPACE, Texts, bound_batches, id_and_bytes, mixed, slices, table, word_hashes, words
 from linetally.llm.training import Ftrl, fold, labelled_texts, sigmoid
 
 BITS = 18
@@ -126,7 +126,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text_col
                 yield batch.filter(pa.array(np.concatenate(good)))
 
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
-    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
+    return bound_batches(docs).toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import quoted
+from linetally.llm.batches import bound_batches, quoted
 
 
 def fold(id_col: Column, parts: int) -> Column:
@@ -29,7 +29,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, parts: int, h
         .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
-    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
+    texts = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
     return texts.join(F.broadcast(chosen), "id")
 
 
