@@ -7,6 +7,9 @@ memory is bounded by the longest text, not by the number of rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -48,6 +51,19 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, after which the worker gives its freed memory back, as it will serve other tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads; no other column, whatever its name, gets in the way."""
     bound_batches(df)
@@ -102,7 +118,7 @@ def scan_texts(df: DataFrame, id_col: str, text_col: str, work: Callable, schema
                 yield table(work(texts), names)
 
     names = [part.split()[0] for part in schema.split(",")]
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def table(columns: list, names: list[str]) -> pa.RecordBatch:

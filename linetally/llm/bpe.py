@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from linetally.llm.batches import NOT_SPACE, Texts, id_and_bytes, slices, table, word_hashes, words
+from linetally.llm.batches import NOT_SPACE, Texts, id_and_bytes, slices, table, tidy, word_hashes, words
 
 #: Encoded stretches of text that a task remembers before it starts afresh.
 REMEMBERED_STRETCHES = 250_000
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ids, bounds = encoder.encode(texts)
                 yield table([texts.ids, np.diff(bounds), pa.array(_parts(ids, bounds), pa.binary())], ["id", "n_tokens", "ids"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids binary")
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "id long, n_tokens long, ids binary")
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
@@ -288,7 +288,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
                 out = known.decode(np.frombuffer(texts.buf.tobytes(), "<u4"), texts.offsets // 4)
                 yield table([texts.ids, pa.array([x.decode() for x in out], pa.string())], ["id", "text"])
 
-    return tokens.select("id", "ids").mapInArrow(run, "id long, text string")
+    return tokens.select("id", "ids").mapInArrow(tidy(run), "id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,4 +308,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 back = [hashlib.sha256(x).hexdigest() for x in known.decode(ids, bounds)]
                 yield table([texts.ids, np.diff(bounds), pa.array(there, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import quoted, table
+from linetally.llm.batches import quoted, table, tidy
 
 #: A turn opens with a heading and closes with a mark.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>"
@@ -442,7 +442,7 @@ def format_conversations(turns: DataFrame, template: str = TURNS, conv_col: str
             yield table([pa.array([conv], pa.int64()), pa.array([len(messages)], pa.int64()), pa.array([text], pa.string()), pa.array([made], _SPAN)], ["conv_id", "n_turns", "text", "loss"])
 
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, text string, loss array<struct<start: long, end: long>>")
+    return ordered.mapInArrow(tidy(run), "conv_id long, n_turns long, text string, loss array<struct<start: long, end: long>>")
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -479,4 +479,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 )
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv_id", "text", "loss").mapInArrow(run, schema)
+    return formatted.select("conv_id", "text", "loss").mapInArrow(tidy(run), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import ALNUM, LEAD, LOWER, NOT_SPACE, Texts, bound_batches, quoted, row_sums, slices, table, window_hashes, window_starts, word_hashes, words
+from linetally.llm.batches import ALNUM, LEAD, LOWER, NOT_SPACE, Texts, bound_batches, quoted, row_sums, slices, table, tidy, window_hashes, window_starts, word_hashes, words
 from linetally.llm.store import written
 
 #: Common words of a language.
@@ -113,7 +113,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         keys = [(name, c) for name in classes for c in range(CLASSES + 1)]
         yield table([pa.array([k[0] for k in keys], pa.string()), pa.array([bytes([0x80 + k[1]]) for k in keys], pa.binary()), pa.array([int(classes[k[0]][k[1]]) for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    counted = source.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(tidy(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     is_sum = (F.length("word") == 1) & (F.hex("word") >= "80") & (F.hex("word") < "C0")
     order = W.partitionBy("lang", "is_sum").orderBy(F.desc("n"), "word")
     ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= max(common, CLASSES + 1)) & (F.col("is_sum") | (F.col("rank") <= common))).drop("rank"), "references")
@@ -249,4 +249,4 @@ def judge(
                 kept = ~failed & ((n < guard_words) | (by_class <= most_class_distance + slack) & (by_word <= most_word_distance + slack))
                 yield table([texts.ids, n, chars, symbols, dup, repeat, failed, kept, by_class, by_word], names)
 
-    return source.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return source.mapInArrow(tidy(run), "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linetally.llm.batches import LEAD, bound_batches, mixed, quoted, slices, table
+from linetally.llm.batches import LEAD, bound_batches, mixed, quoted, slices, table, tidy
 from linetally.llm.store import written
 
 LEAST_CHARS = 20
@@ -139,7 +139,7 @@ def repeated_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: i
                 a, b = _hashed(keys)
                 yield table([a.view(np.int64), b.view(np.int64), pa.array(ids, pa.int64())], ["a", "b", "id"])
 
-    pairs = source.mapInArrow(run, "a long, b long, id long").groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
+    pairs = source.mapInArrow(tidy(run), "a long, b long, id long").groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
     return pairs.groupBy("a", "b").agg(F.sum("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= least_docs).select("a", "b", "keeper")
 
 
@@ -205,7 +205,7 @@ def _probed(docs: DataFrame, at_id: int, at_text: int, bundle: list, bits: int,
                     parts = [p | np.unpackbits(np.frombuffer(old, np.uint8), count=len(p)).astype(bool) for p, old in zip(parts, columns.pop().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())], names=[*part.schema.names[: len(columns)], "drop"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def mark_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -253,7 +253,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
-    return marked.mapInArrow(run, plain).toDF(*docs.columns)
+    return marked.mapInArrow(tidy(run), plain).toDF(*docs.columns)
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -266,4 +266,4 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [_kept((t or "").encode(), d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield table([batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], ["id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return marked.mapInArrow(run, "id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.mapInArrow(tidy(run), "id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linetally.llm.batches import LOWER, NOT_SPACE, Texts, bound_batches, id_and_bytes, mixed, slices, table, word_hashes, words
+from linetally.llm.batches import LOWER, NOT_SPACE, Texts, bound_batches, id_and_bytes, mixed, slices, table, tidy, word_hashes, words
 from linetally.llm.training import Ftrl, fold, labelled_texts, sigmoid
 
 BITS = 18
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
                     rows.append((x, index[first[i] : first[i + 1]].ravel().astype(np.int32), y))
         yield table([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 
-    found = labelled_texts(docs, labels, label, parts, held_out, most, id_col, text_col).repartition(1).mapInArrow(run, "weights binary").collect()
+    found = labelled_texts(docs, labels, label, parts, held_out, most, id_col, text_col).repartition(1).mapInArrow(tidy(run), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((_KINDS << BITS) + 1, np.float32)
 
 
@@ -109,7 +109,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             for texts, _, _ in slices(batch):
                 yield table([texts.ids, scores(texts, shared.value)], ["id", "score"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "id long, score double")
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "id long, score double")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text_col
                 yield batch.filter(pa.array(np.concatenate(good)))
 
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
-    return bound_batches(docs).toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
+    return bound_batches(docs).toDF(*plain.names).mapInArrow(tidy(run), plain).toDF(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

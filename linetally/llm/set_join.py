@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import LOWER, NOT_SPACE, Texts, id_and_bytes, mixed, slices, table, window_hashes, window_starts, word_hashes, words
+from linetally.llm.batches import LOWER, NOT_SPACE, Texts, id_and_bytes, mixed, slices, table, tidy, window_hashes, window_starts, word_hashes, words
 from linetally.llm.store import written
 
 SHINGLE = 4
@@ -164,7 +164,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> tuple[dict[int, int
             yield counted()
         yield table([pa.array(np.ones(len(sizes), np.int32)), np.arange(len(sizes)), sizes], ["kind", "key", "n"])
 
-    found = written(id_and_bytes(docs, id_col, text_col).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "shingle-counts")
+    found = written(id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "shingle-counts")
     sizes = {row.key: row.n for row in found.where("kind = 1 and n > 0").collect()}
     often = found.where("kind = 0").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toArrow()
     key = often.column("key").to_numpy().view(np.uint64)
@@ -221,7 +221,7 @@ def _sets(docs: DataFrame, boundary: int, key: np.ndarray, n: np.ndarray, id_col
                 yield table([texts.ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(listed, longs), pa.array(subsets, longs)], names)
 
     schema = "id long, n long, node long, check long, listed array<long>, subsets array<long>"
-    return written(id_and_bytes(docs, id_col, text_col).mapInArrow(run, schema), "sets")
+    return written(id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), schema), "sets")
 
 
 def bit_filter(df: DataFrame, value: str) -> np.ndarray:
@@ -258,7 +258,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, one_of: DataFrame, id_col: str,
                 made = shingle_sets(texts, k)
                 yield table([texts.ids, pa.array([set_keys(x)[0] for x in made], pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["id", "node", "elements"])
 
-    made = source.mapInArrow(run, "id long, node long, elements array<long>")
+    made = source.mapInArrow(tidy(run), "id long, node long, elements array<long>")
     sets = written(made.join(wanted.select("node", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "elements"), "wanted-elements")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))

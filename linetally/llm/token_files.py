@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import id_and_bytes, slices, table
+from linetally.llm.batches import id_and_bytes, slices, table, tidy
 from linetally.llm.bpe import Encoder, Vocabulary, vocabulary_text
 from linetally.llm.store import written
 
@@ -43,7 +43,7 @@ def file_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: in
                 for b in range(0, end, size):
                     yield table([pa.array([file]), pa.array([b // size], pa.int64()), pa.array([b // width], pa.int64()), pa.array([data[b : min(b + size, end)]], pa.binary())], ["file", "block", "first_token", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _BLOCKS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), _BLOCKS)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, blo
             yield rows(held, True)[0]
 
     _NAMES = ["file", "block", "first_token", "data", "doc_no", "id"]
-    both = written(id_and_bytes(docs, id_col, text_col).mapInArrow(run, f"{_BLOCKS}, doc_no long, id long"), "token-files")
+    both = written(id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), f"{_BLOCKS}, doc_no long, id long"), "token-files")
     return both.where("block is not null").select("file", "block", "first_token", "data"), both.where("doc_no is not null").select("file", "doc_no", "id")
 
 
@@ -114,7 +114,7 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
                 ends = (np.flatnonzero(tokens == eod) + start).astype(np.int64)
                 yield table([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([len(tokens)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names)
 
-    found = written(blocks.select("file", "block", "first_token", "data").mapInArrow(run, "file string, block long, first_token long, n long, ends array<long>"), "token-ends")
+    found = written(blocks.select("file", "block", "first_token", "data").mapInArrow(tidy(run), "file string, block long, first_token long, n long, ends array<long>"), "token-ends")
     # the scan: one small row for each block; files are scanned side by side
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     stop = F.col("first_token") + F.col("n")

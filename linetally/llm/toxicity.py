@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linetally.llm.batches import ALNUM, LOWER, Spans, Texts, id_and_bytes, mixed, slices, table, words
+from linetally.llm.batches import ALNUM, LOWER, Spans, Texts, id_and_bytes, mixed, slices, table, tidy, words
 from linetally.llm.training import Ftrl, fold, labelled_texts, sigmoid
 
 BITS = 19
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
                     rows.append((x, index[own[0] : own[-1]], np.diff(own), y))
         yield table([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 
-    found = labelled_texts(docs, labels, label, parts, held_out, most, id_col, text_col).repartition(1).mapInArrow(run, "weights binary").collect()
+    found = labelled_texts(docs, labels, label, parts, held_out, most, id_col, text_col).repartition(1).mapInArrow(tidy(run), "weights binary").collect()
     if found:
         return np.frombuffer(found[0][0], np.float32)
     return np.append(np.zeros(1 << BITS, np.float32), np.float32(PRIOR))
@@ -133,7 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray, least: float = 0.5, id_col: str
                     offending[row[i]].append(texts.buf[span[i, 0] : span[i, 1]].tobytes().decode("utf-8", "replace"))
                 yield table([texts.ids, np.clip(p, 0.0, 1.0), pa.array(offending, pa.list_(pa.string()))], ["id", "score", "offending"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "id long, score double, offending array<string>")
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "id long, score double, offending array<string>")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linetally.llm.batches import ALNUM, LOWER, Texts, bound_batches, mixed, quoted, slices, word_hashes, words
+from linetally.llm.batches import ALNUM, LOWER, Texts, bound_batches, mixed, quoted, slices, tidy, word_hashes, words
 
 WINDOW = 10
 #: Bytes of item text whose tables a task holds at once; more items are searched in turn.
@@ -185,7 +185,7 @@ def _searched(docs: DataFrame, at: int, items: list[tuple[str | None, bytes]], w
                 made = [{"n_words": len(h), "n_hit": int(h.sum()), "hit": np.packbits(h).tobytes(), "items": sorted(x)} for h, x in zip(hits, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(made, _FOUND_ARROW)], names=[*part.schema.names[: len(columns)], "found"])
 
-    return bound_batches(docs).mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def search_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
