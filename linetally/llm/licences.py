@@ -54,7 +54,7 @@ LEAST_SHARE = 0.8
 ANCHORS = 3
 
 #: What stands between words, as a pattern in SQL text.
-_BREAK = r"[^A-Za-z0-9\\u0080-\\uFFFF]+"
+_BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NO_PLACES = "cast(array() as array<int>)"
 

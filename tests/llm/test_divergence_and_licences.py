@@ -93,6 +93,20 @@ def test_licences_against_brute_force(spark):
     assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"]) for r in got)
 
 
+def test_licence_words_beyond_the_basic_plane(spark):
+    """Emoji, rare ideographs and mathematical letters are words, or parts of them, like all beyond ASCII."""
+    far = ["\U0001F600", "\U00020000", "\U0001D400", "\U0010FFFF", "\uffff", "\u0080"]
+    texts = [f"hi {x} there" for x in far] + [f"under the{x} mit license" for x in far] + [f"under the {x} mit license" for x in far]
+    texts += [f"{x} under the MIT license {x}" for x in far] + [f"{x}under the mit license" for x in far] + [f"x{x}, Apache License: version 2{x} cc by nc" for x in far]
+    texts += [x for x in far] + [f"a{chr(b)}cc{chr(b)}by{chr(b)}nc{chr(b)}\U0001F600" for b in range(128)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = licences.scan(docs, licences.rarity(docs)).collect()
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted((r["id"], *[r[n] for n in names]) for r in got) == sorted((i, *brute.base_licences(t)) for i, t in enumerate(texts))
+    labels = {texts[r["id"]]: r["labels"] for r in got}
+    assert labels["under the\U0001F600 mit license"] == "" and labels["\U0001F600 under the MIT license \U0001F600"] == "mit"
+
+
 def test_licence_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     scanned = licences.scan(docs, licences.rarity(docs))
