@@ -14,6 +14,9 @@ from linetally.llm import bpe, line_index, quality, set_join, wu_manber
 from linetally.llm.queries import VOCABULARY
 from linetally.llm.store import written
 
+#: Near duplicates share shingles of so many words, with this Jaccard similarity in percent or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on the labels, on their texts here."""
@@ -31,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that shingle sets link, the one with the smallest id."""
-    return set_join.drop_duplicates(docs)
+    return set_join.drop_duplicates(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Jaccard self-join of shingle sets by size: subsets for small sets, inverted lists for large ones.
 
-Two sets link when ``100 * common >= 85 * union``, so a pair of sizes (a, b) needs
-``c = ceil(17 * (a + b) / 37)`` common elements.
+Two sets link when ``100 * common >= percent * union`` (``PERCENT``, if not given), so a
+pair of sizes (a, b) needs ``c = ceil(percent * (a + b) / (100 + percent))`` common elements.
 
 * Equal sets are one node from the start; everything below is about different sets.
 * Small sets list all subsets of the c elements that they could share with a set of each
   fitting size. Two small sets link exactly if they list a subset in common, and a
   subset's sets are chained to one of them, not to each other.
 * Large sets go into inverted lists, rarest elements first. The first
-  ``n - ceil(0.85 n) + 1`` elements of a set (and a few more) meet those of every set it
+  ``n - ceil(percent / 100 * n) + 1`` elements of a set (and a few more) meet those of every set it
   links with, and a pair must meet there a number of times that follows from both sizes.
 * The boundary between the two is where their estimated costs, over the sizes of all
   sets, are least.
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from linetally.llm.batches import LOWER, NOT_SPACE, Texts, id_and_bytes, mixed, slices, table, tidy, window_hashes, window_starts, word_hashes, words
 from linetally.llm.store import written
 
+#: Words of a shingle, and the similarity from which sets link, where a caller names no others.
 SHINGLE = 4
+PERCENT = 85
 #: Sets up to this size may be small; above, the number of subsets explodes.
 MOST_SMALL = 16
 #: What looking at one list entry costs, in emitted subsets.
@@ -54,14 +56,14 @@ FILTER_BITS = 24
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
-def common_needed(a, b):
+def common_needed(a, b, percent: int = PERCENT):
     """Common elements of a pair of sizes that link."""
-    return -(-17 * (a + b) // 37)
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def list_length(n: int) -> int:
+def list_length(n: int, percent: int = PERCENT) -> int:
     """Elements of a set of n that go into lists: enough to meet, and a few to meet more often."""
-    return min(n, n - -(-17 * n // 20) + 1 + n // 50)
+    return min(n, n - -(-percent * n // 100) + 1 + n // 50)
 
 
 def shingle_sets(texts: Texts, k: int = SHINGLE) -> list[np.ndarray]:
@@ -91,16 +93,17 @@ def set_keys(own: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def fitting_sizes(n: int) -> list[tuple[int, int]]:
+def fitting_sizes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Sizes of sets that one of n can link with, and how many elements they share at least."""
-    return [(m, common_needed(n, m)) for m in range(-(-17 * n // 20), 20 * n // 17 + 1) if m > 0 and common_needed(n, m) <= min(n, m)]
+    sizes = range(-(-percent * n // 100), 100 * n // percent + 1)
+    return [(m, common_needed(n, m, percent)) for m in sizes if m > 0 and common_needed(n, m, percent) <= min(n, m)]
 
 
-def subsets_listed(n: int, boundary: int) -> int:
-    return sum(math.comb(n, c) for m, c in fitting_sizes(n) if m <= boundary)
+def subsets_listed(n: int, boundary: int, percent: int = PERCENT) -> int:
+    return sum(math.comb(n, c) for m, c in fitting_sizes(n, percent) if m <= boundary)
 
 
-def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
+def subset_keys(own: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
     """Keys of all subsets that a small set could share with another small one.
 
     Odd keys are for a pair of different sizes: they link sets of both, not two of one.
@@ -109,7 +112,7 @@ def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
     part = mixed(own)
     whole = part.sum(dtype=np.uint64)
     out = []
-    for m, c in fitting_sizes(n):
+    for m, c in fitting_sizes(n, percent):
         if m > boundary:
             continue
         low, high = min(n, m), max(n, m)
@@ -120,22 +123,22 @@ def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def choose_boundary(sizes: dict[int, int], entry_cost: float = ENTRY_COST) -> int:
+def choose_boundary(sizes: dict[int, int], entry_cost: float = ENTRY_COST, percent: int = PERCENT) -> int:
     """The size up to which listing subsets is cheaper than list entries, for these numbers of sets."""
 
     def cost(x: int) -> float:
-        small = sum(k * subsets_listed(n, x) for n, k in sizes.items() if n <= x)
-        return small + sum(k * list_length(n) * entry_cost for n, k in sizes.items() if n >= in_lists_from(x))
+        small = sum(k * subsets_listed(n, x, percent) for n, k in sizes.items() if n <= x)
+        return small + sum(k * list_length(n, percent) * entry_cost for n, k in sizes.items() if n >= in_lists_from(x, percent))
 
     return min(range(MOST_SMALL + 1), key=cost)
 
 
-def in_lists_from(boundary: int) -> int:
+def in_lists_from(boundary: int, percent: int = PERCENT) -> int:
     """The smallest size that can link with one above the boundary, and so must be in lists too."""
-    return -(-17 * (boundary + 1) // 20)
+    return -(-percent * (boundary + 1) // 100)
 
 
-def _profile(docs: DataFrame, id_col: str, text_col: str) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+def _profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     """``(numbers of small sizes, frequent shingles, their counts)`` over all documents.
 
     Tasks count shingles of some thousand documents at a time and hand on those found a few
@@ -152,7 +155,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> tuple[dict[int, int
 
         for batch in batches:
             for texts, _, _ in slices(batch):
-                for own in shingle_sets(texts):
+                for own in shingle_sets(texts, k):
                     if 0 < len(own) < len(sizes):
                         sizes[len(own)] += 1
                     held.append(own)
@@ -193,11 +196,11 @@ class _Order:
         return own[np.argsort(rank, kind="stable")[:length]]
 
 
-def _sets(docs: DataFrame, boundary: int, key: np.ndarray, n: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, boundary: int, key: np.ndarray, n: np.ndarray, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """``(id, n, node, check, listed, subsets)`` of every row; repeats of a set in a task list nothing."""
     shared = docs.sparkSession.sparkContext.broadcast((key, n))
     names = ["id", "n", "node", "check", "listed", "subsets"]
-    least = in_lists_from(boundary)
+    least = in_lists_from(boundary, percent)
 
     def run(batches):
         order, seen = _Order(*shared.value), set()
@@ -205,14 +208,14 @@ def _sets(docs: DataFrame, boundary: int, key: np.ndarray, n: np.ndarray, id_col
         for batch in batches:
             for texts, _, _ in slices(batch):
                 size, node, check, listed, subsets = [], [], [], [], []
-                for x, own in zip(texts.ids.to_pylist(), shingle_sets(texts), strict=True):
+                for x, own in zip(texts.ids.to_pylist(), shingle_sets(texts, k), strict=True):
                     a, b = set_keys(own)
                     size.append(len(own))
                     node.append(a)
                     check.append(b)
                     new = len(own) > 0 and x is not None and a not in seen
-                    listed.append(order.first(own, list_length(len(own))).view(np.int64) if new and len(own) >= least else none)
-                    subsets.append(np.unique(subset_keys(own, boundary)).view(np.int64) if new and len(own) <= boundary else none)
+                    listed.append(order.first(own, list_length(len(own), percent)).view(np.int64) if new and len(own) >= least else none)
+                    subsets.append(np.unique(subset_keys(own, boundary, percent)).view(np.int64) if new and len(own) <= boundary else none)
                     if len(seen) > 1_000_000:
                         seen.clear()
                     if new:
@@ -239,7 +242,7 @@ def in_filter(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
     return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, one_of: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
+def _compared(docs: DataFrame, pairs: DataFrame, one_of: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that link: their sets are made again from one text each and compared whole.
 
     ``one_of``: ``(node, id)``. Texts of other nodes are passed over by a filter of fixed size.
@@ -262,7 +265,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, one_of: DataFrame, id_col: str,
     sets = written(made.join(wanted.select("node", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "elements"), "wanted-elements")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))
-    return both.where(185 * common >= 85 * (F.size("ea") + F.size("eb"))).select("a", "b")
+    return both.where((100 + percent) * common >= percent * (F.size("ea") + F.size("eb"))).select("a", "b")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Links between nodes that connect all that link: not every link is listed."""
     one_of = sets.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"))
 
@@ -305,7 +308,7 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
     heads = heads.where("k > 1 and (key % 2 = 0 or least < most)").select("key", "head")
     small = written(listed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "small-links")
 
-    lists = _pruned_lists(sets)
+    lists = _pruned_lists(sets, percent)
 
     # first walks: of the heads of its lists, the one that a set meets most often
     found = small
@@ -318,49 +321,49 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Data
         heads = apart.groupBy("key").agg(*[F.min_by(F.struct("node", "n", "before", "after", "label"), o).alias(f"head{i}") for i, o in enumerate(order)])
         heads = heads.select("key", F.explode(F.array_distinct(F.array(*[f"head{i}" for i in range(HEADS)]))).alias("h"))
         met = apart.join(heads.select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("node", "n", "before", "after", "label")]), "key")
-        met = met.where(f"label <> h_label and {_may_link('', 'h_')}").groupBy("node", "n", "h_node", "h_n").agg(F.count(F.lit(1)).alias("k"))
-        best = met.where(f"k >= {_meetings('n', 'h_n')}").groupBy("node").agg(F.max(F.struct("k", "h_node")).alias("best"))
+        met = met.where(f"label <> h_label and {_may_link('', 'h_', percent)}").groupBy("node", "n", "h_node", "h_n").agg(F.count(F.lit(1)).alias("k"))
+        best = met.where(f"k >= {_meetings('n', 'h_n', percent)}").groupBy("node").agg(F.max(F.struct("k", "h_node")).alias("best"))
         pairs = written(best.select(F.col("best.h_node").alias("a"), F.col("node").alias("b")), "head-pairs")
-        found = written(found.union(_compared(docs, pairs, one_of, id_col, text_col)), "head-links")
+        found = written(found.union(_compared(docs, pairs, one_of, id_col, text_col, k, percent)), "head-links")
 
     # last walk: every pair of sets that is not connected yet
     apart = _apart(lists, connected(found), WALKS)
     left, right = (apart.select("key", *[F.col(c).alias(side + c) for c in ("node", "n", "before", "after", "label")]) for side in ("a_", "b_"))
     # two sets that meet k times have k - 1 meetings before the last, which alone tells them
-    times = _meetings("a_n", "b_n")
-    met = left.join(right, "key").where(f"a_label <> b_label and a_node < b_node and least(a_before, b_before) + 1 >= {times} and {_may_link('a_', 'b_')}")
+    times = _meetings("a_n", "b_n", percent)
+    met = left.join(right, "key").where(f"a_label <> b_label and a_node < b_node and least(a_before, b_before) + 1 >= {times} and {_may_link('a_', 'b_', percent)}")
     met = written(met.select("a_node", "a_n", "b_node", "b_n").distinct(), "late-meetings")
     keys = apart.groupBy("node").agg(F.collect_set("key").alias("keys"))
     both = met.join(keys.toDF("a_node", "a_keys"), "a_node").join(keys.toDF("b_node", "b_keys"), "b_node")
     pairs = both.where(f"size(array_intersect(a_keys, b_keys)) >= {times}")
     pairs = written(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "last-pairs")
-    return found.union(_compared(docs, pairs, one_of, id_col, text_col))
+    return found.union(_compared(docs, pairs, one_of, id_col, text_col, k, percent))
 
 
-def _meetings(a: str, b: str) -> str:
+def _meetings(a: str, b: str, percent: int) -> str:
     """In SQL: how often two sets of these sizes meet in lists at least, if they link."""
-    length = "least({0}, {0} - ceil(17 * {0} / 20) + 1 + floor({0} / 50))"
-    need = f"ceil(17 * ({a} + {b}) / 37)"
+    length = f"least({{0}}, {{0}} - ceil({percent} * {{0}} / 100) + 1 + floor({{0}} / 50))"
+    need = f"ceil({percent} * ({a} + {b}) / {100 + percent})"
     return f"least({length.format(a)} - {a} + {need}, {length.format(b)} - {b} + {need})"
 
 
-def _may_link(a: str, b: str) -> str:
+def _may_link(a: str, b: str, percent: int) -> str:
     """In SQL: whether two sets that meet at an element can share enough.
 
     Of the elements before it in order only those can be common that are in lists of
     several sets, of those after it any. So every meeting of two sets that link passes.
     """
     share = f"least({a}before, {b}before) + 1 + least({a}after, {b}after)"
-    return f"37 * ({share}) >= 17 * ({a}n + {b}n)"
+    return f"{100 + percent} * ({share}) >= {percent} * ({a}n + {b}n)"
 
 
-def _pruned_lists(sets: DataFrame) -> DataFrame:
+def _pruned_lists(sets: DataFrame, percent: int) -> DataFrame:
     """``(key, node, n, before, after)``: entries of inverted lists at which sets may link.
 
     ``before``: elements of the set ahead of this one that are in lists of several sets (an
     element in no other set's list can't be shared with a set that has a later one in its
     lists); ``after``: all its elements behind this one. Entries whose set could not share
-    0.85 of its elements at all are left out, and lists of one entry with them.
+    ``percent`` of its elements at all are left out, and lists of one entry with them.
     """
     entries = sets.where("size(listed) > 0").select("node", "n", F.posexplode("listed").alias("at", "key"))
     for _ in range(PRUNINGS):
@@ -368,7 +371,7 @@ def _pruned_lists(sets: DataFrame) -> DataFrame:
         several = entries.join(shared, "key").select("key", "node", "n", "at").distinct()
         order = W.partitionBy("node").orderBy("at")
         placed = several.withColumn("before", F.row_number().over(order) - 1).withColumn("after", F.col("n") - F.col("at") - 1)
-        entries = written(placed.where("20 * (before + 1 + after) >= 17 * n"), "lists")
+        entries = written(placed.where(f"100 * (before + 1 + after) >= {percent} * n"), "lists")
     return entries.select("key", "node", "n", "before", "after")
 
 
@@ -379,16 +382,18 @@ def _apart(lists: DataFrame, labels: DataFrame, walk: int) -> DataFrame:
     return written(known.join(several, "key"), f"lists-apart-{walk}")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row: the smallest id that links reach from its set.
 
     Rows with equal sets share a component, whatever their ids. A null or empty text has an
     empty set and its own id. A row without id has the component of rows with an equal set,
-    if there are any, and links nothing.
+    if there are any, and links nothing. Sets are of shingles of ``k`` words, and link from
+    a Jaccard similarity of ``percent`` / 100.
     """
-    sizes, key, n = _profile(docs, id_col, text_col)
-    sets = _sets(docs, choose_boundary(sizes), key, n, id_col, text_col)
-    labels = connected(_links(docs, sets, id_col, text_col))
+    sizes, key, n = _profile(docs, id_col, text_col, k)
+    boundary = choose_boundary(sizes) if percent == PERCENT else choose_boundary(sizes, percent=percent)
+    sets = _sets(docs, boundary, key, n, id_col, text_col, k, percent)
+    labels = connected(_links(docs, sets, id_col, text_col, k, percent))
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("own"))
     labelled = nodes.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("own").alias("component_id"))
@@ -397,14 +402,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(of_node, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of each component's smallest id, with all their columns.
 
     Rows of equal id are one document, of which the first by text stays; rows without id
     stay. Texts of documents that surely stay are not shuffled: a filter of fixed size
     tells them, and the few others are joined.
     """
-    found = written(components(docs, id_col, text_col).where("id is not null").groupBy("id").agg(F.max(F.col("component_id") == F.col("id")).alias("stays"), F.count(F.lit(1)).alias("k")), "components")
+    found = written(components(docs, id_col, text_col, k, percent).where("id is not null").groupBy("id").agg(F.max(F.col("component_id") == F.col("id")).alias("stays"), F.count(F.lit(1)).alias("k")), "components")
     doubtful = found.where("not stays or k > 1")
     bits = bit_filter(doubtful.select(F.xxhash64("id").alias("mark")), "mark")
     shared = docs.sparkSession.sparkContext.broadcast(bits)

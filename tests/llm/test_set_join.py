@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from linetally.llm import set_join
@@ -114,3 +115,34 @@ def test_connected_follows_long_chains(spark):
     labels = {r["node"]: r["label"] for r in set_join.connected(links).collect()}
     assert len({labels[names[i]] for i in range(201)}) == 1 and len({labels[names[i]] for i in (1000, 1001, 1002)}) == 1
     assert labels[names[0]] != labels[names[1000]] and len(labels) == 204
+
+
+def all_pairs(rows: list[tuple[int, str | None]], k: int, percent: int) -> list[tuple[int, int, int]]:
+    sets = [brute.shingles(t, k) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        union = len(sets[i] | sets[j])
+        if union and 100 * len(sets[i] & sets[j]) >= percent * union and label[i] != label[j]:
+            old, new = label[i], label[j]
+            label = [new if x == old else x for x in label]
+    smallest = {x: min(d for (d, _), y in zip(rows, label, strict=True) if x == y) for x in set(label)}
+    return sorted((d, len(own), smallest[x]) for (d, _), own, x in zip(rows, sets, label, strict=True))
+
+
+@pytest.mark.parametrize("k,percent,boundary", [(5, 80, None), (5, 80, 0), (5, 80, 16), (3, 60, None), (1, 100, None)])
+def test_other_shingles_and_similarities(spark, monkeypatch, k, percent, boundary):
+    rows = corpus(7)
+    if boundary is not None:
+        rows = [(d, t) for d, t in rows if t is None or len(t.split()) < 45]
+        monkeypatch.setattr(set_join, "choose_boundary", lambda sizes, percent: boundary)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(set_join.components(docs, k=k, percent=percent)) == all_pairs(rows, k, percent)
+
+
+def test_the_pipeline_takes_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    two, three = ([f"x{i}" if i in at else w for i, w in enumerate(words)] for at in ((30, 60), (25, 50, 75)))
+    assert all_pairs([(1, " ".join(words)), (2, " ".join(two))], 4, 85)[1][2] == 2
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(three))], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [1, 3]
