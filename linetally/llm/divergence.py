@@ -19,8 +19,8 @@ from linetally.llm.store import written
 
 #: Common words of a language.
 COMMON_WORDS = 48
-#: Languages that have a reference: those with most words.
-MOST_LANGUAGES = 64
+#: Languages whose common words are counted in a text at once; all languages have their turn.
+LANGUAGES_AT_ONCE = 64
 #: Fewer words than this, and the distances say nothing.
 GUARD_WORDS = 40
 #: Distances from which a text is refused: so much, and more the shorter it is, as the
@@ -117,9 +117,8 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     is_sum = (F.length("word") == 1) & (F.hex("word") >= "80") & (F.hex("word") < "C0")
     order = W.partitionBy("lang", "is_sum").orderBy(F.desc("n"), "word")
     ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= max(common, CLASSES + 1)) & (F.col("is_sum") | (F.col("rank") <= common))).drop("rank"), "references")
-    langs = ranked.where(F.col("is_sum") & (F.hex("word") == f"{0x80 + CLASSES:X}")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
     out: dict[str, tuple[np.ndarray, dict[bytes, int]]] = {}
-    for row in ranked.join(F.broadcast(langs), "lang").collect():
+    for row in ranked.toLocalIterator():
         sums, own = out.setdefault(row.lang, (np.zeros(CLASSES + 1, np.int64), {}))
         if row.is_sum:
             sums[row.word[0] - 0x80] = row.n
@@ -147,37 +146,48 @@ class Judge:
     """References as sorted tables, to measure many texts at once."""
 
     def __init__(self, found: list[tuple[np.ndarray, dict[bytes, int], int]]):
+        self.classes = [c for c, _, _ in found]
+        self.blocks = [self._block(found[i : i + LANGUAGES_AT_ONCE]) for i in range(0, len(found), LANGUAGES_AT_ONCE)]
+
+    @staticmethod
+    def _block(found: list[tuple[np.ndarray, dict[bytes, int], int]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         names = sorted({w for _, own, _ in found for w in own})
         buf = np.frombuffer(b" ".join(names), np.uint8)
         at = words(buf, np.array([0, len(buf)]), NOT_SPACE)
         hashes = word_hashes(buf, at)
         order = np.argsort(hashes)
-        self.keys, number = hashes[order], {names[i]: k for k, i in enumerate(order.tolist())}
-        self.classes = [c for c, _, _ in found]
-        self.bins = []
+        keys, number = hashes[order], {names[i]: k for k, i in enumerate(order.tolist())}
+        bins = []
         for _, own, total in found:
             at = np.array([number[w] for w in own], dtype=np.int64)
             n = np.array(list(own.values()), dtype=np.int64)
-            self.bins.append((at, np.append(n, total - n.sum())))
+            bins.append((at, np.append(n, total - n.sum())))
+        return keys, bins
 
     def measure(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Smallest distance of each row by classes and by words, each over all references."""
         rows = len(texts)
         chars = class_histograms(texts)
-        class_distance = np.min([distance(chars, q) for q in self.classes], axis=0) if self.classes else np.zeros(rows)
+        class_distance = np.full(rows, 1.0) if self.classes else np.zeros(rows)
+        for q in self.classes:
+            class_distance = np.minimum(class_distance, distance(chars, q))
         _, found, hashes = _plain_words(texts)
-        if not len(self.keys):
+        if not any(len(keys) for keys, _ in self.blocks):
             return class_distance, np.zeros(rows)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        known = self.keys[at] == hashes
-        n = len(self.keys)
-        counts = np.bincount(found.rows()[known] * n + at[known], minlength=rows * n).reshape(rows, n)
-        total = np.diff(found.first)
+        of_row, total = found.rows(), np.diff(found.first)
         word_distance = np.full(rows, 1.0)
-        for own, q in self.bins:
-            p = counts[:, own]
-            p = np.column_stack([p, total - p.sum(axis=1)])
-            word_distance = np.minimum(word_distance, distance(p, q))
+        for keys, bins in self.blocks:
+            n = len(keys)
+            if n:
+                at = np.minimum(np.searchsorted(keys, hashes), n - 1)
+                known = keys[at] == hashes
+                counts = np.bincount(of_row[known] * n + at[known], minlength=rows * n).reshape(rows, n)
+            else:
+                counts = np.zeros((rows, 0), np.int64)
+            for own, q in bins:
+                p = counts[:, own]
+                p = np.column_stack([p, total - p.sum(axis=1)])
+                word_distance = np.minimum(word_distance, distance(p, q))
         return class_distance, word_distance
 
 

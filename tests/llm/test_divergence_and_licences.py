@@ -52,6 +52,23 @@ def test_verdicts_and_references(spark):
     assert divergence.references(docs.limit(0)) == [] and divergence.judge(docs.limit(0), found).count() == 0
 
 
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(140):
+        own = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in PROSE.split()]
+        rows += [(i * 10 + k, " ".join(rng.choice(own) for _ in range(260 - i)), f"l{i}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = divergence.references(docs)
+    assert len(found) == 140
+    got = {r["id"]: r for r in divergence.judge(docs, found).collect()}
+    assert all(r["kept"] for r in got.values())
+    # the nearest of all is the nearer one of the nearest of two parts
+    parts = [{r["id"]: r for r in divergence.judge(docs, part).collect()} for part in (found[:50], found[50:])]
+    for name in ("class_distance", "word_distance"):
+        assert all(r[name] == min(p[i][name] for p in parts) for i, r in got.items())
+
+
 def test_distance():
     p = np.array([[1, 1, 0], [0, 0, 5], [0, 0, 0], [3, 3, 0]])
     got = divergence.distance(p, np.array([1, 1, 0]))
