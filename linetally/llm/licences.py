@@ -2,9 +2,10 @@
 
 Licence notices are templates: their words with positions, and key phrases that must be
 there. How rare each licence word is (inverse document frequency) is counted over all
-files. In a file, the rarest words of a template that it holds are looked up; each place
-of such a word says where the template would begin, and only beginnings that all of them
-agree on are left. There the template's other words and its key phrases are checked.
+files. A notice may lack or change so many words and no more, so one of the words at the
+rarest positions of its template, one more than that, is in place. They are looked up; each
+place of such a word says where the template would begin, and at every such beginning the
+template's words and its key phrases are checked.
 """
 
 from __future__ import annotations
@@ -50,8 +51,6 @@ TEMPLATES = (
 
 #: Share of a template's words that must stand in their places.
 LEAST_SHARE = 0.8
-#: Rare words of a template whose places must agree.
-ANCHORS = 3
 
 #: What stands between words, as a pattern in SQL text.
 _BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -95,21 +94,23 @@ def _phrase_places(phrase: str) -> str:
     return f"filter(sequence(0, size(words) - 1), i -> {_follows('i', phrase)})"
 
 
+def anchors(own: list[str], idf: dict[str, float]) -> list[int]:
+    """The rarest positions of a template, so many that any ``LEAST_SHARE`` of its words takes one of them."""
+    least = next(n for n in range(len(own) + 1) if n / len(own) >= LEAST_SHARE)
+    return sorted(range(len(own)), key=lambda i: (-idf[own[i]], -len(own[i]), i))[: len(own) - least + 1]
+
+
 def _share(template: Template, idf: dict[str, float]) -> str:
     """The largest share of the template's words in place anywhere in the file, if key phrases are there."""
     own = template.text.split()
-    first: dict[str, int] = {}
-    for i, w in enumerate(own):
-        first.setdefault(w, i)
-    ranked = sorted(first, key=lambda w: (-idf[w], -len(w), w))
-    index = ", ".join(f"named_struct('w', '{w}', 'at', {first[w]})" for w in ranked)
-    anchors = f"slice(filter(array({index}), x -> array_contains(present, x.w)), 1, {ANCHORS})"
-    starts = f"transform({anchors}, x -> filter(transform(words, (w, i) -> if(w = x.w, i - x.at, null)), s -> s is not null))"
-    agreed = f"aggregate({starts}, cast(null as array<int>), (a, b) -> if(a is null, b, array_intersect(a, b)), a -> coalesce(a, {_NO_PLACES}))"
+    index = ", ".join(f"named_struct('w', '{own[i]}', 'at', {i})" for i in anchors(own, idf))
+    held = f"filter(array({index}), x -> array_contains(present, x.w))"
+    starts = f"transform({held}, x -> filter(transform(words, (w, i) -> if(w = x.w, i - x.at, null)), s -> s is not null))"
+    starts = f"array_distinct(flatten({starts}))"
     pattern = ", ".join(f"named_struct('w', '{w}', 'at', {i})" for i, w in enumerate(own))
     keys = " and ".join(f"exists(sequence(s - 2, s + {len(own) + 2}), i -> {_follows('i', key)})" for key in template.keys)
     share = f"size(filter(array({pattern}), x -> get(words, s + x.at) = x.w)) / {float(len(own))}D"
-    return f"array_max(transform(filter({agreed}, s -> {keys}), s -> {share}))"
+    return f"array_max(transform(filter({starts}, s -> {keys}), s -> {share}))"
 
 
 def scan(docs: DataFrame, idf: dict[str, float], id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

@@ -124,6 +124,39 @@ def test_licence_words_beyond_the_basic_plane(spark):
     assert labels["under the\U0001F600 mit license"] == "" and labels["\U0001F600 under the MIT license \U0001F600"] == "mit"
 
 
+def template_labels(text: str) -> str:
+    """Labels by trying every beginning in plain Python, with base phrases."""
+    words = brute.PLAIN.findall(brute.lower(text))
+    labels = set(filter(None, brute.base_licences(text)[-1].split(",")))
+    for t in licences.TEMPLATES:
+        own = t.text.split()
+        for s in range(-len(own), len(words)):
+            share = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(own)) / len(own)
+            near = [words[i : i + len(k.split())] for k in t.keys for i in range(max(0, s - 2), max(0, s + len(own) + 3))]
+            if share >= licences.LEAST_SHARE and all(k.split() in near for k in t.keys):
+                labels.add(t.label)
+    return ",".join(sorted(labels))
+
+
+def test_notices_beside_stray_words(spark):
+    """A template's rare words elsewhere in the file, and words changed within a notice, hide no notice."""
+    rng = random.Random(6)
+    texts = ["Released under the GNU General Public License version 2", "Released under the GNU General Public License version 2. The manual is licensed separately"]
+    for t in licences.TEMPLATES:
+        own = t.text.split()
+        for lost in range(len(own) // 5 + 2):
+            for _ in range(3):
+                notice = list(own)
+                for i in rng.sample(range(len(own)), lost):
+                    notice[i] = "zzz"
+                stray = [rng.choice(own) for _ in range(6)]
+                texts += [" ".join(notice), " ".join([*stray, "x", *notice, "y", *own[-1:], *stray])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["labels"] for r in licences.scan(docs, licences.rarity(docs)).collect()}
+    assert got[0] == got[1] == "gpl"
+    assert got == {i: template_labels(t) for i, t in enumerate(texts)}
+
+
 def test_licence_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     scanned = licences.scan(docs, licences.rarity(docs))
