@@ -101,3 +101,20 @@ reach AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id), d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM d, unnest(range(1, len(w) - 18)) AS r(i)),
+numbered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS place FROM windows),
+gone AS (SELECT DISTINCT doc_id, p FROM numbered, unnest(range(i, i + 20)) AS r(p) WHERE place > 1),
+placed AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(p)),
+marked AS (
+  SELECT placed.doc_id, placed.p, placed.word, gone.p IS NOT NULL AS removed
+  FROM placed LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.p = placed.p),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per_doc ON per_doc.doc_id = d.doc_id
+"""

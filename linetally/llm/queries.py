@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linetally.llm import bpe, chat, divergence, licences, line_index, quality, set_join, token_files, toxicity, wu_manber
+from linetally.llm import bpe, chat, divergence, licences, line_index, quality, set_join, substring_dedup, token_files, toxicity, wu_manber
 
 VOCABULARY = "word_bpe_49k.json"
 END_OF_DOCUMENT = 49407
@@ -64,4 +64,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_divergence, op3_set_join, op4_wu_manber, op5_token_counts, op6_licences, op7_toxicity, op8_quality, op9_line_index, op10_chat)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_divergence,
+        op3_set_join,
+        op4_wu_manber,
+        op5_token_counts,
+        op6_licences,
+        op7_toxicity,
+        op8_quality,
+        op9_line_index,
+        op10_chat,
+        op11_substring_dedup,
+    )
+}
