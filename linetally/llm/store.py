@@ -27,3 +27,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_and_released(df: DataFrame, name: str) -> DataFrame:
+    """``written``, after which the shuffle files that made the table are deleted at once.
+
+    They would otherwise stay until the driver happens to collect its garbage. The session's
+    setting is put back; the table is the recovery point.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_CLEANUP, before)

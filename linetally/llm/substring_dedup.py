@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linetally.llm.batches import NOT_SPACE, SPACE_BYTES, Texts, Words, id_and_bytes, mixed, quoted, row_sums, signed, slices, table, tidy, window_starts, word_hashes, words
-from linetally.llm.store import written
+from linetally.llm.store import written_and_released
 
 WINDOW = 20
 #: Bytes of text whose windows one shuffle partition is meant to number, and the most partitions.
@@ -195,7 +195,7 @@ def repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col:
 
 def _with_repeats(docs: DataFrame, k: int, id_col: str, text_col: str, partition_bytes: int) -> DataFrame:
     """``(id, data, hashes)`` of every row; rows without id find nothing."""
-    found = written(repeats(docs, k, id_col, text_col, partition_bytes), "window-repeats")
+    found = written_and_released(repeats(docs, k, id_col, text_col, partition_bytes), "window-repeats")
     rows = id_and_bytes(docs, id_col, text_col)
     # Rows without id are dealt out by their text, and meet no id as they have a key of their own kind.
     key: list[Column] = [F.coalesce("id", F.xxhash64("data")).alias("key"), F.col("id").isNull().alias("none")]
