@@ -118,3 +118,84 @@ per_doc AS (
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN per_doc ON per_doc.doc_id = d.doc_id
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (
+  SELECT lang, unnest(list_concat(
+           list_transform(range(1, len(w) + 1), lambda i: w[i]),
+           list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+           list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+           list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS t
+  FROM p WHERE len(w) > 0),
+f AS (SELECT lang, t, count(*) AS a FROM g GROUP BY lang, t HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, t, string_split(t, ' ') AS w, a FROM f WHERE contains(t, ' ')),
+parts AS (
+  SELECT c.lang, t, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:len(w)], ' ') AS rest
+  FROM c JOIN (VALUES (1), (2), (3)) AS ks(k) ON k < len(w)),
+cuts AS (
+  SELECT parts.lang, parts.t, parts.a, k, x.a AS l, y.a AS r, (CAST(2000000 AS HUGEINT) * parts.a) // (x.a + y.a) AS score
+  FROM parts JOIN f AS x ON x.lang = parts.lang AND x.t = head JOIN f AS y ON y.lang = parts.lang AND y.t = rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, a, unnest(CASE len(w)
+    WHEN 3 THEN [w[1] || ' ' || w[2], w[2] || ' ' || w[3]]
+    ELSE [w[1] || ' ' || w[2], w[2] || ' ' || w[3], w[3] || ' ' || w[4],
+          w[1] || ' ' || w[2] || ' ' || w[3], w[2] || ' ' || w[3] || ' ' || w[4]] END) AS t
+  FROM c WHERE len(w) > 2),
+longer AS (SELECT lang, t, max(a) AS a FROM inside GROUP BY lang, t),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.t = lowest.t
+  WHERE longer.a IS NULL OR 100 * longer.a < 80 * lowest.a),
+ranked AS (
+  SELECT lang, t AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, t) AS rank
+  FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+ORACLE["op13_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM t GROUP BY text),
+good_ids AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic_ids AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+facts AS (
+  SELECT part,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 3 * length(t.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN firsts.first_id < doc_id THEN 16 ELSE 0 END AS mask,
+         doc_id IN (SELECT doc_id FROM good_ids) AS good, doc_id IN (SELECT doc_id FROM toxic_ids) AS toxic
+  FROM t JOIN firsts ON firsts.text = t.text),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM f AS a, f AS b, f AS c, f AS d, f AS e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, f.bit,
+         (SELECT coalesce(sum(x.bit), 0) FROM f AS x WHERE instr(filter_order, x.letter) < step) AS earlier
+  FROM orders, range(1, 6) AS r(step) JOIN f ON f.letter = filter_order[step]),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         count(*) FILTER (mask & bit = 0 AND mask & earlier = 0) AS kept,
+         count(*) FILTER (mask & bit <> 0 AND mask & earlier = 0) AS removed,
+         count(*) FILTER (mask & bit <> 0 AND mask & earlier <> 0) AS redundant,
+         count(*) FILTER (mask = bit) AS unique_fails,
+         count(*) FILTER (mask & bit <> 0 AND mask & earlier = 0 AND good) AS good_lost,
+         count(*) FILTER (mask & bit <> 0 AND mask & earlier = 0 AND toxic) AS toxic_lost
+  FROM facts, (SELECT filter_order, step, bit, CAST(earlier AS INTEGER) AS earlier FROM steps) GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linetally.llm import bpe, chat, divergence, licences, line_index, quality, set_join, substring_dedup, token_files, toxicity, wu_manber
+from linetally.llm import bpe, chat, collocations, divergence, filter_audit, licences, line_index, quality, set_join, substring_dedup, token_files, toxicity, wu_manber
 
 VOCABULARY = "word_bpe_49k.json"
 END_OF_DOCUMENT = 49407
@@ -68,6 +68,14 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_index,
         op10_chat,
         op11_substring_dedup,
+        op12_collocations,
+        op13_filter_audit,
     )
 }
