@@ -8,14 +8,17 @@ length are worked on together, so every scan is one numpy call for many words.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from linetally.llm.batches import NOT_SPACE, Texts, id_and_bytes, slices, table, tidy, word_hashes, words
 
@@ -27,6 +30,7 @@ _NONE = np.int32(2**31 - 1)
 _BLOCK = 1 << 12
 #: Ids that are decoded together.
 _DECODED = 1 << 20
+_LIBRARY = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
 def byte_letters() -> list[str]:
@@ -38,11 +42,41 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@functools.cache
+def members(kind: str) -> str:
+    """The letters (L) or numbers (N) of the vocabulary's library, as a set for the ``regex`` package.
+
+    ``unicodedata``, ``regex`` and the library each follow Unicode tables of their own age. They agree
+    on what the oldest assigns; of all other code points the library is asked, on the driver.
+    """
+    unknown = "".join(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
+    asked = pre_tokenizers.Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown)
+    theirs = set("".join(piece for piece, _ in asked))
+    ours = set(regex.findall(rf"\p{{{kind}}}", unknown))
+    less, more = _ranges(ours - theirs), _ranges(theirs - ours)
+    return rf"[\p{{{kind}}}" + (f"--[{less}]" if less else "") + "]" + more
+
+
+def _ranges(chars: set[str]) -> str:
+    points = np.array(sorted(map(ord, chars)), dtype=np.int64)
+    first = np.flatnonzero(np.diff(points, prepend=-2) > 1)
+    last = np.append(first[1:], len(points)) - 1
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b]:08x}" for a, b in zip(first, last, strict=True)) if len(points) else ""
+
+
+class Source(NamedTuple):
+    """A tokenizer file's text, and the sets of letters and numbers that its library knows."""
+
+    text: str
+    letters: str
+    numbers: str
+
+
 class Vocabulary:
     """What a tokenizer file (``tokenizer.json``, word-end BPE over bytes) says, as arrays."""
 
-    def __init__(self, source: str):
-        spec = json.loads(source)
+    def __init__(self, source: Source):
+        spec = json.loads(source.text)
         model = spec["model"]
         end = model.get("end_of_word_suffix") or ""
         if model["type"] != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or spec.get("decoder"):
@@ -58,10 +92,10 @@ class Vocabulary:
         kept = np.sort(len(key) - 1 - last)
         order = kept[np.argsort(key[kept], kind="stable")]
         self.key, self.rank, self.made = key[order], order.astype(np.int32), made
-        first = np.full(max(ids.values()) + 1, -1, dtype=np.int64)
-        first[made[::-1]] = np.arange(len(made))[::-1]
-        #: Every merge comes after those that make its parts, as training leaves them.
-        self.in_order = bool((np.maximum(first[key >> 32], first[key & 0xFFFFFFFF]) < np.arange(len(key))).all())
+        latest = np.full(max(ids.values()) + 1, -1, dtype=np.int64)
+        np.maximum.at(latest, made, np.arange(len(made)))
+        #: Every merge comes after all those that make its parts, as training leaves them.
+        self.in_order = bool((np.maximum(latest[key >> 32], latest[key & 0xFFFFFFFF]) < np.arange(len(key))).all())
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         tokens = [names[i].encode() + b" " if i in names else b"" for i in range(max(names) + 2)]
@@ -69,7 +103,7 @@ class Vocabulary:
         self.token_size = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.pattern = split.replace(r"\s", r"\p{White_Space}")
+        self.pattern = "(?V1)" + split.replace(r"\s", r"\p{White_Space}").replace(r"\p{L}", source.letters).replace(r"\p{N}", source.numbers)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of adjacent parts; ``_NONE`` where they don't merge."""
@@ -208,6 +242,8 @@ class Encoder:
         """Canonical composition and lower case, letter by letter (a final sigma is no exception)."""
         if text.isascii():
             return text.lower()
+        if "Cn" in map(unicodedata.category, text):  # the library's tables may be newer than Python's
+            return _LIBRARY.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _pieces(self, stretch: str) -> list[str | int]:
@@ -248,10 +284,10 @@ class Encoder:
         return ids, bounds[found.first]
 
 
-def vocabulary_text(path: str) -> str:
-    """A tokenizer file, read where the job is started; tasks get its text by broadcast (a few MB)."""
+def vocabulary_source(path: str) -> Source:
+    """A tokenizer file, read where the job is started; tasks get it by broadcast (a few MB)."""
     with open(path, encoding="utf-8") as file:
-        return file.read()
+        return Source(file.read(), members("L"), members("N"))
 
 
 def _parts(values: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
@@ -265,7 +301,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``vocabulary`` is the path of a tokenizer file. A null or empty text, and one of white
     space only, has no ids. Rows with equal ids (or none) each give a row.
     """
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
+    source = docs.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
 
     def run(batches):
         encoder = Encoder(Vocabulary(source.value))
@@ -279,7 +315,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """``(id, text)`` from rows of ``encode``; null ids give an empty text."""
-    source = tokens.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
+    source = tokens.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
 
     def run(batches):
         known = Vocabulary(source.value)
@@ -296,7 +332,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     Same rows as ``encode``; neither ids nor decoded texts leave the task.
     """
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
+    source = docs.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
 
     def run(batches):
         known = Vocabulary(source.value)

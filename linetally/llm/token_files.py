@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetally.llm.batches import id_and_bytes, slices, table, tidy
-from linetally.llm.bpe import Encoder, Vocabulary, vocabulary_text
+from linetally.llm.bpe import Encoder, Vocabulary, vocabulary_source
 from linetally.llm.store import written
 
 #: Tokens of a block.
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, blo
     ``file_tokens`` tokens. Both tables are written to the shared folder; the token table
     holds a file's bytes as rows of one block.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
     kind = np.dtype(f"<u{width}")
     size = width * block_tokens
 

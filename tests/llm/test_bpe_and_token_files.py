@@ -4,12 +4,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from linetally.llm import bpe, token_files
-from linetally.llm.bpe import Vocabulary, vocabulary_text
+from linetally.llm.batches import slices
+from linetally.llm.bpe import Encoder, Vocabulary, vocabulary_source
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -37,7 +39,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return Vocabulary(vocabulary_text(PATH))
+    return Vocabulary(vocabulary_source(PATH))
 
 
 def test_digests_match_the_library(spark, library):
@@ -56,6 +58,21 @@ def test_digests_match_the_library(spark, library):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("template", ["a{}1", "{}", "!{}é"])
+def test_every_code_point(library, template):
+    """Splitting, composing and lower case follow the library's Unicode tables, whatever Python's are."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(template.format(c) for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    encoder = Encoder(Vocabulary(vocabulary_source(PATH)))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts], pa.binary())], names=["id", "data"])
+    got = []
+    for part, _, _ in slices(batch):
+        ids, bounds = encoder.encode(part)
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [i for i, (x, y) in enumerate(zip(got, want, strict=True)) if x != y] == []
+
+
 def test_encode_and_decode(spark, library):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     tokens = bpe.encode(docs, PATH)
