@@ -1,13 +1,17 @@
 """Quality rules by distribution: how far a text's histograms are from its language's.
 
 A language's reference is made from all its documents: a histogram of character classes,
-and one of its commonest words with one bin for all others. A text is compared with every
-reference by Jensen-Shannon distance (base 2, so 0 to 1), and the nearest counts. Texts
-too short for a stable histogram are not judged by it.
+and one of its commonest words with one bin for all others. Labels with few words or documents
+make no reference, as such a text would be measured by itself. A text is compared with the
+reference of its own language by Jensen-Shannon distance (base 2, so 0 to 1), and only where
+that language has none (or the text no language) with all of them, of which the nearest
+counts. Texts too short for a stable histogram are not judged by it.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +27,9 @@ COMMON_WORDS = 48
 LANGUAGES_AT_ONCE = 64
 #: Fewer words than this, and the distances say nothing.
 GUARD_WORDS = 40
+#: What a language needs for a reference: so many words (letters and digits) and documents.
+LEAST_REFERENCE_WORDS = 5_000
+LEAST_REFERENCE_DOCS = 20
 #: Distances from which a text is refused: so much, and more the shorter it is, as the
 #: chance part of a distance shrinks with the square root of the length.
 MOST_CLASS_DISTANCE = 0.16
@@ -53,6 +60,7 @@ _CLASS[0xE0:0xE3] = 15
 _CLASS[0xE3:0xF0] = 16
 _CLASS[0xF0:0x100] = 17
 CLASSES = 18
+_SUMS = CLASSES + 2
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -71,11 +79,23 @@ def _plain_words(texts: Texts):
     return buf, found, word_hashes(buf, found)
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common: int = COMMON_WORDS) -> list[tuple[np.ndarray, dict[bytes, int], int]]:
-    """For each language ``(characters of each class, its common words with counts, all its words)``.
+class Reference(NamedTuple):
+    """A language: characters of each class, its common words with counts, all its words and documents."""
+
+    lang: str
+    classes: np.ndarray
+    common: dict[bytes, int]
+    words: int
+    docs: int
+
+
+def references(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common: int = COMMON_WORDS, least_words: int = LEAST_REFERENCE_WORDS, least_docs: int = LEAST_REFERENCE_DOCS
+) -> list[Reference]:
+    """The references of all languages with at least ``least_words`` words and ``least_docs`` documents.
 
     Counted over all documents: tasks hand on sums, and of words only the commonest of each
-    language reach the driver. Rows without a language have none.
+    language reach the driver. Rows without a language, or without a text, count for none.
     """
     source = bound_batches(docs).select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").cast("binary").alias("data")).where("lang is not null and data is not null")
 
@@ -97,7 +117,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                 of_word = np.repeat(lang, np.diff(found.first))
                 for i, name in enumerate(names.tolist()):
                     own = np.flatnonzero(of_word == i)
-                    classes[name] = classes.get(name, 0) + np.append(chars[lang == i].sum(axis=0), len(own))
+                    classes[name] = classes.get(name, 0) + np.append(chars[lang == i].sum(axis=0), [len(own), (lang == i).sum()])
                     distinct, at, n = np.unique(hashes[own], return_index=True, return_counts=True)
                     at = own[at]
                     for h, a, b, k in zip(distinct.tolist(), found.start[at].tolist(), found.end[at].tolist(), n.tolist(), strict=True):
@@ -110,21 +130,23 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                     yield from flush()
         yield from flush()
         # sums of classes and of words travel as one-byte "words" that no text has: bytes 80 to BF alone
-        keys = [(name, c) for name in classes for c in range(CLASSES + 1)]
+        keys = [(name, c) for name in classes for c in range(_SUMS)]
         yield table([pa.array([k[0] for k in keys], pa.string()), pa.array([bytes([0x80 + k[1]]) for k in keys], pa.binary()), pa.array([int(classes[k[0]][k[1]]) for k in keys], pa.int64())], ["lang", "word", "n"])
 
     counted = source.mapInArrow(tidy(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     is_sum = (F.length("word") == 1) & (F.hex("word") >= "80") & (F.hex("word") < "C0")
     order = W.partitionBy("lang", "is_sum").orderBy(F.desc("n"), "word")
-    ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= max(common, CLASSES + 1)) & (F.col("is_sum") | (F.col("rank") <= common))).drop("rank"), "references")
+    ranked = written(counted.withColumn("is_sum", is_sum).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= max(common, _SUMS)) & (F.col("is_sum") | (F.col("rank") <= common))).drop("rank"), "references")
+    enough = ranked.where("is_sum").groupBy("lang").agg(*[F.max(F.when(F.hex("word") == f"{0x80 + k:X}", F.col("n"))).alias(c) for c, k in (("words", CLASSES), ("docs", CLASSES + 1))])
+    enough = enough.where((F.col("words") >= least_words) & (F.col("docs") >= least_docs)).select("lang")
     out: dict[str, tuple[np.ndarray, dict[bytes, int]]] = {}
-    for row in ranked.toLocalIterator():
-        sums, own = out.setdefault(row.lang, (np.zeros(CLASSES + 1, np.int64), {}))
+    for row in ranked.join(enough, "lang", "left_semi").toLocalIterator():
+        sums, own = out.setdefault(row.lang, (np.zeros(_SUMS, np.int64), {}))
         if row.is_sum:
             sums[row.word[0] - 0x80] = row.n
         else:
             own[bytes(row.word)] = row.n
-    return [(sums[:CLASSES], own, int(sums[CLASSES])) for _, (sums, own) in sorted(out.items())]
+    return [Reference(lang, sums[:CLASSES], own, int(sums[CLASSES]), int(sums[CLASSES + 1])) for lang, (sums, own) in sorted(out.items())]
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -145,50 +167,56 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Judge:
     """References as sorted tables, to measure many texts at once."""
 
-    def __init__(self, found: list[tuple[np.ndarray, dict[bytes, int], int]]):
-        self.classes = [c for c, _, _ in found]
+    def __init__(self, found: list[Reference]):
+        self.number = {r.lang: i for i, r in enumerate(found)}
+        self.classes = [r.classes for r in found]
         self.blocks = [self._block(found[i : i + LANGUAGES_AT_ONCE]) for i in range(0, len(found), LANGUAGES_AT_ONCE)]
 
     @staticmethod
-    def _block(found: list[tuple[np.ndarray, dict[bytes, int], int]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        names = sorted({w for _, own, _ in found for w in own})
+    def _block(found: list[Reference]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        names = sorted({w for r in found for w in r.common})
         buf = np.frombuffer(b" ".join(names), np.uint8)
         at = words(buf, np.array([0, len(buf)]), NOT_SPACE)
         hashes = word_hashes(buf, at)
         order = np.argsort(hashes)
         keys, number = hashes[order], {names[i]: k for k, i in enumerate(order.tolist())}
         bins = []
-        for _, own, total in found:
-            at = np.array([number[w] for w in own], dtype=np.int64)
-            n = np.array(list(own.values()), dtype=np.int64)
-            bins.append((at, np.append(n, total - n.sum())))
+        for r in found:
+            at = np.array([number[w] for w in r.common], dtype=np.int64)
+            n = np.array(list(r.common.values()), dtype=np.int64)
+            bins.append((at, np.append(n, r.words - n.sum())))
         return keys, bins
 
-    def measure(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest distance of each row by classes and by words, each over all references."""
+    def measure(self, texts: Texts, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each row by classes and by words: to its language's reference, or the nearest of all."""
         rows = len(texts)
+        if not self.classes:
+            return np.zeros(rows), np.zeros(rows)
+        own = np.array([self.number.get(x, -1) for x in langs], dtype=np.int64)
+        by_class, by_word = np.full(rows, 1.0), np.full(rows, 1.0)
         chars = class_histograms(texts)
-        class_distance = np.full(rows, 1.0) if self.classes else np.zeros(rows)
-        for q in self.classes:
-            class_distance = np.minimum(class_distance, distance(chars, q))
         _, found, hashes = _plain_words(texts)
-        if not any(len(keys) for keys, _ in self.blocks):
-            return class_distance, np.zeros(rows)
         of_row, total = found.rows(), np.diff(found.first)
-        word_distance = np.full(rows, 1.0)
-        for keys, bins in self.blocks:
-            n = len(keys)
-            if n:
-                at = np.minimum(np.searchsorted(keys, hashes), n - 1)
-                known = keys[at] == hashes
-                counts = np.bincount(of_row[known] * n + at[known], minlength=rows * n).reshape(rows, n)
-            else:
-                counts = np.zeros((rows, 0), np.int64)
-            for own, q in bins:
-                p = counts[:, own]
-                p = np.column_stack([p, total - p.sum(axis=1)])
-                word_distance = np.minimum(word_distance, distance(p, q))
-        return class_distance, word_distance
+        for b, (keys, bins) in enumerate(self.blocks):
+            here = np.flatnonzero((own < 0) | (own // LANGUAGES_AT_ONCE == b))
+            if not len(here):
+                continue
+            place = np.full(rows, -1, dtype=np.int64)
+            place[here] = np.arange(len(here))
+            counts = np.zeros((len(here), len(keys)), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                known = (keys[at] == hashes) & (place[of_row] >= 0)
+                counts = np.bincount(place[of_row[known]] * len(keys) + at[known], minlength=counts.size).reshape(counts.shape)
+            for i, (bins_of, q) in enumerate(bins, b * LANGUAGES_AT_ONCE):
+                mine = here[(own[here] == i) | (own[here] < 0)]
+                if not len(mine):
+                    continue
+                p = counts[place[mine]][:, bins_of]
+                p = np.column_stack([p, total[mine] - p.sum(axis=1)])
+                by_word[mine] = np.minimum(by_word[mine], distance(p, q))
+                by_class[mine] = np.minimum(by_class[mine], distance(chars[mine], self.classes[i]))
+        return by_class, by_word
 
 
 def base_counts(texts: Texts) -> tuple[np.ndarray, ...]:
@@ -231,30 +259,33 @@ def repeated_words(texts: Texts, found, k: int = REPEAT_WINDOW) -> np.ndarray:
 
 def judge(
     docs: DataFrame,
-    found: list[tuple[np.ndarray, dict[bytes, int], int]],
+    found: list[Reference],
     guard_words: int = GUARD_WORDS,
     most_class_distance: float = MOST_CLASS_DISTANCE,
     most_word_distance: float = MOST_WORD_DISTANCE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    lang_col: str = "lang",
 ) -> DataFrame:
     """Counts, distances and verdicts of every row, against references from ``references``.
 
     ``base_failed``: under 20 words, or over 30 % of them repeated in windows of 8.
     ``kept``: not so, and either too short for the guard or near enough by both distances.
-    A null text has no words; without any reference every distance is 0.
+    A null text has no words; without any reference every distance is 0. Rows need no language
+    column: without one they are measured by the nearest reference.
     """
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    source = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
+    lang = quoted(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    source = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"), lang.alias("lang"))
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
     def run(batches):
         of = Judge(shared.value)
         for batch in batches:
-            for texts, _, _ in slices(batch):
+            for texts, a, b in slices(batch):
                 n, chars, symbols, dup, repeat = base_counts(texts)
                 failed = (n < 20) | (100 * repeat > 30 * n)
-                by_class, by_word = of.measure(texts)
+                by_class, by_word = of.measure(texts, batch.column(2).slice(a, b - a).to_pylist())
                 slack = SLACK / np.sqrt(np.maximum(n, 1))
                 kept = ~failed & ((n < guard_words) | (by_class <= most_class_distance + slack) & (by_word <= most_word_distance + slack))
                 yield table([texts.ids, n, chars, symbols, dup, repeat, failed, kept, by_class, by_word], names)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -38,7 +39,8 @@ def test_verdicts_and_references(spark):
     odd = [(900, " ".join(f"{w}$#" for w in prose(rng, 150).split()), "en"), (901, prose(rng, 150).upper().replace(" ", "!! "), "en"), (902, " ".join(f"q{i}x" for i in range(150)), "en")]
     docs = spark.createDataFrame(good + odd, "doc_id long, text string, lang string")
     found = divergence.references(docs)
-    (classes, common, total), = found
+    (_, classes, common, total, count), = found
+    assert count == len(good + odd)
     assert total == sum(len(t.split()) if i != 900 else 150 for i, t, _ in good + odd)
     words = " ".join(t.lower() for _, t, _ in good + odd)
     assert common[b"the"] == sum(w.strip("$#!") == "the" for w in words.split())
@@ -59,8 +61,10 @@ def test_every_language_has_a_reference(spark):
         own = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in PROSE.split()]
         rows += [(i * 10 + k, " ".join(rng.choice(own) for _ in range(260 - i)), f"l{i}") for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    found = divergence.references(docs)
+    found = divergence.references(docs, least_words=1, least_docs=1)
     assert len(found) == 140
+    assert all(r["kept"] for r in divergence.judge(docs, found).collect())
+    docs = docs.drop("lang")
     got = {r["id"]: r for r in divergence.judge(docs, found).collect()}
     assert all(r["kept"] for r in got.values())
     # the nearest of all is the nearer one of the nearest of two parts
@@ -69,6 +73,77 @@ def test_every_language_has_a_reference(spark):
         assert all(r[name] == min(p[i][name] for p in parts) for i, r in got.items())
 
 
+def plain_distance(p: dict, q: dict) -> float:
+    p_all, q_all, out = sum(p.values()), sum(q.values()), 0.0
+    if not p_all:
+        return 1.0
+    for k in p.keys() | q.keys():
+        x, y = p.get(k, 0) / p_all, q.get(k, 0) / q_all
+        m = (x + y) / 2
+        out += sum(v * np.log2(v / m) for v in (x, y) if v) / 2
+    return float(np.sqrt(max(0.0, min(1.0, out))))
+
+
+def plain_histograms(text: str) -> tuple[dict, dict]:
+    chars: dict = {}
+    for c in text:
+        k = int(divergence._CLASS[c.encode()[0]])
+        chars[k] = chars.get(k, 0) + 1
+    counts: dict = {}
+    for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", brute.lower(text)):
+        counts[w] = counts.get(w, 0) + 1
+    return chars, counts
+
+
+def plain_kept(rows: list[tuple[int, str | None, str | None]], least_words: int, least_docs: int, common: int = 48) -> list[tuple]:
+    refs: dict = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            chars, counts, n = refs.setdefault(lang, ({}, {}, [0]))
+            n[0] += 1
+            for into, own in zip((chars, counts), plain_histograms(text), strict=True):
+                for k, v in own.items():
+                    into[k] = into.get(k, 0) + v
+    refs = {x: (chars, counts) for x, (chars, counts, n) in refs.items() if n[0] >= least_docs and sum(counts.values()) >= least_words}
+    out = []
+    for d, text, lang in rows:
+        chars, counts = plain_histograms(text or "")
+        by_class, by_word = [], []
+        for x in [lang] if lang in refs else refs:
+            top = sorted(refs[x][1], key=lambda w: (-refs[x][1][w], w.encode()))[:common]
+            fold = lambda h: {w: h.get(w, 0) for w in top} | {None: sum(v for w, v in h.items() if w not in top)}  # noqa: B023, E731
+            by_class.append(plain_distance(chars, refs[x][0]))
+            by_word.append(plain_distance(fold(counts), fold(refs[x][1])))
+        n, *_, failed = brute.base_quality(text)
+        slack = 1 / np.sqrt(max(n, 1))
+        near = n < 40 or (min(by_class, default=0) <= 0.16 + slack and min(by_word, default=0) <= 0.33 + slack)
+        out.append((d, not failed and near))
+    return sorted(out, key=str)
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = quality_rows(rng) + [(300 + i, prose(rng, rng.randrange(200)).upper(), rng.choice(["en", "fr", None])) for i in range(20)]
+    rows += [(400 + i, " ".join(f"m{rng.randrange(30)}" for _ in range(90)), "xx") for i in range(25)] + [(500, prose(rng, 90), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for least_words, least_docs in ((1, 1), (300, 20), (10**9, 1)):
+        found = divergence.references(docs, least_words=least_words, least_docs=least_docs)
+        got = sorted(((r["id"], r["kept"]) for r in divergence.judge(docs, found).collect()), key=str)
+        assert got == plain_kept(rows, least_words, least_docs)
+
+
+def test_a_small_label_is_no_reference_for_itself(spark):
+    """A stray label neither admits its own junk nor the same junk under other labels."""
+    rng = random.Random(9)
+    junk = " ".join(f"q{i}$#" for i in range(150))
+    rows = [(i, prose(rng, 150), "en") for i in range(200)] + [(900, junk, "zz"), (901, junk, "en"), (902, junk, None), (903, prose(rng, 150), "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = divergence.references(docs)
+    assert [r.lang for r in found] == ["en"]
+    kept = {r["id"]: r["kept"] for r in divergence.judge(docs, found).collect()}
+    assert not any(kept[i] for i in (900, 901, 902)) and kept[903] and all(kept[i] for i in range(200))
+
+
 def test_distance():
     p = np.array([[1, 1, 0], [0, 0, 5], [0, 0, 0], [3, 3, 0]])
     got = divergence.distance(p, np.array([1, 1, 0]))
