@@ -18,7 +18,7 @@ from linetally.llm.batches import LOWER, NOT_SPACE, Texts, bound_batches, id_and
 from linetally.llm.training import Ftrl, fold, labelled_texts, sigmoid
 
 BITS = 18
-#: Labelled rows that a classifier is fitted on, at most.
+#: Labelled ids that a classifier is fitted on, at most.
 TRAINING_ROWS = 4_000
 EPOCHS = 3
 _KINDS = 4
@@ -75,7 +75,8 @@ def train(rows: list[tuple[int, np.ndarray, int]]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held_out: int = 1, most: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights learnt in one task from at most ``most`` labelled rows (see ``labelled_texts``).
+    """Weights learnt in one task from at most ``most`` labelled ids and ``TRAINING_BYTES`` of their
+    texts (see ``labelled_texts``), so the task holds some hundred MB of features at most.
 
     Without any labelled row all weights are 0 and every score is 0.5.
     """

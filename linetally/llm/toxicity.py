@@ -16,7 +16,7 @@ from linetally.llm.batches import ALNUM, LOWER, Spans, Texts, id_and_bytes, mixe
 from linetally.llm.training import Ftrl, fold, labelled_texts, sigmoid
 
 BITS = 19
-#: Labelled rows that a model is fitted on, at most.
+#: Labelled ids that a model is fitted on, at most.
 TRAINING_ROWS = 8_000
 EPOCHS = 3
 #: Where a sentence begins before anything is learnt: most do not offend.
@@ -90,7 +90,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, most: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights learnt in one task from at most ``most`` labelled rows (see ``labelled_texts``).
+    """Weights learnt in one task from at most ``most`` labelled ids and ``TRAINING_BYTES`` of their
+    texts (see ``labelled_texts``), so the task holds some hundred MB of features at most.
 
     Without any labelled row only the prior speaks.
     """

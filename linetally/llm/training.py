@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linetally.llm.batches import bound_batches, quoted
@@ -14,23 +14,46 @@ def fold(id_col: Column, parts: int) -> Column:
     return (F.crc32(id_col.cast("string").cast("binary")) % parts).cast("int")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, data, y)`` of at most ``most`` labelled rows outside the held-out part.
+#: Bytes of text that a model is fitted on, at most, and of one of its texts.
+TRAINING_BYTES = 64 << 20
+TRAINING_TEXT_BYTES = 1 << 20
 
-    Rows are taken by a hash of their id, so the same ones on every run. Only their ids and
-    labels (16 bytes each, ``most`` of them) are broadcast. Ids with several labels have the
+
+def labelled_texts(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    parts: int,
+    held_out: int,
+    most: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_bytes: int = TRAINING_BYTES,
+    most_text_bytes: int = TRAINING_TEXT_BYTES,
+) -> DataFrame:
+    """``(id, data, y)`` of a bounded sample of labelled rows outside the held-out part.
+
+    Ids are taken by their hash, so the same ones on every run: at most ``most`` of them, and of
+    these, in the same order, as many as have ``most_bytes`` of text together. Ids whose texts are
+    longer than ``most_text_bytes`` (all rows of the id together) teach nothing. Only ids and labels
+    (16 bytes each, ``most`` of them) are broadcast. Ids with several labels have the
     smallest; null labels count as none.
     """
+    hashed = [F.xxhash64("id"), F.col("id")]
     chosen = (
         labels.select(quoted(id_col).cast("long").alias("id"), quoted(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & (fold(F.col("id"), parts) != held_out))
         .groupBy("id")
         .agg(F.min("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
+        .orderBy(*hashed)
         .limit(most)
     )
     texts = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
-    return texts.join(F.broadcast(chosen), "id")
+    sizes = texts.select("id", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "id")
+    sizes = sizes.groupBy("id", "y").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).where((F.col("size") <= most_text_bytes) & (F.col("rows") <= most_text_bytes))
+    # At most ``most`` ids, so this window is bounded; a row counts a byte, as empty texts may be many.
+    running = sizes.withColumn("running", F.sum(F.col("size") + F.col("rows")).over(Window.orderBy(*hashed)))
+    return texts.join(F.broadcast(running.where(F.col("running") <= most_bytes).select("id", "y")), "id")
 
 
 class Ftrl:
