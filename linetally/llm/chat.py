@@ -12,6 +12,9 @@ Expressions: strings, whole numbers, true, false, none, names, ``a.b`` and ``a['
 (items of mappings and lists only), ``not and or in == != < <= > >= + ~``, brackets, and
 filters ``|escape |escape_name |trim |upper |lower |length |default('x')``. There are no
 calls and no attributes of Python objects, so a template reaches nothing but its data.
+``< <= > >=`` are false between values of different kinds (or of none). Expressions and
+blocks nest ``MOST_LEVELS`` deep, and an expression has ``MOST_TOKENS`` tokens at most; whatever
+is against the rules is a ``TemplateError`` when the template is compiled.
 """
 
 from __future__ import annotations
@@ -28,6 +31,12 @@ from pyspark.sql import functions as F
 
 from linetally.llm.batches import quoted, table, tidy
 
+#: How deep expressions and blocks nest, and how long an expression is, at most.
+MOST_LEVELS = 40
+MOST_TOKENS = 300
+_MOST_DIGITS = 18
+#: Conversations that are handed on together, at most, and the characters of their texts.
+_BATCH_ROWS, _BATCH_CHARS = 256, 1 << 20
 #: A turn opens with a heading and closes with a mark.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>"
 TURNS = "{% for m in messages %}### {{ m.role | escape_name }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>\n{% endfor %}"
@@ -64,7 +73,19 @@ _FILTERS: dict[str, Callable] = {
     "length": lambda x: len(x) if isinstance(x, (str, list, tuple, dict)) else 0,
     "default": lambda x, other="": other if x is None else x,
 }
-_COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+#: Arguments that a filter takes at most.
+_ARGUMENTS = {"default": 1}
+
+
+def _ordered(compare: Callable) -> Callable[[Any, Any], bool]:
+    def run(a: Any, b: Any) -> bool:
+        alike = isinstance(a, str) and isinstance(b, str) or isinstance(a, int) and isinstance(b, int)
+        return alike and compare(a, b)
+
+    return run
+
+
+_COMPARE = {"==": operator.eq, "!=": operator.ne, **{w: _ordered(f) for w, f in (("<", operator.lt), ("<=", operator.le), (">", operator.gt), (">=", operator.ge))}}
 _LEX = re.compile(r"\s*(?:(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<mark>==|!=|<=|>=|[<>+~|.\[\](),]))")
 _PARTS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.DOTALL)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -82,7 +103,7 @@ def _text(x: Any) -> str:
 
 def _item(x: Any, key: Any) -> Any:
     if isinstance(x, dict):
-        return x.get(key)
+        return x.get(key) if isinstance(key, (str, int)) else None
     if isinstance(x, (list, tuple)) and isinstance(key, int) and not isinstance(key, bool):
         return x[key] if -len(x) <= key < len(x) else None
     return None
@@ -97,7 +118,9 @@ def _joined(a: Any, b: Any) -> Any:
 def _within(a: Any, b: Any) -> bool:
     if isinstance(b, str):
         return _text(a) in b
-    return a in b if isinstance(b, (list, tuple, dict)) else False
+    if isinstance(b, dict):
+        return isinstance(a, (str, int)) and a in b
+    return a in b if isinstance(b, (list, tuple)) else False
 
 
 class _Expression:
@@ -105,6 +128,7 @@ class _Expression:
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, Any]] = []
+        self.level = 0
         at, source = 0, source.strip()
         while at < len(source):
             m = _LEX.match(source, at)
@@ -112,7 +136,11 @@ class _Expression:
                 raise TemplateError(f"not understood: {source[at:]!r}")
             kind = m.lastgroup
             word = m[kind]
+            if len(self.tokens) >= MOST_TOKENS:
+                raise TemplateError(f"an expression of more than {MOST_TOKENS} tokens")
             if kind == "number":
+                if len(word) > _MOST_DIGITS:
+                    raise TemplateError(f"a number of more than {_MOST_DIGITS} digits")
                 self.tokens.append(("const", int(word)))
             elif kind == "string":
                 self.tokens.append(("const", re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), word[1:-1], flags=re.DOTALL)))
@@ -141,10 +169,18 @@ class _Expression:
             raise TemplateError(f"too much: {self.tokens[self.at :]}")
         return node
 
+    def deeper(self, rule: Callable[[], tuple]) -> tuple:
+        self.level += 1
+        if self.level > MOST_LEVELS:
+            raise TemplateError(f"an expression of more than {MOST_LEVELS} levels")
+        node = rule()
+        self.level -= 1
+        return node
+
     def either(self) -> tuple:
-        node = self.both()
+        node = self.deeper(self.both)
         while self.take("or"):
-            node = ("or", node, self.both())
+            node = ("or", node, self.deeper(self.both))
         return node
 
     def both(self) -> tuple:
@@ -154,7 +190,7 @@ class _Expression:
         return node
 
     def negated(self) -> tuple:
-        return (operator.not_, self.negated()) if self.take("not") else self.compared()
+        return (operator.not_, self.deeper(self.negated)) if self.take("not") else self.compared()
 
     def compared(self) -> tuple:
         node = self.summed()
@@ -180,6 +216,8 @@ class _Expression:
                 while not self.take(")"):
                     more.append(self.either())
                     self.take(",")
+            if len(more) > _ARGUMENTS.get(name, 0):
+                raise TemplateError(f"{name} takes fewer arguments")
             node = (_FILTERS[name], node, *more)
         return node
 
@@ -264,6 +302,8 @@ def parse(template: str) -> list[tuple]:
         if m.start() > at:
             stack[-1][1].append(("text", template[at : m.start()]))
         at = m.end()
+        if len(stack) > MOST_LEVELS:
+            raise TemplateError(f"blocks of more than {MOST_LEVELS} levels")
         if m[1] is not None:
             stack[-1][1].append(("out", _Expression(m[1]).whole()))
         elif m[2] is not None:
@@ -407,6 +447,25 @@ def compile_template(template: str) -> Callable[[dict], tuple[str, list[tuple[in
     return render
 
 
+def _batched(rows: Iterator[tuple], chars: Callable[[tuple], int], types: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size."""
+    waiting: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*waiting, strict=True)
+        return table([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])
+
+    for row in rows:
+        waiting.append(row)
+        size += chars(row)
+        if len(waiting) >= _BATCH_ROWS or size >= _BATCH_CHARS:
+            yield batch()
+            waiting, size = [], 0
+    if waiting:
+        yield batch()
+
+
 def _conversations(batches) -> Iterator[tuple[int | None, list[dict]]]:
     """Runs of rows of one conversation; they may reach over batches."""
     known, now, messages = False, None, []
@@ -436,10 +495,13 @@ def format_conversations(turns: DataFrame, template: str = TURNS, conv_col: str
 
     def run(batches):
         render = compile_template(template)
-        for conv, messages in _conversations(batches):
-            text, spans = render({"messages": messages})
-            made = [{"start": a, "end": b} for a, b in spans]
-            yield table([pa.array([conv], pa.int64()), pa.array([len(messages)], pa.int64()), pa.array([text], pa.string()), pa.array([made], _SPAN)], ["conv_id", "n_turns", "text", "loss"])
+
+        def formatted() -> Iterator[tuple]:
+            for conv, messages in _conversations(batches):
+                text, spans = render({"messages": messages})
+                yield conv, len(messages), text, [{"start": a, "end": b} for a, b in spans]
+
+        yield from _batched(formatted(), lambda row: len(row[2]), [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("text", pa.string()), ("loss", _SPAN)])
 
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
     return ordered.mapInArrow(tidy(run), "conv_id long, n_turns long, text string, loss array<struct<start: long, end: long>>")
@@ -460,23 +522,25 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` from formatted texts."""
 
-    def run(batches):
+    def digests(batches) -> Iterator[tuple]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                conv, text, spans = (batch.column(k)[i].as_py() for k in range(3))
+            for conv, text, spans in zip(*[batch.column(k) for k in range(3)], strict=True):
+                text = text.as_py()
                 turns = read_turns(text)
                 whole = hashlib.sha256()
                 for role, own in turns:
                     whole.update(f"{role}\n{own}\n".encode())
                 loss, chars = hashlib.sha256(), 0
-                for span in spans:
+                for span in spans.as_py():
                     own = unescape(text[span["start"] : span["end"]])
                     loss.update(own.encode())
                     chars += len(own)
-                yield table(
-                    [pa.array([conv], pa.int64()), pa.array([len(turns)], pa.int64()), pa.array([whole.hexdigest()]), pa.array([chars], pa.int64()), pa.array([loss.hexdigest()]), pa.array([len(text)], pa.int64())],
-                    ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-                )
+                yield conv.as_py(), len(turns), whole.hexdigest(), chars, loss.hexdigest(), len(text)
+
+    kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+
+    def run(batches):
+        yield from _batched(digests(batches), lambda row: 0, kinds)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return formatted.select("conv_id", "text", "loss").mapInArrow(tidy(run), schema)

@@ -37,6 +37,8 @@ def test_escaped_texts_hold_no_control_string(text):
         ("{# note #}{{ 'a' in 'cab' and not false }}", {}, "true"),
         ("{{ a or 'z' }}{{ (1 < 2) and 'y' }}{{ \"q\\n\" }}", {}, "zyq\n"),
         ("{% for x in nothing %}never{% endfor %}", {}, ""),
+        ("{{ 'a' < 1 }}{{ none >= 1 }}{{ x <= 2 }}{{ 1 < 2 }}{{ 'b' > 'a' }}", {}, "falsefalsefalsetruetrue"),
+        ("{{ xs in d }}{{ d[xs] }}{{ 'k' in d }}", {"xs": [1], "d": {"k": 1}}, "falsetrue"),
     ],
 )
 def test_templates(template, data, want):
@@ -49,7 +51,7 @@ def test_constants_are_folded():
     assert chat.fold_tree(chat.parse("{{ x + ('a' + 'b') }}"))[0][1][2] == ("const", "ab")
 
 
-@pytest.mark.parametrize("template", ["{{ a.__class__ }}", "{{ x | system }}", "{{ f() }}", "{% import os %}", "{% for x in y %}", "{% endif %}", "{{ 1 + }}", "{{ a b }}", "{{ $ }}", "{% generation %}{% endfor %}"])
+@pytest.mark.parametrize("template", ["{{ a.__class__ }}", "{{ x | system }}", "{{ f() }}", "{% import os %}", "{% for x in y %}", "{% endif %}", "{{ 1 + }}", "{{ a b }}", "{{ $ }}", "{% generation %}{% endfor %}", "{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", "{{ " + "not " * 2000 + "1 }}", "{{ 1" + " + 1" * 3000 + " }}", "{% if a %}" * 500 + "{% endif %}" * 500, "{{ x | upper('a') }}", "{{ x | default(1, 2) }}", "{{ " + "9" * 5000 + " }}", "{{ 'a' + (1 }}", "{{ a[ }}", "{{ a. }}"])
 def test_the_sandbox_and_errors(template):
     if template == "{{ a.__class__ }}":  # only items of data are reached
         assert chat.compile_template(template)({"a": "text"})[0] == ""
