@@ -21,8 +21,8 @@ def shingles(text: str | None, k: int = 4) -> frozenset:
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def components(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
-    sets = [shingles(t) for _, t in rows]
+def components(rows: list[tuple[int, str | None]], k: int = 4, percent: int = 85) -> list[tuple[int, int, int]]:
+    sets = [shingles(t, k) for _, t in rows]
     label = list(range(len(rows)))
 
     def find(x):
@@ -33,7 +33,7 @@ def components(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]
     for i in range(len(rows)):
         for j in range(i):
             both, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if union and 100 * both >= 85 * union:
+            if union and 100 * both >= percent * union:
                 label[find(i)] = find(j)
     smallest = {}
     for i, (d, _) in enumerate(rows):

@@ -63,7 +63,8 @@ def test_pipeline_against_brute_force(spark, documents):
             holders.setdefault(brute.line_key(line), set()).add(d)
     often = {k: max(v) for k, v in holders.items() if len(k) >= 20 and len(v) >= 3}
     rows = [(d, "\n".join(x for x in t.split("\n") if often.get(brute.line_key(x), d) == d)) for d, t in rows]
-    heads = {d: c for d, _, c in brute.components(rows)}
+    heads = {d: c for d, _, c in brute.components(rows, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)}
+    assert (corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT) == (5, 80)
     rows = [(d, t) for d, t in rows if heads[d] == d]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(d, t) for d, t in rows if not brute.contamination(t, items)[-1]]
@@ -74,6 +75,17 @@ def test_pipeline_against_brute_force(spark, documents):
     assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got.collect()) == want
 
 
+def test_the_near_duplicate_stage_is_five_words_and_four_fifths(spark):
+    """100 words with two changed: 0.81 of the five-word shingles are shared, but 0.848 of those of four."""
+    words = [f"w{i}" for i in range(100)]
+    near = ["x" if i in (30, 60) else w for i, w in enumerate(words)]
+    far = ["y" if i in (20, 40, 60) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, near, far))], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == [0, 2]
+    assert len({c for _, _, c in brute.components([(i, " ".join(t)) for i, t in enumerate((words, near, far))])}) == 3
+
+
 def test_stages_keep_columns_and_bear_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, found string, drop string"
     rows = [(i, t, "en", "s", None, "f", "d") for i, t in enumerate([None, "", "plain words " * 8, "plain words " * 8, "x" * 5000])]
@@ -89,7 +101,7 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
 
 def test_distances_and_references_are_of_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = divergence.references(docs)
-    assert sum(c.sum() for c, _, _ in found) == sum(len(r["text"]) for r in docs.where("lang is not null").collect())
+    found = divergence.references(docs, least_words=1, least_docs=1)
+    assert sum(r.classes.sum() for r in found) == sum(len(r["text"]) for r in docs.where("lang is not null").collect())
     assert set(licences.rarity(docs)) == set(licences.vocabulary())
     assert bpe.encode(docs, public_tokenizers.path(VOCABULARY)).count() == docs.count()
