@@ -6,16 +6,14 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from linetally.functions.paths import normalise
+from linetally.sources.directory import MOST_BYTES, read_files
 
 COLUMNS = ["path", "root", "content", "size_bytes", "created_at", "modified_at", "valid_utf8"]
 
@@ -25,7 +23,8 @@ def as_corpus(df: DataFrame, root: str | None = None) -> DataFrame:
 
     ``root`` names the corpus when the frame has no ``root`` column of its own. Binary
     content is decoded; files that are not UTF-8 get replacement characters and
-    ``valid_utf8 = false``, and their size is that of the bytes.
+    ``valid_utf8 = false``, and their size is that of the bytes. A ``place`` column (where a
+    row lies, see ``operators.places``) is kept if there is one.
     """
     have = set(df.columns)
     binary = isinstance(df.schema["content"].dataType, BinaryType)
@@ -42,74 +41,21 @@ def as_corpus(df: DataFrame, root: str | None = None) -> DataFrame:
         given("created_at", F.lit(None).cast("timestamp")),
         given("modified_at", F.lit(None).cast("timestamp")),
         F.is_valid_utf8(text).alias("valid_utf8") if binary else given("valid_utf8", F.lit(True)),
+        *[c for c in ("place",) if c in have],
     )
 
 
-def read_corpus(spark: SparkSession, location: str, fmt: str = "parquet", root: str | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, location: str, fmt: str = "parquet", root: str | None = None, max_bytes: int = MOST_BYTES) -> DataFrame:
     """Read a corpus table, or with ``fmt="binaryFile"`` a directory tree of files.
 
     A table is the primary form: it prunes columns and pushes path filters into the scan.
     A directory is listed and read by tasks, with every file in it, those whose names begin
-    with a dot or an underscore included (Spark's own file listing leaves them out).
+    with a dot or an underscore included (Spark's own file listing leaves them out). Files of
+    more than ``max_bytes`` are left to ``directory.skipped_files`` and ``directory.read_blocks``.
     """
     if fmt != "binaryFile":
         return as_corpus(spark.read.format(fmt).load(location), root)
-    return as_corpus(read_directory(spark, location), root if root is not None else location)
-
-
-_FOUND = "path string, size_bytes bigint, modified_at timestamp"
-
-
-def read_directory(spark: SparkSession, location: str) -> DataFrame:
-    """``path, content, size_bytes, modified_at`` of all files below a directory; paths begin there.
-
-    The driver lists the top of the tree only; its folders are listed in parallel, and the
-    files are dealt out by path before they are opened. Works on file systems that Arrow
-    opens (local, HDFS, S3, GCS); a location it can't open is an error. Links to folders
-    are followed as folders.
-    """
-    uri = location if "://" in location or location.startswith("file:") else os.path.abspath(location)
-    store, base = _opened(uri)
-    top = store.get_file_info(fs.FileSelector(base))
-    seeds = [(x.path, x.type == fs.FileType.Directory) for x in top] or [(base, True)]
-
-    def listed(batches):
-        store, base = _opened(uri)
-        for batch in batches:
-            for path, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                infos = store.get_file_info(fs.FileSelector(path, recursive=True)) if folder else [store.get_file_info(path)]
-                files = [x for x in infos if x.type == fs.FileType.File]
-                for i in range(0, len(files), _LISTED):
-                    part = files[i : i + _LISTED]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([x.path[len(base) :].lstrip("/") for x in part], pa.string()),
-                            pa.array([x.size for x in part], pa.int64()),
-                            pa.array([x.mtime for x in part], pa.timestamp("us", tz="UTC")),
-                        ],
-                        names=["path", "size_bytes", "modified_at"],
-                    )
-
-    def opened(batches):
-        store, base = _opened(uri)
-        for batch in batches:
-            for i, path in enumerate(batch.column(0).to_pylist()):
-                with store.open_input_stream(f"{base}/{path}") as file:
-                    content = file.read()
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([content], pa.binary()), row.column(1), row.column(2)], names=["path", "content", "size_bytes", "modified_at"])
-
-    places = spark.createDataFrame(seeds, "path string, folder boolean").repartition("path")
-    files = places.mapInArrow(listed, _FOUND).repartition("path")
-    return files.mapInArrow(opened, "path string, content binary, size_bytes bigint, modified_at timestamp")
-
-
-_LISTED = 10_000
-
-
-def _opened(uri: str):
-    store, base = fs.FileSystem.from_uri(uri)
-    return store, base.rstrip("/")
+    return as_corpus(read_files(spark, location, max_bytes), root if root is not None else location)
 
 
 def read_many(spark: SparkSession, locations: dict[str, str], fmt: str = "parquet") -> DataFrame:
