@@ -1,19 +1,21 @@
 """Blocks of five consecutive (non-trivial) lines that occur more than once.
 
 Block text never crosses the network. Each line is hashed once per file to 128 bits,
-blocks are hashes of five line hashes, and the shuffle carries those keys with partial
-counts. A boilerplate header found in a third of all files is therefore one row per
-task before the shuffle. Locations are cut to the first few per block on the map side
+and blocks are hashes of five line hashes. Two passes find the repeated ones: the first
+counts keys alone, as numbers, with partial counts in every task, so a boilerplate header
+found in a third of all files is one row per task; the second takes places, and lets through
+only those of repeated blocks. Locations are cut to the first few per block on the map side
 too, and the preview text is read from one file per reported block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linetally.functions.text import numbered_lines, utrim
-from linetally.operators.rows import explode_once, first_rows, likely_listed, semi_join_filtered
+from linetally.operators.places import only_listed
+from linetally.operators.rows import explode_once, first_rows, likely_listed
 from linetally.sources.corpus import readable
 
 BLOCK_LINES = 5
@@ -70,26 +72,39 @@ def block_keys(files: DataFrame, across_roots: bool = False) -> DataFrame:
     return rows.select("scope", "b.key_a", "b.key_b", "root", "path", "b.line_no")
 
 
-def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
-    """Keys seen more than once with ``occurrences`` and their ``first`` place, in one grouping.
+def counted_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
+    """``scope, key_a, key_b, occurrences`` of keys seen more than once, of numbers only.
 
-    ``top`` keeps the most frequent per scope and ranks them (ties by first place).
+    ``top`` keeps those that are among the most frequent of their scope, ties included.
     """
-    first = F.min(F.struct("path", "root", "line_no")).alias("first")
-    counted = keys.groupBy(*KEY).agg(F.count("*").alias("occurrences"), first).filter("occurrences > 1")
+    counted = keys.groupBy(*KEY).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
     if top is None:
         return counted
-    return first_rows(counted, ["scope"], [F.desc("occurrences"), "first"], top, "block_rank", "key_a")
+    place = F.rank().over(Window.partitionBy("scope").orderBy(F.desc("occurrences")))
+    return counted.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place")
+
+
+def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
+    """Keys seen more than once with ``occurrences`` and their ``first`` place.
+
+    ``top`` keeps the most frequent per scope and ranks them (ties by first place). Only
+    places of the counted keys are shuffled.
+    """
+    hot = counted_keys(keys, top)
+    place = F.min(F.struct("path", "root", "line_no")).alias("first")
+    found = likely_listed(keys, hot, KEY).groupBy(*KEY).agg(place).join(hot, KEY, "inner")
+    if top is None:
+        return found
+    return first_rows(found, ["scope"], [F.desc("occurrences"), "first"], top, "block_rank", "key_a")
 
 
 def duplicate_locations(keys: DataFrame, top: int | None = 10, locations: int | None = 5) -> DataFrame:
     """Repeated blocks with their first ``locations`` places (``None``: all of them).
 
-    A filter of fixed size keeps places of other blocks, which are nearly all, from being
+    A filter of the repeated keys keeps places of other blocks, which are nearly all, from being
     shuffled or sorted, and each task hands on the first places of a block only.
     """
-    hot = repeated_keys(keys, top)
-    hot = hot.select(*[c for c in hot.columns if c != "first"])
+    hot = counted_keys(keys) if top is None else repeated_keys(keys, top).drop("first")
     places = likely_listed(keys, hot, KEY)
     if locations is not None:
         places = first_rows(places, KEY, ["path", "root", "line_no"], locations, "location_no", "path")
@@ -102,7 +117,7 @@ def _previews(files: DataFrame, wanted: DataFrame) -> DataFrame:
     Text of files that hold none is neither cut nor moved.
     """
     starts = wanted.groupBy("root", "path").agg(F.collect_set("line_no").alias("starts"))
-    shown = semi_join_filtered(readable(files), starts, ["root", "path"]).join(starts, ["root", "path"], "inner")
+    shown = only_listed(readable(files), starts, ["root", "path"]).join(starts, ["root", "path"], "inner")
     kept = shown.select("root", "path", "starts", _kept_lines(F.col("content")).alias("kept"))
 
     def preview(i: Column) -> Column:

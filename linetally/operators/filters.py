@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linetally.functions.paths import components, extension_of, normalise
 from linetally.functions.text import line_count
-from linetally.operators.rows import semi_join_filtered
+from linetally.operators.places import only_listed
 
 # When a file is long or tangled.
 LARGE_FILE_LINES = 300
@@ -77,7 +77,7 @@ def failures_only(
 
 def uncommitted(df: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """Keep files listed in ``changed_paths(root, path)``, compared on the root-relative path."""
-    return semi_join_filtered(df, changed_paths, ["root", "path"])
+    return only_listed(df, changed_paths, ["root", "path"])
 
 
 def drop_small_shares(shares: DataFrame, percent: float = 0.1) -> DataFrame:

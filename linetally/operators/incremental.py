@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from linetally.operators.rows import semi_join_filtered
+from linetally.operators.places import only_listed
 from linetally.operators.stats import file_stats
 
 FILE_KEY = ["root", "path", "modified_at"]
@@ -21,5 +21,5 @@ def incremental_scan(listing: DataFrame, previous: DataFrame) -> DataFrame:
     known = previous.select(*FILE_KEY)
     reused = previous.join(listed, FILE_KEY, "left_semi")
     fresh = listed.join(known, FILE_KEY, "left_anti").select("root", "path")
-    scanned = file_stats(semi_join_filtered(listing, fresh, ["root", "path"]))
+    scanned = file_stats(only_listed(listing, fresh, ["root", "path"]))
     return reused.select(*scanned.columns).unionByName(scanned)

@@ -43,22 +43,27 @@ def with_totals(df: DataFrame, by: Sequence[str], totals: dict[str, Column]) ->
     return df.select("*", *[whole.getField(name).alias(name) for name in totals])
 
 
-#: Bits of the filter that a semi join sends ahead; 2^24 bits are at most 2^18 rows of a few bytes.
-FILTER_BITS = 24
+#: Bits of a filter of keys: so many a key, within these bounds. The most are 2^21 rows of a few bytes.
+BITS_PER_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def likely_listed(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The rows of ``big`` whose key is in ``keys``, and by chance a few more; nothing is moved.
+    """The rows of ``big`` whose key is in ``keys``, and by chance some more; nothing is moved.
 
-    The hashes of the keys are folded into a bit array of fixed size, whatever the number
-    of keys, and that array is broadcast.
+    The hashes of the keys are folded into a bit array that is broadcast. It has 16 bits a
+    key, by the number of keys that the query itself counts, so 6 % of the other rows pass;
+    above 2^23 keys it grows no more, and lets more rows through until all pass. Meant for
+    narrow rows; for rows with content see ``places.only_listed``.
     """
     wanted = keys.select(*on).distinct()
-    bit = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
-    place, flag = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(_bit % 64 AS int))")
-    words = wanted.select(place.alias("_place"), bit.alias("_bit")).select("_place", flag.alias("_flag"))
+    count = wanted.agg(F.count("*")).scalar()
+    bits = F.least(F.greatest(count * BITS_PER_KEY, F.lit(LEAST_BITS)), F.lit(MOST_BITS))
+    bit = F.pmod(F.xxhash64(*on), bits)
+    place, flag = F.shiftright(F.col("_bit"), 6), F.expr("shiftleft(1L, cast(_bit % 64 AS int))")
+    words = wanted.select(bit.alias("_bit")).select(place.alias("_place"), flag.alias("_flag"))
     words = words.groupBy("_place").agg(F.bit_or("_flag").alias("_flags"))
-    near = big.withColumn("_bit", bit).withColumn("_place", F.shiftright("_bit", 6)).join(F.broadcast(words), "_place", "inner")
+    near = big.withColumn("_bit", bit).withColumn("_place", place).join(F.broadcast(words), "_place", "inner")
     return near.filter(F.col("_flags").bitwiseAND(flag) != 0).select(*big.columns)
 
 

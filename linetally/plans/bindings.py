@@ -6,13 +6,12 @@ both sides start from the same input rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linetally.operators.places import with_place
 from linetally.sources.corpus import as_corpus, union_roots
+from linetally.sources.store import new_location as stored  # noqa: F401
 
 # One synthetic source file per part, in five languages.
 PART_PATH = (
@@ -61,29 +60,15 @@ LOG_RECORD = """o_orderkey || chr(31) || CASE WHEN o_custkey % 10 = 0 THEN '' EL
   '3' || chr(9) || '1' || chr(9) || '"docs/caf' || chr(92) || '303' || chr(92) || '251 ' || chr(92) || '"' || (o_orderkey % 5) || chr(92) || '".md"' || chr(10)"""
 
 
-_OWN_FOLDER: list[str] = []
-
-
-def stored(spark: SparkSession, name: str) -> str:
-    """A new location for a table that a query writes and reads back.
-
-    It lies in the folder that the session names in ``spark.checkpoint.dir``. Only a local
-    session that names none gets a folder of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN_FOLDER:
-            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="run-"))
-        shared = _OWN_FOLDER[0]
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with the place of each row, for operators that read listed files only."""
+    return with_place(table(spark, sf_dir, name))
+
+
 def spread(df: DataFrame, key: str = "path") -> DataFrame:
     """Deal out a supplied table that sits in fewer row groups than there are cores.
 
@@ -95,19 +80,20 @@ def spread(df: DataFrame, key: str = "path") -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr(f"{PART_PATH} AS path", f"{PART_CONTENT} AS content")
+    rows = placed(spark, sf_dir, "part").selectExpr(f"{PART_PATH} AS path", f"{PART_CONTENT} AS content", "place")
     return spread(as_corpus(rows, "code"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").selectExpr(f"{PAGE_PATH} AS path", "html AS content")
+    rows = placed(spark, sf_dir, "pages").selectExpr(f"{PAGE_PATH} AS path", "html AS content", "place")
     return spread(as_corpus(rows, "site"))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = placed(spark, sf_dir, "documents").selectExpr(
         f"{DOC_PATH} AS path",
         "text AS content",
+        "place",
         "timestamp_seconds(1700000000 + doc_id * 977) AS modified_at",
         "timestamp_seconds(1690000000 + doc_id) AS created_at",
     )
@@ -137,6 +123,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest_commit(spark: SparkSession, sf_dir: str) -> Column:
+    """The time of the latest commit, read from the orders alone."""
+    return table(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("timestamp"))).scalar()
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", f"{PART_PATH} AS path")
     return (
