@@ -115,17 +115,16 @@ def api_routes(files: DataFrame) -> DataFrame:
     return rows.select("root", "p.route", F.lower("p.method").alias("method")).distinct()
 
 
-def openapi_documents(routes: DataFrame, documents: int = 1) -> DataFrame:
-    """OpenAPI skeletons: ``root, shard, document``.
+OPENAPI_METHODS = "map<string,struct<summary:string,responses:map<string,struct<description:string>>>>"
 
-    Each root has up to ``documents`` of them, over which its routes are spread; all methods
-    of a route stay together. Titles, summaries and responses are fixed texts.
-    """
+
+def openapi_routes(routes: DataFrame) -> DataFrame:
+    """``root, route, methods``: all methods of a route as one map. Summaries and responses are fixed texts."""
     answer = F.create_map(F.lit("200"), F.struct(F.lit("Successful response").alias("description")))
     operation = F.struct(
         F.format_string("Auto-generated %s route", "route").alias("summary"), answer.alias("responses")
     )
-    per_route = (
+    return (
         routes.groupBy("root", "route")
         .agg(F.array_sort(F.collect_set("method")).alias("names"))
         .select(
@@ -134,15 +133,25 @@ def openapi_documents(routes: DataFrame, documents: int = 1) -> DataFrame:
             F.map_from_entries(F.transform("names", lambda m: F.struct(m, operation))).alias("methods"),
         )
     )
+
+
+def openapi_frame() -> list[Column]:
+    """The fields in front of the paths; the title is a fixed text."""
+    info = F.struct(F.lit("Auto-generated API").alias("title"), F.lit("1.0.0").alias("version"))
+    return [F.lit(OPENAPI_VERSION).alias("openapi"), info.alias("info")]
+
+
+def openapi_documents(routes: DataFrame, documents: int = 1) -> DataFrame:
+    """OpenAPI skeletons as values: ``root, shard, document``.
+
+    Each root has up to ``documents`` of them, over which its routes are spread; all methods
+    of a route stay together. For roots of any size see ``sinks.fragments.write_openapi``.
+    """
     grouped = (
-        sharded(per_route, "root", "route", documents)
+        sharded(openapi_routes(routes), "root", "route", documents)
         .groupBy("root", "shard")
         .agg(F.collect_list(F.struct("route", "methods")).alias("entries"))
     )
     by_route = F.array_sort("entries", lambda a, b: F.when(a["route"] < b["route"], -1).when(a["route"] > b["route"], 1).otherwise(0))
-    body = F.struct(
-        F.lit(OPENAPI_VERSION).alias("openapi"),
-        F.struct(F.lit("Auto-generated API").alias("title"), F.lit("1.0.0").alias("version")).alias("info"),
-        F.map_from_entries(by_route).alias("paths"),
-    )
+    body = F.struct(*openapi_frame(), F.map_from_entries(by_route).alias("paths"))
     return grouped.select("root", "shard", F.to_json(body).alias("document"))

@@ -33,14 +33,14 @@ def check_policy(stats: DataFrame, policy: DataFrame) -> DataFrame:
     """``root, path, rule, actual, allowed``: one row per violation; no rows means passed.
 
     ``policy`` holds one row per root; a second one for a root is an error. A file is
-    judged by the rules of its own root, and a root without rules passes. The rules are
-    what is broadcast, so statistics are not dealt out by root.
+    judged by the rules of its own root, and a root without rules passes. Few rules are
+    broadcast by Spark itself; rules of very many roots are joined like any table.
     """
     rules = policy.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in POLICY_DEFAULTS])
     twice = F.raise_error(F.format_string("two policies for root '%s'", "root"))
     once = F.when(F.col("_rows") == 1, F.col("root")).otherwise(twice.cast("string")).alias("root")
     rules = rules.select(once, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in POLICY_DEFAULTS.items()])
-    judged = stats.join(F.broadcast(rules), "root", "inner")
+    judged = stats.join(rules, "root", "inner")
 
     def rule(name: str, actual: str, allowed: Column) -> Column:
         return F.struct(
@@ -115,14 +115,9 @@ def sharded(df: DataFrame, by: str, salt: str, shards: int) -> DataFrame:
     return df.withColumn("shard", F.pmod(F.xxhash64(salt), F.lit(shards))).repartition(by, "shard")
 
 
-def sarif_documents(found: DataFrame, tool: str = "linetally", documents: int = 1) -> DataFrame:
-    """SARIF 2.1.0 documents: ``root, shard, document``.
-
-    Each root has up to ``documents`` of them, over which its findings are spread by path.
-    The number is the caller's: one document for an ordinary root, more where the findings
-    of a root are too many for one row. It does not depend on the data.
-    """
-    result = F.struct(
+def sarif_result() -> Column:
+    """A finding as the document format has it."""
+    return F.struct(
         F.col("rule_id").alias("ruleId"),
         "level",
         F.struct(F.col("message").alias("text")).alias("message"),
@@ -130,7 +125,11 @@ def sarif_documents(found: DataFrame, tool: str = "linetally", documents: int =
             F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
         ).alias("locations"),
     )
-    rules = F.array(
+
+
+def sarif_frame(tool: str, results: Column | None = None) -> tuple[list[Column], Column]:
+    """``(fields around the runs, one run)``, the run with ``results`` or an empty array."""
+    known = F.array(
         *[
             F.struct(
                 F.lit(rule_id).alias("id"),
@@ -141,16 +140,25 @@ def sarif_documents(found: DataFrame, tool: str = "linetally", documents: int =
             for rule_id, level, name, text in FINDING_RULES
         ]
     )
+    driver = F.struct(F.struct(F.lit(tool).alias("name"), known.alias("rules")).alias("driver")).alias("tool")
+    inside = F.array().cast("array<string>") if results is None else results
+    return [F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema")], F.struct(driver, inside.alias("results"))
+
+
+def sarif_documents(found: DataFrame, tool: str = "linetally", documents: int = 1) -> DataFrame:
+    """SARIF 2.1.0 documents as values: ``root, shard, document``.
+
+    Each root has up to ``documents`` of them, over which its findings are spread by path.
+    The number is the caller's and does not depend on the data. For one document of a root
+    with more findings than a row should hold, see ``sinks.fragments.write_sarif``.
+    """
     grouped = (
         sharded(found, "root", "path", documents)
         .groupBy("root", "shard")
-        .agg(F.array_sort(F.collect_list(result)).alias("results"))
-    )
-    run = F.struct(
-        F.struct(F.struct(F.lit(tool).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), "results"
+        .agg(F.array_sort(F.collect_list(sarif_result())).alias("results"))
     )
-    body = F.struct(F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs"))
-    return grouped.select("root", "shard", F.to_json(body).alias("document"))
+    log, run = sarif_frame(tool, F.col("results"))
+    return grouped.select("root", "shard", F.to_json(F.struct(*log, F.array(run).alias("runs"))).alias("document"))
 
 
 def quality_gate(

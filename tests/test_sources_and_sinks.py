@@ -136,3 +136,45 @@ def test_sarif_documents_are_valid_and_split(corpus):
         x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for d in split for x in d["runs"][0]["results"]
     ]
     assert len(split) > 1 and sorted(uris) == sorted(many)
+
+
+def documents(folder):
+    """Each root's document: its files joined in the order of their names."""
+    out = {}
+    for path in sorted(folder.rglob("part-*"), key=lambda p: p.name):
+        out.setdefault(path.parent.name.removeprefix("root="), []).append(path.read_text())
+    return {root: json.loads("".join(parts)) for root, parts in out.items()}
+
+
+def test_one_document_of_a_root_of_any_size(spark, tmp_path):
+    import random
+
+    from linetally.sinks import fragments
+
+    rng = random.Random(1)
+    rows = [(root, f"d/{rng.randrange(n)},{{}}é\".py", "CS-001", "error", f"Found \"{i % 3}\"\nhere") for root, n in (("big", 800), ("one", 1), ("two", 2)) for i in range(n)]
+    rows += rows[:40]  # equal findings stay as many as they are
+    found = spark.createDataFrame(rows, "root string, path string, rule_id string, level string, message string").repartition(6)
+    roots = spark.createDataFrame([("big",), ("none",)], "root string")
+    fragments.write_sarif(found, str(tmp_path / "sarif"), tool="check", roots=roots, partitions=7)
+    got = documents(tmp_path / "sarif")
+    assert got.keys() == {"big", "one", "two", "none"}
+    assert len(list((tmp_path / "sarif" / "root=big").glob("part-*"))) > 3
+    whole = {r["root"]: json.loads(r["document"]) for r in rules.sarif_documents(found, tool="check").collect()}
+    for root, document in whole.items():
+        key = lambda x: json.dumps(x, sort_keys=True)
+        results = [d["runs"][0].pop("results") for d in (document, got[root])]
+        assert sorted(results[0], key=key) == sorted(results[1], key=key) and document == got[root]
+    assert got["none"]["runs"][0]["results"] == [] and got["none"]["runs"][0]["tool"] == whole["big"]["runs"][0]["tool"]
+
+
+def test_one_openapi_document_of_a_root(spark, tmp_path):
+    from linetally.operators import artifacts
+    from linetally.sinks import fragments
+
+    rows = [("a", f"/p/{i}\"x", m) for i in range(200) for m in ("get", "post")[: 1 + i % 2]] + [("b", "/", "put")]
+    routes = spark.createDataFrame(rows, "root string, route string, method string").repartition(5)
+    fragments.write_openapi(routes, str(tmp_path / "api"), roots=spark.createDataFrame([("c",)], "root string"), partitions=5)
+    got = documents(tmp_path / "api")
+    whole = {r["root"]: json.loads(r["document"]) for r in artifacts.openapi_documents(routes).collect()}
+    assert got.pop("c")["paths"] == {} and got == whole
