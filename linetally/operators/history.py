@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linetally.functions import scores
 from linetally.functions.text import line_count
-from linetally.operators.rows import first_rows, with_totals
+from linetally.operators.rows import first_rows
 from linetally.operators.stats import file_stats
 
 UNKNOWN_AUTHOR = "Unknown"
@@ -35,7 +35,10 @@ def counted_authors(df: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFra
 
 def hotspots(changes: DataFrame, top: int | None = 15) -> DataFrame:
     """Commits per path, most first."""
-    counted = changes.groupBy("path").agg(F.count_distinct("commit_id").alias("commits"))
+    return top_hotspots(changes.groupBy("path").agg(F.count_distinct("commit_id").alias("commits")), top)
+
+
+def top_hotspots(counted: DataFrame, top: int | None) -> DataFrame:
     return counted if top is None else counted.orderBy(F.desc("commits"), "path").limit(top)
 
 
@@ -79,47 +82,48 @@ def contributors(commits: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataF
 
 
 def contributor_impact(commits: DataFrame, changes: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFrame:
-    """Commits, insertions, deletions, distinct files, score and share per author; total row.
+    """Commits, insertions, deletions, distinct files, score and share per author; total row."""
+    named = counted_authors(commits, skip).select("commit_id", "author")
+    touched = changes.join(named, "commit_id", "inner").select("author", "path", "insertions", "deletions")
+    return impact_of(touched, named.select("author", F.lit(1).cast("bigint").alias("commits")), skip)
+
+
+def impact_of(touched: DataFrame, committed: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFrame:
+    """The same from ``touched(author, path, insertions, deletions)`` and ``committed(author, commits)``.
 
     Changes are first reduced to one row per author and path, which settles the distinct
     files without expanding rows and spreads a dominant author over all tasks. Commits
     join that stream as rows of their own, so commits without changes count too. The
-    score is linear in the sums, so the rollup's total row carries the total score, which
-    is also the greatest; shares read it as a scalar, whose plan shares the shuffles of the
-    rows themselves. Files have no total (null).
+    score is linear in the sums, so the total's score is that of the summed authors; the total
+    row and the shares read it from the grouped authors, whose shuffle is made once. Files
+    have no total (null).
     """
-    named = counted_authors(commits, skip)
-    touched = (
-        changes.join(named.select("commit_id", "author"), "commit_id", "inner")
+    pairs = (
+        counted_authors(touched, skip)
         .groupBy("author", "path")
         .agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
     )
     counted = ["commits", "insertions", "deletions", "files_changed"]
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    facts = touched.select(
+    facts = pairs.select(
         "author", zero.alias("commits"), "insertions", "deletions", one.alias("files_changed")
     ).unionByName(
-        named.select("author", one.alias("commits"), *[zero.alias(c) for c in counted[1:]])
+        counted_authors(committed, skip).select("author", "commits", *[zero.alias(c) for c in counted[1:]])
     )
     per_author = facts.groupBy("author").agg(*[F.sum(c).alias(c) for c in counted])
-    rolled = per_author.rollup("author").agg(
-        F.grouping("author").alias("_g"), *[F.coalesce(F.sum(c), zero).alias(c) for c in counted]
-    )
-    is_total = F.col("_g") == 1
-    scored = rolled.select(
-        F.when(is_total, F.lit("Total")).otherwise(F.col("author")).alias("author"),
-        *counted,
-        scores.impact_score(*[F.col(c) for c in counted]).alias("score"),
-        is_total.alias("is_total"),
-    )
-    shared = with_totals(scored, (), {"_whole": F.max("score")})
-    share = scores.percent(F.col("score"), F.col("_whole"))
-    return (
-        shared.withColumn("impact_pct", F.when(F.col("is_total"), F.lit(100.0)).otherwise(share))
-        .withColumn("files_changed", F.when(~F.col("is_total"), F.col("files_changed")))
-        .drop("_whole")
-        .orderBy("is_total", F.desc("score"), "author")
+    score = scores.impact_score(*[F.col(c) for c in counted])
+    total = per_author.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in counted])
+    whole = total.select(score).scalar()
+    rows = per_author.select("author", *counted, score.alias("score"), F.lit(False).alias("is_total"), scores.percent(score, whole).alias("impact_pct"))
+    last = total.select(
+        F.lit("Total").alias("author"),
+        *counted[:3],
+        F.lit(None).cast("bigint").alias("files_changed"),
+        score.alias("score"),
+        F.lit(True).alias("is_total"),
+        F.lit(100.0).alias("impact_pct"),
     )
+    return rows.unionByName(last).orderBy("is_total", F.desc("score"), "author")
 
 
 def line_ownership(ownership: DataFrame, skip: str | None = SKIPPED_AUTHOR) -> DataFrame:

@@ -15,7 +15,8 @@ def top_files(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` longest files, with ``lines``; in no order if a corpus is given.
 
     Statistics are ranked as they are. Of a corpus only newlines are counted for the
-    ranking, which carries no text: the ``n`` winning names are broadcast back to it.
+    ranking, which carries no text: the ``n`` winning names are broadcast back to it. A file
+    that a corpus lists more than once comes with all its rows.
     """
     if "content" not in df.columns:
         return with_lines(df).orderBy(F.desc("lines"), "path", "root").limit(n)
