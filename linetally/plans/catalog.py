@@ -16,11 +16,26 @@ from linetally.functions import scores
 from linetally.functions.analysis import rename_suggestion
 from linetally.functions.language import comment_style, language_of, shebang_language
 from linetally.functions.paths import extension_of
-from linetally.operators import analysis, artifacts, compare, duplicates, filters, history, rules, search, stats, structure, views
+from linetally.operators import (
+    analysis,
+    artifacts,
+    compare,
+    duplicates,
+    filters,
+    history,
+    long_files,
+    rollups,
+    rules,
+    search,
+    search_index,
+    stats,
+    structure,
+    views,
+)
 from linetally.operators.incremental import incremental_scan
 from linetally.plans import bindings as B
-from linetally.sinks import reports
-from linetally.sources import corpus
+from linetally.sinks import fragments, reports
+from linetally.sources import corpus, directory
 from linetally.sources.changelog import RECORD, parse_changes, parse_commits, read_log_records
 from linetally.sources.corpus import as_corpus
 
@@ -29,14 +44,26 @@ CATALOG: dict[str, Query] = {}
 
 RETURN_PATTERN = r"[a-z]\..\S*|\.$"
 GREP_PATTERN = r"(?i)\b(the|les|der)\b.*\d"
+INDEXED_PATTERN = r"return f_\d+50\(x\)"
 DOC_REGEXES = [r"^src1\d/", "[", r"/fr/.*7\.txt$"]
 SKIP_AUTHOR = "#00000001"
 AS_OF_EPOCH = 1_700_500_000
 POLICY_ROWS = [("code", 6, 2.0, 1, False), ("prose", 120, None, None, True)]
+SARIF_RESULT = (
+    "ruleId string, level string, message struct<text:string>, "
+    "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>"
+)
+OPENAPI_PATHS = "map<string,map<string,struct<summary:string>>>"
 SARIF_SCHEMA = (
     "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
     "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>"
 )
+LANG_JSON_SCHEMA = (
+    "language string, files bigint, lines bigint, blank_lines bigint, comment_lines bigint, code_lines bigint, "
+    "complexity double, todo_count bigint, secrets_found bigint"
+)
+LANG_CSV_SCHEMA = "Extension string, Files bigint, Lines bigint, Code bigint, Comments bigint, Blanks bigint"
+DIR_CSV_SCHEMA = "Directory string, Files bigint, Lines bigint, Code bigint, Comments bigint"
 DETAILS_SCHEMA = "Path string, Extension string, Lines bigint, Code bigint, Comments bigint, Blanks bigint, Complexity string"
 OPENAPI_SCHEMA = "openapi string, paths map<string,map<string,struct<summary:string>>>"
 
@@ -108,12 +135,16 @@ def incremental(spark, sf_dir):
 
 @query
 def lang_json_report(spark, sf_dir):
-    return reports.lang_json_rows(_stats(spark, sf_dir))
+    where = B.stored(spark, "lang-json")
+    reports.write_lang_json(_stats(spark, sf_dir), where)
+    return spark.read.schema(LANG_JSON_SCHEMA).json(where)
 
 
 @query
 def lang_csv_report(spark, sf_dir):
-    return reports.lang_csv_rows(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines"))
+    where = B.stored(spark, "lang-csv")
+    reports.write_lang_csv(_stats(spark, sf_dir, "lines", "blank_lines", "comment_lines", "code_lines"), where)
+    return spark.read.option("header", True).schema(LANG_CSV_SCHEMA).csv(where)
 
 
 @query
@@ -125,7 +156,9 @@ def details_csv_report(spark, sf_dir):
 
 @query
 def dir_csv_report(spark, sf_dir):
-    return reports.dir_csv_rows(_stats(spark, sf_dir, "lines", "code_lines", "comment_lines"))
+    where = B.stored(spark, "dir-csv")
+    reports.write_dir_csv(_stats(spark, sf_dir, "lines", "code_lines", "comment_lines"), where)
+    return spark.read.option("header", True).schema(DIR_CSV_SCHEMA).csv(where)
 
 
 @query
@@ -144,6 +177,70 @@ def sarif_results(spark, sf_dir):
     )
 
 
+def _document_lines(spark: SparkSession, where: str, entry: str, closing: str) -> DataFrame:
+    """The entries of written documents, one in a line, without the commas between them."""
+    lines = spark.read.text(where).select("root", F.ltrim("value", F.lit(",")).alias("value"))
+    return lines.where(F.col("value").startswith(entry) & (F.col("value") != closing))
+
+
+@query
+def sarif_files(spark, sf_dir):
+    where = B.stored(spark, "sarif")
+    fragments.write_sarif(rules.findings(_stats(spark, sf_dir, "complexity", "secrets_found")), where, partitions=8)
+    found = _document_lines(spark, where, '{"ruleId"', "]}]}").select("root", F.from_json("value", SARIF_RESULT).alias("r"))
+    uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
+    return found.select("root", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), uri.alias("path"))
+
+
+@query
+def openapi_files(spark, sf_dir):
+    where = B.stored(spark, "openapi")
+    fragments.write_openapi(artifacts.api_routes(B.artifact_files(spark, sf_dir)), where, partitions=4)
+    found = _document_lines(spark, where, '"', "}}").select("root", F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), OPENAPI_PATHS).alias("paths"))
+    by_route = found.select("root", F.explode("paths").alias("route", "methods"))
+    rows = by_route.select("root", "route", F.explode("methods").alias("method", "op"))
+    return rows.select("root", F.lit(artifacts.OPENAPI_VERSION).alias("openapi"), "route", "method", "op.summary")
+
+
+@query
+def block_stats(spark, sf_dir):
+    return long_files.block_stats(long_files.split_blocks(B.all_files(spark, sf_dir), 40))
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files, in folders by language and source."""
+    where = B.stored(spark, "folders")
+    docs = B.table(spark, sf_dir, "documents").select("lang", "source", F.col("text").alias("value"))
+    docs.repartition(8, "lang", "source").write.partitionBy("lang", "source").text(where)
+    return where
+
+
+def _folder_totals(files: DataFrame) -> DataFrame:
+    texts = files.filter(F.col("path").startswith("lang="))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    shown = texts.filter(F.regexp_extract("path", "([^/]*)$", 1).startswith("part-")).groupBy(folder.alias("folder"))
+    return shown.agg(F.sum("lines").alias("lines"), F.sum("size_bytes").alias("size_bytes"))
+
+
+@query
+def directory_corpus(spark, sf_dir):
+    files = corpus.read_corpus(spark, _folders(spark, sf_dir), "binaryFile", "texts")
+    return _folder_totals(filters.with_lines(files))
+
+
+@query
+def directory_blocks(spark, sf_dir):
+    blocks = directory.read_blocks(spark, _folders(spark, sf_dir), "texts", block_bytes=50_000)
+    return _folder_totals(long_files.block_stats(blocks))
+
+
+@query
+def skipped_files(spark, sf_dir):
+    where = _folders(spark, sf_dir)
+    skipped = directory.skipped_files(spark, where, max_bytes=0).filter(F.col("path").contains("/part-"))
+    return skipped.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "reason").distinct()
+
+
 # Filters
 
 
@@ -189,6 +286,14 @@ def grep(spark, sf_dir):
     return search.grep(B.all_files(spark, sf_dir), GREP_PATTERN)
 
 
+@query
+def grep_indexed(spark, sf_dir):
+    files = B.all_files(spark, sf_dir)
+    where = B.stored(spark, "trigrams")
+    search_index.write_index(files, where)
+    return search_index.grep_indexed(files, spark.read.parquet(where), INDEXED_PATTERN)
+
+
 @query
 def grep_total(spark, sf_dir):
     return search.grep(B.all_files(spark, sf_dir), GREP_PATTERN).agg(F.count("*").alias("hits"))
@@ -419,10 +524,28 @@ def hotspots(spark, sf_dir):
 @query
 def recent_churn(spark, sf_dir):
     commits = B.commits(spark, sf_dir)
-    latest = commits.agg(F.max("ts")).scalar()
+    latest = B.latest_commit(spark, sf_dir)
     return history.recent_churn(B.changes(spark, sf_dir), commits, latest)
 
 
+def _rollups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    where = B.stored(spark, "rollups")
+    rollups.write_rollups(B.changes(spark, sf_dir), B.commits(spark, sf_dir), where)
+    return spark.read.parquet(f"{where}/touches"), spark.read.parquet(f"{where}/commits")
+
+
+@query
+def rolled_churn(spark, sf_dir):
+    touched, _ = _rollups(spark, sf_dir)
+    return rollups.rolled_churn(touched, B.changes(spark, sf_dir), B.commits(spark, sf_dir), B.latest_commit(spark, sf_dir))
+
+
+@query
+def rolled_impact(spark, sf_dir):
+    impact = rollups.rolled_impact(*_rollups(spark, sf_dir), SKIP_AUTHOR)
+    return impact.withColumn("impact_pct", F.round("impact_pct", 9)).na.fill(-1, ["files_changed"])
+
+
 @query
 def contributors(spark, sf_dir):
     return history.contributors(B.commits(spark, sf_dir), SKIP_AUTHOR)
@@ -546,7 +669,10 @@ def top_languages(spark, sf_dir):
 @query
 def issues(spark, sf_dir):
     files = B.all_files(spark, sf_dir)
-    return rules.issues(stats.file_stats(files, ["lines", "complexity"]), analysis.naming_violations(files), complexity_threshold=3.0, max_lines=100)
+    found = rules.issues(stats.file_stats(files, ["lines", "complexity"]), analysis.naming_violations(files), complexity_threshold=3.0, max_lines=100)
+    where = B.stored(spark, "issues")
+    reports.write_issues_json(found, where)
+    return spark.read.schema(found.schema).json(where)
 
 
 @query

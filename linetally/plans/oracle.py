@@ -9,7 +9,7 @@ from __future__ import annotations
 from linetally.functions.language import EXTENSION_LABELS, NAME_LABELS, STYLE_EXTENSIONS
 from linetally.functions.text import WHITE_SPACE
 from linetally.plans import bindings as B
-from linetally.plans.catalog import AS_OF_EPOCH, DOC_REGEXES, GREP_PATTERN, RETURN_PATTERN, SKIP_AUTHOR
+from linetally.plans.catalog import AS_OF_EPOCH, DOC_REGEXES, GREP_PATTERN, INDEXED_PATTERN, RETURN_PATTERN, SKIP_AUTHOR
 
 NL = "chr(10)"
 BASE = "regexp_extract(path, '[^/]*$')"
@@ -431,3 +431,19 @@ SELECT DISTINCT *, {NODE.format('parent')} AS parent_id,
 ORACLE["openapi_operations"] = (
     "SELECT root, '3.0.0' AS openapi, route, method, 'Auto-generated ' || route || ' route' AS summary FROM (" + ORACLE["api_routes"] + ")"
 )
+ORACLE["sarif_files"] = ORACLE["sarif_results"]
+ORACLE["openapi_files"] = ORACLE["openapi_operations"]
+ORACLE["block_stats"] = (
+    scanned(ALL)
+    + "SELECT path, root, language, lines, blank_lines, comment_lines, code_lines, complexity, todo_count, secrets_found, size_bytes FROM stats"
+)
+FOLDER = "'lang=' || lang || '/source=' || source AS folder"
+ORACLE["directory_corpus"] = (
+    f"SELECT {FOLDER}, sum(length(text) - length(replace(text, {NL}, '')) + 1)::BIGINT AS lines, "
+    "sum(octet_length(encode(text)) + 1)::BIGINT AS size_bytes FROM documents GROUP BY 1"
+)
+ORACLE["directory_blocks"] = ORACLE["directory_corpus"]
+ORACLE["skipped_files"] = f"SELECT DISTINCT {FOLDER}, 'larger than 0 bytes' AS reason FROM documents"
+ORACLE["grep_indexed"] = GREP.replace(quote(GREP_PATTERN), quote(INDEXED_PATTERN))
+ORACLE["rolled_churn"] = ORACLE["recent_churn"]
+ORACLE["rolled_impact"] = ORACLE["contributor_impact"]
