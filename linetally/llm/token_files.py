@@ -9,91 +9,95 @@ it and where the last one ended, which closes the documents that cross a border.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetally.llm.batches import id_and_bytes, slices, table, tidy
 from linetally.llm.bpe import Encoder, Vocabulary, vocabulary_source
-from linetally.llm.store import written
+from linetally.llm.store import shared_folder, written
+from linetally.sources.directory import list_files, location_uri
 
 #: Tokens of a block.
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 20
 #: Tokens of a file after which a writer begins the next one.
 FILE_TOKENS = 1 << 24
 _BLOCKS = "file string, block long, first_token long, data binary"
 
 
 def file_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``(file, block, first_token, data)`` of raw token files in a folder that Spark can read.
+    """``(file, block, first_token, data)`` of the raw token files below a folder; files are named from there.
 
-    Files are cut where they are read; a file must be below 2 GB, the bound of a Spark value.
-    Bytes after the last whole token are left out.
+    Files have no index and any size and name: their sizes are listed, ranges of them are dealt out as
+    rows, and each task reads its ranges by seeking. Bytes after the last whole token are left
+    out; a file without a token gives no row. Folders that Arrow's file systems open.
     """
     size = width * block_tokens
+    uri = location_uri(path)
+    files = list_files(spark, path).where("reason IS NULL").select(F.col("path").alias("file"), F.floor(F.col("size_bytes") / width).alias("tokens"))
+    blocks = files.where("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"))
+    first = F.col("block") * block_tokens
+    ranges = blocks.select("file", "block", first.alias("first_token"), F.least(F.lit(block_tokens).cast("long"), F.col("tokens") - first).alias("n")).repartition("file", "block")
 
     def run(batches):
+        store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for i, file in enumerate(batch.column(0).to_pylist()):
-                data = memoryview(batch.column(1)[i].as_buffer())
-                end = len(data) - len(data) % width
-                for b in range(0, end, size):
-                    yield table([pa.array([file]), pa.array([b // size], pa.int64()), pa.array([b // width], pa.int64()), pa.array([data[b : min(b + size, end)]], pa.binary())], ["file", "block", "first_token", "data"])
+            for i, (file, block, n) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 3)], strict=True)):
+                with store.open_input_file(f"{base.rstrip('/')}/{file}") as source:
+                    source.seek(block * size)
+                    data = source.read(n * width)
+                row = batch.slice(i, 1)
+                yield table([row.column(0), row.column(1), row.column(2), pa.array([data], pa.binary())], ["file", "block", "first_token", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), _BLOCKS)
+    return ranges.mapInArrow(tidy(run), _BLOCKS)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Flat files of the encoded documents, and ``(file, doc_no, id)``: which document is which.
+def write_tokens(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+    """A folder of flat files of the encoded documents, and ``(file, doc_no, id)``: which document is which.
 
-    Each task writes its documents, in the order it reads them, to files of its own of about
-    ``file_tokens`` tokens. Both tables are written to the shared folder; the token table
-    holds a file's bytes as rows of one block.
+    Each task writes its documents, in the order it reads them, to raw files of its own of about
+    ``file_tokens`` tokens, in the shared folder. Names are new in every attempt of a task, so files
+    of attempts that failed are not in the list and disturb nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
     kind = np.dtype(f"<u{width}")
-    size = width * block_tokens
+    folder = f"{shared_folder(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
+    uri = location_uri(folder)
+    names = ["file", "doc_no", "id"]
 
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value), spelt_special=False)  # else a text could hold an end id
         if len(encoder.vocabulary.token_size) - 1 > np.iinfo(kind).max + 1 or eod > np.iinfo(kind).max:
             raise ValueError("ids need more bytes")
-        part, number, block, held, docs_in, ids, at = TaskContext.get().partitionId(), 0, 0, b"", 0, [], 0
-
-        def rows(data, last):
-            nonlocal block
-            cut = len(data) if last else len(data) - len(data) % size
-            out = [data[i : min(i + size, cut)] for i in range(0, cut, size)]
-            name = f"{part:06d}-{number:04d}"
-            made = table([pa.array([name] * len(out), pa.string()), pa.array(range(block, block + len(out)), pa.int64()), pa.array([(block + i) * block_tokens for i in range(len(out))], pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], _NAMES)
-            block += len(out)
-            return made, data[cut:]
-
-        def listed():
-            name = f"{part:06d}-{number:04d}"
-            return table([pa.array([name] * len(ids), pa.string()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(range(docs_in, docs_in + len(ids)), pa.int64()), pa.array(ids, pa.int64())], _NAMES)
-
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        out, name, docs_in, at = None, "", 0, 0
         for batch in batches:
             for texts, _, _ in slices(batch):
+                if out is None:
+                    name, docs_in, at = f"{uuid.uuid4().hex}.bin", 0, 0
+                    out = store.open_output_stream(f"{base}/{name}")
                 tokens, bounds = encoder.encode(texts)
                 closed = np.insert(tokens, bounds[1:], eod).astype(kind)
-                ids = texts.ids.to_pylist()
-                yield listed()
-                docs_in += len(ids)
+                out.write(closed.tobytes())
+                yield table([pa.array([name] * len(texts)), pa.array(range(docs_in, docs_in + len(texts)), pa.int64()), texts.ids], names)
+                docs_in += len(texts)
                 at += len(closed)
-                made, held = rows(held + closed.tobytes(), at >= file_tokens)
-                yield made
                 if at >= file_tokens:
-                    number, block, docs_in, at = number + 1, 0, 0, 0
-        if held:
-            yield rows(held, True)[0]
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
 
-    _NAMES = ["file", "block", "first_token", "data", "doc_no", "id"]
-    both = written(id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), f"{_BLOCKS}, doc_no long, id long"), "token-files")
-    return both.where("block is not null").select("file", "block", "first_token", "data"), both.where("doc_no is not null").select("file", "doc_no", "id")
+    listed = written(id_and_bytes(docs, id_col, text_col).mapInArrow(tidy(run), "file string, doc_no long, id long"), "flat-files")
+    store, base = fs.FileSystem.from_uri(uri)
+    store.create_dir(base, recursive=True)  # without any document there is no file
+    return folder, listed
 
 
 def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
@@ -134,7 +138,11 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
     return joined.select("file", F.inline(counts))
 
 
-def document_token_counts(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, **options) -> DataFrame:
-    """``(id, n_tokens)`` of every document, counted in flat files that are written first."""
-    blocks, ids = write_tokens(docs, vocabulary, eod, width, **options)
+def document_token_counts(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, **options) -> DataFrame:
+    """``(id, n_tokens)`` of every document, counted in flat files that are written first.
+
+    Null and empty texts have no tokens. Rows of one id, or without, each give a row.
+    """
+    folder, ids = write_tokens(docs, vocabulary, eod, width, **options)
+    blocks = file_blocks(docs.sparkSession, folder, width, block_tokens)
     return token_counts(blocks, eod, width).join(ids, ["file", "doc_no"]).select("id", "n_tokens")

@@ -122,12 +122,16 @@ def test_counts_across_block_borders(spark, tmp_path, block_tokens):
     rng = random.Random(block_tokens)
     files = {"a": [EOD] * 3, "b": [1, 2, 3], "c": [], "d": [7] * 30 + [EOD]}
     files |= {f"r{i}": [rng.choice([EOD, 1, 2, 3, 4]) for _ in range(rng.randrange(60))] for i in range(8)}
+    files |= {"_under": [1, EOD, 2], ".dot": [EOD, 5], "below/deep": [3, 3, EOD]}
+    (tmp_path / "below").mkdir()
     for name, tokens in files.items():
         (tmp_path / name).write_bytes(np.array(tokens, "<u2").tobytes())
+    (tmp_path / "odd").write_bytes(b"\x07\x00\x01")  # a token and half of one
+    files["odd"] = [7]
     blocks = token_files.file_blocks(spark, str(tmp_path), block_tokens=block_tokens)
     got: dict[str, dict[int, int]] = {name: {} for name in files}
     for r in token_files.token_counts(blocks, EOD).collect():
-        got[r["file"].rsplit("/", 1)[1]][r["doc_no"]] = r["n_tokens"]
+        got[r["file"]][r["doc_no"]] = r["n_tokens"]
     assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: plain_counts(v) for k, v in files.items()}
 
 
@@ -138,3 +142,14 @@ def test_counts_of_documents(spark):
     want = {r["id"]: r["n_tokens"] for r in bpe.encode(docs.withColumn("text", F.regexp_replace("text", r"<\|", "< |")), PATH).collect()}
     assert got.keys() == want.keys() and {i: n for i, n in got.items() if i != 3} == {i: n for i, n in want.items() if i != 3}
     assert token_files.document_token_counts(docs.limit(0), PATH, EOD).count() == 0
+
+
+def test_long_files_are_read_in_ranges(spark, tmp_path):
+    """A file beyond the size of a Spark value, mostly a hole of zeros, is counted by many tasks."""
+    with open(tmp_path / "long.bin", "wb") as file:
+        file.write(np.array([5, EOD, 6], "<u2").tobytes())
+        file.seek(3 << 30)
+        file.write(np.array([EOD, 9], "<u2").tobytes())
+    blocks = token_files.file_blocks(spark, str(tmp_path), block_tokens=1 << 24)
+    got = sorted((r["doc_no"], r["n_tokens"]) for r in token_files.token_counts(blocks, EOD).collect())
+    assert got == [(0, 1), (1, (3 << 29) - 2), (2, 1)]
