@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetally.llm.batches import LOWER, NOT_SPACE, Texts, id_and_bytes, mixed, slices, table, tidy, window_hashes, window_starts, word_hashes, words
-from linetally.llm.store import written
+from linetally.llm.store import shared_folder, written
+from linetally.operators.places import PLACE, at_masks, write_masks
 
 #: Words of a shingle, and the similarity from which sets link, where a caller names no others.
 SHINGLE = 4
@@ -405,11 +407,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of each component's smallest id, with all their columns.
 
-    Rows of equal id are one document, of which the first by text stays; rows without id
-    stay. Texts of documents that surely stay are not shuffled: a filter of fixed size
-    tells them, and the few others are joined.
+    Rows of equal id are one document, of which the first by a hash of its text stays; rows
+    without id stay. Rows that carry their ``place`` (``operators.places``) are chosen by id and
+    place alone and then read where they lie, so no text is shuffled, however many documents
+    go. Of other frames, texts of documents that surely stay are told by a filter of fixed
+    size, and the few others are joined.
     """
     found = written(components(docs, id_col, text_col, k, percent).where("id is not null").groupBy("id").agg(F.max(F.col("component_id") == F.col("id")).alias("stays"), F.count(F.lit(1)).alias("k")), "components")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = names[docs.columns.index(id_col)]
+    text = names[docs.columns.index(text_col)]
+    if PLACE in docs.columns:
+        lying = docs.toDF(*names).withColumnRenamed(names[docs.columns.index(PLACE)], PLACE)
+        keys = lying.select(PLACE, F.col(own).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+        first = keys.join(found.where("stays").select("id"), "id").groupBy("id").agg(F.min(F.struct("h", PLACE)).alias("first"))
+        kept = first.select(f"first.{PLACE}.*").unionByName(keys.where("id is null").select(f"{PLACE}.*"))
+        location = f"{shared_folder(docs.sparkSession)}/kept-{uuid.uuid4().hex}"
+        write_masks(kept, location)
+        return at_masks(lying, location).toDF(*docs.columns)
     doubtful = found.where("not stays or k > 1")
     bits = bit_filter(doubtful.select(F.xxhash64("id").alias("mark")), "mark")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -418,11 +433,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def maybe(mark):
         return pa.array(in_filter(shared.value, mark.to_numpy().view(np.uint64))).to_pandas()
 
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    own = names[docs.columns.index(id_col)]
-    text = names[docs.columns.index(text_col)]
     marked = docs.toDF(*names).withColumn("maybe", maybe(F.xxhash64(F.col(own).cast("long"))) & F.col(own).isNotNull())
     sure = marked.where("not maybe").drop("maybe")
     rest = marked.where("maybe").drop("maybe").join(found.where("stays").select(F.col("id").alias("kept")), F.col(own).cast("long") == F.col("kept"), "left_semi")
-    rest = rest.withColumn("k", F.row_number().over(W.partitionBy(own).orderBy(text))).where("k = 1").drop("k")
+    rest = rest.withColumn("k", F.row_number().over(W.partitionBy(own).orderBy(F.xxhash64(F.col(text).cast("string")), text))).where("k = 1").drop("k")
     return sure.unionByName(rest).toDF(*docs.columns)

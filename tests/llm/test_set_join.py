@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from linetally.llm import set_join
+from linetally.operators.places import with_place
 
 
 def rows_of(df) -> list[tuple]:
@@ -83,6 +84,21 @@ def test_one_of_each_group_stays_with_its_columns(spark):
     assert kept == [1, 5, 9, None]
 
 
+def test_rows_with_places_are_read_where_they_lie(spark, tmp_path):
+    rows = [(3, "a b c d e", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "z"), (9, "f g h i j", "x"), (None, "a b c d e", "n"), (None, "a b c d e", "n"), (5, None, "e"), (5, "other words of five", "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = with_place(spark.read.parquet(str(tmp_path / "docs")))
+    got = set_join.drop_duplicates(docs)
+    assert got.columns == docs.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted((d for d, _ in kept), key=str) == [1, 5, 9, None, None] and len(set(kept)) == 4
+    plain = sorted(((r["doc_id"], r["text"]) for r in set_join.drop_duplicates(docs.drop("place")).collect()), key=str)
+    assert plain == sorted(kept, key=str)
+    assert set_join.drop_duplicates(docs.limit(0)).count() == 0
+
+
 def test_sizes_that_fit_and_subsets_that_meet():
     """A pair of small sets lists a subset in common exactly if it links."""
     assert set_join.common_needed(10, 10) == 10 and set_join.common_needed(20, 20) == 19
