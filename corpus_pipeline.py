@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linetally.llm import bpe, line_index, quality, set_join, wu_manber
+from linetally.llm.batches import quoted
 from linetally.llm.queries import VOCABULARY
 from linetally.llm.store import written
+from linetally.operators.places import placed
 
 #: Near duplicates share shingles of so many words, with this Jaccard similarity in percent or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -33,8 +35,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that shingle sets link, the one with the smallest id."""
-    return set_join.drop_duplicates(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    """Of documents that shingle sets link, the one with the smallest id; no text is shuffled to drop the others."""
+    lying = placed(docs)
+    kept = set_join.drop_duplicates(docs if lying is None else lying, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    return kept.select(*map(quoted, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
