@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from linetally.llm.licences import BASE_PHRASES, LEAST_SHARE, TEMPLATES
+
 ORACLE: dict[str, str] = {}
 
 _LINES = """
@@ -199,3 +201,45 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM counted
 """
+
+
+def _rows(values) -> str:
+    return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in values)
+
+
+_TEMPLATE_WORDS = _rows((t, at, w) for t, x in enumerate(TEMPLATES) for at, w in enumerate(x.text.split()))
+_TEMPLATE_SIZES = _rows((t, x.label, len(x.text.split()), len(x.keys)) for t, x in enumerate(TEMPLATES))
+_PHRASES = _rows((p, p.split()[0], len(p.split())) for p in sorted({*BASE_PHRASES, *(k for x in TEMPLATES for k in x.keys)}))
+_KEYS = _rows((t, k) for t, x in enumerate(TEMPLATES) for k in x.keys)
+
+#: The licence scan by votes of all words. Tests compare it row by row; it is no registered twin, as frames
+#: turn integers that may be null into other types on either side.
+LICENCES = rf"""
+WITH tw(t, pos, w) AS (VALUES {_TEMPLATE_WORDS}),
+sizes(t, label, n, n_keys) AS (VALUES {_TEMPLATE_SIZES}),
+phrases(phrase, w, m) AS (VALUES {_PHRASES}),
+keys(t, phrase) AS (VALUES {_KEYS}),
+base(phrase, label) AS (VALUES {_rows(BASE_PHRASES.items())}),
+d AS ({_WORDS.format(key="doc_id", table="documents")}),
+placed AS (SELECT key AS doc_id, d.w AS words, i, d.w[i] AS w FROM d, unnest(range(1, len(d.w) + 1)) AS r(i)),
+said AS (
+  SELECT doc_id, phrase, i FROM placed JOIN phrases USING (w) WHERE array_to_string(words[i:i + m - 1], ' ') = phrase),
+votes AS (SELECT doc_id, t, i - pos AS s, count(*) AS k FROM placed JOIN tw USING (w) GROUP BY ALL),
+near AS (SELECT doc_id, t, s, label, n, n_keys, k / CAST(n AS DOUBLE) AS share FROM votes JOIN sizes USING (t) WHERE k / CAST(n AS DOUBLE) >= {LEAST_SHARE}),
+notices AS (
+  SELECT near.doc_id, near.t, s, any_value(label) AS label, any_value(share) AS share
+  FROM near JOIN keys ON keys.t = near.t JOIN said ON said.doc_id = near.doc_id AND said.phrase = keys.phrase AND said.i BETWEEN s - 2 AND s + n + 2
+  GROUP BY near.doc_id, near.t, s, n_keys HAVING count(DISTINCT keys.phrase) = n_keys),
+b AS (SELECT doc_id, label, i FROM said JOIN base USING (phrase)),
+totals AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM b GROUP BY doc_id),
+base_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT doc_id, label FROM b) GROUP BY doc_id),
+all_labels AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS x
+  FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM notices) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM notices GROUP BY doc_id)
+SELECT d.key AS doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels.x, '') AS base_labels, coalesce(all_labels.x, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN totals ON totals.doc_id = d.key LEFT JOIN base_labels ON base_labels.doc_id = d.key
+LEFT JOIN all_labels ON all_labels.doc_id = d.key LEFT JOIN best ON best.doc_id = d.key
+"""

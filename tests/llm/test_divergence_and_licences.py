@@ -181,7 +181,7 @@ def test_licences_against_brute_force(spark):
     have = sorted(((r["id"], *[r[n] for n in names]) for r in got), key=str)
     assert have == sorted(((d, *brute.base_licences(t)) for d, t, *_ in rows), key=str)
     labels = {r["id"]: r["labels"] for r in got}
-    assert [labels[i] for i in range(len(NOTICES))] == ["", "", "", "mit", "apache-2,cc-by-nc,mit", "gpl", "apache-2", "", "mit", "bsd", "", "", "cc-by"]
+    assert [labels[i] for i in range(len(NOTICES))] == ["", "", "", "mit", "apache-2,cc-by-nc,mit", "gpl,gpl-3", "apache-2", "", "mit", "bsd", "", "", "cc-by"]
     assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"]) for r in got)
 
 
@@ -228,10 +228,31 @@ def test_notices_beside_stray_words(spark):
                 texts += [" ".join(notice), " ".join([*stray, "x", *notice, "y", *own[-1:], *stray])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["id"]: r["labels"] for r in licences.scan(docs, licences.rarity(docs)).collect()}
-    assert got[0] == got[1] == "gpl"
+    assert got[0] == got[1] == "gpl,gpl-2"
     assert got == {i: template_labels(t) for i, t in enumerate(texts)}
 
 
+def test_whole_texts_and_tags(spark):
+    long = next(t.text for t in licences.TEMPLATES if len(t.text.split()) > 150)
+    texts = [long.upper(), "x " + long.replace("software", "program", 3), long[: len(long) // 3], "// SPDX-License-Identifier: GPL-2.0-only", "# SPDX-License-Identifier: Apache-2.0", "SPDX License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["labels"], r["score"]) for r in licences.scan(docs, licences.rarity(docs)).collect()}
+    assert [got[i][0] for i in range(6)] == [template_labels(t) for t in texts] == ["mit", "mit", "mit", "gpl-2", "apache-2", ""]
+    assert got[0][1] == 1 and got[5][1] == 0
+
+
+def test_files_look_up_their_own_rarest_words():
+    """Whatever positions a file holds, its rarest ones leave no notice without a look-up."""
+    rng = random.Random(11)
+    for _ in range(300):
+        n = rng.randrange(1, 30)
+        need = licences.words_needed(n)
+        in_place = set(rng.sample(range(n), rng.randrange(need, n + 1)))
+        held = [i for i in range(n) if i in in_place or rng.random() < 0.5]
+        rng.shuffle(held)  # any order of rarity
+        assert in_place & set(held[: max(0, len(held) - need + 1)])
+
+
 def test_licence_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     scanned = licences.scan(docs, licences.rarity(docs))

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from linetally.llm import bpe, divergence, licences, quality
-from linetally.llm.oracle import ORACLE
+from linetally.llm.oracle import LICENCES, ORACLE
 from linetally.llm.queries import QUERIES, VOCABULARY
 from tokenizers import Tokenizer
 
@@ -38,6 +38,15 @@ def test_queries_match_their_twins(spark, tables, name):
     assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.select(*names).fetchall()))
 
 
+def test_licences_match_their_twin(spark, tables):
+    got, want = QUERIES["op6_licences"](spark, SF), tables.sql(LICENCES)
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    rows = [tuple(r[n] for n in names) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want.select(*names).fetchall()))
+    assert len({r[names.index("labels")] for r in rows}) > 3
+
+
 def test_queries_beyond_sql_match_brute_force(spark, documents):
     rows = QUERIES["op2_divergence"](spark, SF).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
