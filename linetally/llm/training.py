@@ -49,7 +49,9 @@ def labelled_texts(
         .limit(most)
     )
     texts = bound_batches(docs).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").cast("binary").alias("data"))
-    sizes = texts.select("id", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "id")
+    # The length is taken of the string itself: no text is copied for it.
+    size = F.coalesce(F.octet_length(quoted(text_col).cast("string")), F.lit(0)).cast("long")
+    sizes = docs.select(quoted(id_col).cast("long").alias("id"), size.alias("size")).join(F.broadcast(chosen), "id")
     sizes = sizes.groupBy("id", "y").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).where((F.col("size") <= most_text_bytes) & (F.col("rows") <= most_text_bytes))
     # At most ``most`` ids, so this window is bounded; a row counts a byte, as empty texts may be many.
     running = sizes.withColumn("running", F.sum(F.col("size") + F.col("rows")).over(Window.orderBy(*hashed)))
