@@ -192,8 +192,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Spans:
     """64-bit hashes of any spans of a buffer: a polynomial in an odd base over random byte values.
 
-    Equal spans have equal hashes in every task; others differ up to chance (about 2^-64
-    for a pair).
+    Equal spans have equal hashes in every task; other short ones differ up to chance (about
+    2^-64 for a pair). Long regular spans may not: two strings of two letters in a Thue-Morse
+    pattern of 1,024 bytes collide in any odd base, so hash words of more than some dozen bytes
+    otherwise where that matters.
     """
 
     def __init__(self, buf: np.ndarray):
