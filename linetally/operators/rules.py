@@ -18,6 +18,9 @@ POLICY_DEFAULTS = {
     "allow_secrets": False,
 }
 
+#: Rules that are broadcast, at most: some MB.
+MOST_BROADCAST = 1 << 16
+
 # Finding rules (id, level, name, short description).
 FINDING_RULES = [
     ("CS-001", "error", "SecretScanning", "Potential hardcoded secret"),
@@ -33,14 +36,16 @@ def check_policy(stats: DataFrame, policy: DataFrame) -> DataFrame:
     """``root, path, rule, actual, allowed``: one row per violation; no rows means passed.
 
     ``policy`` holds one row per root; a second one for a root is an error. A file is
-    judged by the rules of its own root, and a root without rules passes. Few rules are
-    broadcast by Spark itself; rules of very many roots are joined like any table.
+    judged by the rules of its own root, and a root without rules passes. Rules of up to
+    ``MOST_BROADCAST`` roots are broadcast (they are counted for that), so statistics are not
+    dealt out by root; more are joined like any table.
     """
     rules = policy.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in POLICY_DEFAULTS])
     twice = F.raise_error(F.format_string("two policies for root '%s'", "root"))
     once = F.when(F.col("_rows") == 1, F.col("root")).otherwise(twice.cast("string")).alias("root")
     rules = rules.select(once, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in POLICY_DEFAULTS.items()])
-    judged = stats.join(rules, "root", "inner")
+    few = policy.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    judged = stats.join(F.broadcast(rules) if few else rules, "root", "inner")
 
     def rule(name: str, actual: str, allowed: Column) -> Column:
         return F.struct(
