@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,16 @@ def with_place(df: DataFrame) -> DataFrame:
     return df.withColumn(PLACE, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
+def placed(df: DataFrame) -> DataFrame | None:
+    """``with_place``, or None for a frame that does not read Parquet files row by row."""
+    try:
+        out = with_place(df)
+        out.schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return out
+
+
 def _slot(file: Column) -> Column:
     return F.pmod(F.xxhash64(file), F.lit(SLOTS)).cast("int")
 
@@ -96,6 +107,12 @@ def _look_up(location: str):
     return listed
 
 
+def at_masks(df: DataFrame, location: str) -> DataFrame:
+    """The rows of ``df`` whose place is in the masks at ``location``, found where they lie."""
+    file = F.col(f"{PLACE}.file")
+    return df.filter(_look_up(location)(file, _slot(file), F.col(f"{PLACE}.row")))
+
+
 def only_listed(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """``big LEFT SEMI keys`` that moves no row of ``big`` if it has places.
 
@@ -107,5 +124,4 @@ def only_listed(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame
     location = new_location(big.sparkSession, "masks")
     found = big.select(PLACE, *on).join(keys.select(*on).distinct(), list(on), "left_semi")
     write_masks(found.select(f"{PLACE}.file", f"{PLACE}.row"), location)
-    file = F.col(f"{PLACE}.file")
-    return big.filter(_look_up(location)(file, _slot(file), F.col(f"{PLACE}.row")))
+    return at_masks(big, location)
