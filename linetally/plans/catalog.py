@@ -211,7 +211,7 @@ def _folders(spark: SparkSession, sf_dir: str) -> str:
     """The documents as text files, in folders by language and source."""
     where = B.stored(spark, "folders")
     docs = B.table(spark, sf_dir, "documents").select("lang", "source", F.col("text").alias("value"))
-    docs.repartition(8, "lang", "source").write.partitionBy("lang", "source").text(where)
+    docs.hint("rebalance", "lang", "source").write.partitionBy("lang", "source").text(where)
     return where
 
 

@@ -28,6 +28,8 @@ NAMES_A_ROUND = 20_000
 #: A file of more bytes is not read as one row (a value in Spark ends at 2 GB).
 MOST_BYTES = 1 << 30
 BLOCK_BYTES = 4 << 20
+#: Bytes of files that a task reads, about.
+TASK_BYTES = 32 << 20
 _FOUND = "path string, folder boolean, size_bytes bigint, modified_at timestamp, reason string"
 _PART = 10_000
 
@@ -107,6 +109,16 @@ def list_files(spark: SparkSession, location: str, names_a_round: int = NAMES_A_
             return reduce(DataFrame.unionByName, rounds)
 
 
+def _dealt(rows: DataFrame, files: DataFrame, *by: str) -> DataFrame:
+    """Rows that name what is to be read, dealt out to tasks by the bytes of the files.
+
+    The number of tasks is given: these rows are so short that Spark, left to choose, would put all of
+    them into one task, and with them the reading and what follows it.
+    """
+    total = files.agg(F.sum("size_bytes")).first()[0] or 0
+    return rows.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), *by)
+
+
 def _read_whole(uri: str):
     names = ["path", "content", "size_bytes", "modified_at"]
 
@@ -128,7 +140,7 @@ def read_files(spark: SparkSession, location: str, max_bytes: int = MOST_BYTES)
     The others are those of ``skipped_files``; ``read_blocks`` reads files of any size.
     """
     files = list_files(spark, location).where(F.col("reason").isNull() & (F.col("size_bytes") <= max_bytes))
-    dealt = files.select("path", "size_bytes", "modified_at").repartition("path")
+    dealt = _dealt(files.select("path", "size_bytes", "modified_at"), files, "path")
     return dealt.mapInArrow(_read_whole(location_uri(location)), "path string, content binary, size_bytes bigint, modified_at timestamp")
 
 
@@ -196,7 +208,7 @@ def read_blocks(spark: SparkSession, location: str, root: str | None = None, blo
     cut = files.select("path", "size_bytes", "modified_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block_no"))
     start = F.col("block_no") * block_bytes
     ranges = cut.select("path", start.alias("start"), F.least(start + block_bytes, F.col("size_bytes")).alias("end"), "block_no", "modified_at")
-    dealt = ranges.repartition("path", "block_no")
+    dealt = _dealt(ranges, files, "path", "block_no")
     blocks = dealt.mapInArrow(_read_ranges(location_uri(location)), "path string, block_no bigint, content binary, modified_at timestamp")
     text = F.col("content").cast("string")
     return blocks.select(

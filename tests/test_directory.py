@@ -9,6 +9,7 @@ from linetally.operators.long_files import block_stats
 from linetally.operators.stats import COUNTERS, file_stats
 from linetally.sources import directory as D
 from linetally.sources.corpus import read_corpus
+from pyspark.sql import functions as F
 
 
 def listed(df):
@@ -67,3 +68,14 @@ def test_blocks_count_as_whole_files(spark, tmp_path):
         assert {r["path"] for r in got} == whole.keys() and not next(r for r in got if r["path"] == "bad.c")["valid_utf8"]
         for r in got:
             assert [r[c] for c in ("language", *COUNTERS)] == [whole[r["path"]][c] for c in ("language", *COUNTERS)], r["path"]
+
+
+def test_short_listings_are_work_for_many_tasks(spark, tmp_path, monkeypatch):
+    """The rows that name what is to be read are few bytes: they must not fall into one task."""
+    for i in range(40):
+        (tmp_path / f"f{i}.txt").write_text("some line\n" * 50)
+    for task_bytes, least in ((1 << 20, 4), (1000, 12)):
+        monkeypatch.setattr(D, "TASK_BYTES", task_bytes)
+        for read in (D.read_files(spark, str(tmp_path)), D.read_blocks(spark, str(tmp_path), "r", 100)):
+            tasks = read.select(F.spark_partition_id().alias("task")).distinct().count()
+            assert tasks >= least, (task_bytes, tasks)
