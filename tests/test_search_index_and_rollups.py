@@ -85,6 +85,29 @@ def test_index_takes_new_files(spark, corpus, tmp_path):
     assert sorted(r["path"] for r in found.collect()) == ["a", "b"]
 
 
+def test_index_rows_are_of_groups_not_of_files(spark, corpus, tmp_path):
+    """A trigram that many files share is a row a group, so the table does not grow with files times trigrams."""
+    where = str(tmp_path / "index")
+    files = corpus({f"f{i:03}": "one needle here\nand alpha" for i in range(400)}).coalesce(1)
+    search_index.write_index(files, where)
+    index = spark.read.parquet(where)
+    assert index.count() <= 25
+    assert sorted(r["path"] for r in search_index.candidates(index, "alpha").collect()) == [f"f{i:03}" for i in range(400)]
+
+
+def test_long_texts_are_looked_at_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    for step in (3, 4, 7, 50):
+        monkeypatch.setattr(search_index, "STEP_CHARS", step)
+        texts = ["".join(rng.choice("abé\n\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        group = search_index._Group()
+        for i, text in enumerate(texts):
+            group.add("r", f"p{i}", text)
+        got = {(r["gram"], f) for r in group.rows("0").to_pylist() if r["files"] for f in r["files"]}
+        runs = {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2) if "\n" not in t[k : k + 3]}
+        assert got == {(int(search_index._hashes(search_index._codes(run))[0]), i) for run, i in runs}
+
+
 @pytest.fixture(scope="module")
 def history_rows(spark):
     rng = random.Random(7)
