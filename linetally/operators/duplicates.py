@@ -5,7 +5,8 @@ and blocks are hashes of five line hashes. Two passes find the repeated ones: th
 counts keys alone, as numbers, with partial counts in every task, so a boilerplate header
 found in a third of all files is one row per task; the second takes places, and lets through
 only those of repeated blocks. Locations are cut to the first few per block on the map side
-too, and the preview text is read from one file per reported block.
+too, and the preview text is read from one file per reported block. Previews of files with places
+take a job of their own (``places.only_listed``), so what it and the result share is stored, not found twice.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linetally.functions.text import numbered_lines, utrim
-from linetally.operators.places import only_listed
+from linetally.operators.places import PLACE, only_listed
 from linetally.operators.rows import explode_once, first_rows, likely_listed
 from linetally.sources.corpus import readable
+from linetally.sources.store import new_location
 
 BLOCK_LINES = 5
 MIN_LINE_BYTES = 3
@@ -84,13 +86,13 @@ def counted_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
     return counted.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place")
 
 
-def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
+def repeated_keys(keys: DataFrame, top: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Keys seen more than once with ``occurrences`` and their ``first`` place.
 
     ``top`` keeps the most frequent per scope and ranks them (ties by first place). Only
-    places of the counted keys are shuffled.
+    places of the counted keys are shuffled. ``hot`` takes stored ``counted_keys`` of that ``top``.
     """
-    hot = counted_keys(keys, top)
+    hot = counted_keys(keys, top) if hot is None else hot
     place = F.min(F.struct("path", "root", "line_no")).alias("first")
     found = likely_listed(keys, hot, KEY).groupBy(*KEY).agg(place).join(hot, KEY, "inner")
     if top is None:
@@ -98,13 +100,18 @@ def repeated_keys(keys: DataFrame, top: int | None = None) -> DataFrame:
     return first_rows(found, ["scope"], [F.desc("occurrences"), "first"], top, "block_rank", "key_a")
 
 
-def duplicate_locations(keys: DataFrame, top: int | None = 10, locations: int | None = 5) -> DataFrame:
+def duplicate_locations(
+    keys: DataFrame, top: int | None = 10, locations: int | None = 5, hot: DataFrame | None = None
+) -> DataFrame:
     """Repeated blocks with their first ``locations`` places (``None``: all of them).
 
     A filter of the repeated keys keeps places of other blocks, which are nearly all, from being
-    shuffled or sorted, and each task hands on the first places of a block only.
+    shuffled or sorted, and each task hands on the first places of a block only. ``hot`` takes stored
+    ``repeated_keys`` of that ``top``.
     """
-    hot = counted_keys(keys) if top is None else repeated_keys(keys, top).drop("first")
+    if hot is None:
+        hot = counted_keys(keys) if top is None else repeated_keys(keys, top)
+    hot = hot.drop("first")
     places = likely_listed(keys, hot, KEY)
     if locations is not None:
         places = first_rows(places, KEY, ["path", "root", "line_no"], locations, "location_no", "path")
@@ -132,6 +139,20 @@ def _previews(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return previews.select("root", "path", "p1.line_no", "p1.preview")
 
 
+def _shared(found: DataFrame, files: DataFrame) -> DataFrame:
+    """``found``, stored if previews of these files take a job of their own."""
+    if PLACE not in files.columns:
+        return found
+    where = new_location(files.sparkSession, "blocks")
+    found.write.parquet(where)
+    return files.sparkSession.read.parquet(where)
+
+
+def _repeated(files: DataFrame, keys: DataFrame, top: int | None) -> DataFrame:
+    """``repeated_keys`` for a result that also shows previews."""
+    return _shared(repeated_keys(keys, top, _shared(counted_keys(keys, top), files)), files)
+
+
 def duplicate_blocks(
     files: DataFrame, top: int | None = 10, across_roots: bool = False, keys: DataFrame | None = None
 ) -> DataFrame:
@@ -141,7 +162,7 @@ def duplicate_blocks(
     holds the first place.
     """
     keys = block_keys(files, across_roots) if keys is None else keys
-    first = repeated_keys(keys, top).select("scope", "occurrences", "first.root", "first.path", "first.line_no")
+    first = _repeated(files, keys, top).select("scope", "occurrences", "first.root", "first.path", "first.line_no")
     return first.join(_previews(files, first), ["root", "path", "line_no"], "inner").select(
         "scope", "occurrences", "root", "path", "line_no", "preview"
     )
@@ -153,9 +174,9 @@ def duplicate_report(files: DataFrame, top: int = 10, locations: int = 5, across
     ``scope, block_rank, occurrences, location_no, root, path, line_no, preview``
     """
     keys = block_keys(files, across_roots)
-    hot = repeated_keys(keys, top)
+    hot = _repeated(files, keys, top)
     first = hot.select(*KEY, "block_rank", "first.root", "first.path", "first.line_no")
     text = first.join(_previews(files, first), ["root", "path", "line_no"], "inner").select(*KEY, "preview")
-    return duplicate_locations(keys, top, locations).join(text, KEY, "inner").select(
+    return duplicate_locations(keys, top, locations, hot).join(text, KEY, "inner").select(
         "scope", "block_rank", "occurrences", "location_no", "root", "path", "line_no", "preview"
     )

@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 from linetally.operators import duplicates, search
+from linetally.operators.places import with_place
+from linetally.sources.corpus import as_corpus
 
 
 def test_grep_counts_matching_lines_and_trims(corpus):
@@ -94,3 +96,17 @@ def test_large_roots_are_split_before_they_are_collected(corpus):
     lines = [line for line in plan.splitlines() if "collect_list" in line or "hashpartitioning" in line]
     first_exchange = next(line for line in lines if "hashpartitioning" in line)
     assert "root" in first_exchange and "shard" in first_exchange
+
+
+def test_previews_do_not_find_the_blocks_again(spark, tmp_path):
+    """With places, the text is looked through once for the counts, once for places and once for previews."""
+    spark.createDataFrame(skewed_rows(), "root string, path string, content string").write.parquet(str(tmp_path / "t"))
+    files = as_corpus(with_place(spark.read.parquet(str(tmp_path / "t"))))
+    for top in (None, 3):
+        found, want = duplicates.duplicate_blocks(files, top=top), duplicates.duplicate_blocks(files.drop("place"), top=top)
+        hashed = [df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(second") for df in (found, want)]
+        assert hashed[0] == 0 and hashed[1] > 0
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    report = duplicates.duplicate_report(files, top=3, locations=2)
+    want = duplicates.duplicate_report(files.drop("place"), top=3, locations=2)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, want.collect()))
